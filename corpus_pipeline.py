@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination
+from tessella.llm import decontamination, simhash, toxicity
 from tessella.llm.common import materialise, table
 
 STAGES = [
+    ("toxicity", toxicity.stage),
+    ("simhash", simhash.stage),
     ("decontamination", decontamination.stage),
 ]
 

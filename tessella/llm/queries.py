@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, tokens
+from . import decontamination, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_toxicity": toxicity.query,
+    "op8_simhash_dedup": simhash.query,
     "op10_token_counts": tokens.query,
 }
 
