@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, simhash, tokens, toxicity
+from . import decontamination, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_toxicity": toxicity.query,
+    "op3_quality": quality.query,
     "op8_simhash_dedup": simhash.query,
     "op10_token_counts": tokens.query,
 }
