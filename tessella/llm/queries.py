@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality, simhash, tokens, toxicity
+from . import decontamination, mixing, quality, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_toxicity": toxicity.query,
     "op3_quality": quality.query,
+    "op4_url_filter": url_filter.query,
+    "op7_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
     "op10_token_counts": tokens.query,
 }
 
 SQL = {
     "op1_decontamination": decontamination.SQL,
+    "op7_mixing": mixing.SQL,
 }
