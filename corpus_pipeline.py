@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, simhash, toxicity
+from tessella.llm import decontamination, mixing, sharding, simhash, toxicity
 from tessella.llm.common import materialise, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("simhash", simhash.stage),
     ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
+    ("sharding", sharding.stage),
 ]
 
 #: The toxicity classifier and SimHash can't be expressed in SQL; tests hold the stages against brute force.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, simhash, tokens, toxicity, url_filter
+from . import decontamination, mixing, quality, sharding, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op7_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
+    "op9_sharding": sharding.query,
     "op10_token_counts": tokens.query,
 }
 
