@@ -48,6 +48,15 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
+#: Rows of a lookup table that may be broadcast (up to some hundred bytes each); a longer one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df lacks: extra input columns may clash with ours."""
     taken = {c.lower() for c in df.columns}

@@ -19,20 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, table
+from .common import bounded, fresh, materialise, table
 
 WEIGHTS, BUDGET, CAP = (5, 2, 1), 1.5, 2
 BLOCK, CELLS = 1000, 1 << 16
-#: Rows of a lookup table that may be broadcast (some 60 bytes each); a longer one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def digest(text, digits: int):
     """A Column: the first hex digits of the MD5 as a number."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
