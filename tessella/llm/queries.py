@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, sharding, simhash, tokens, toxicity, url_filter, warc
+from . import decontamination, embeddings, mixing, quality, sharding, simhash, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_toxicity": toxicity.query,
     "op3_quality": quality.query,
     "op4_url_filter": url_filter.query,
+    "op5_embedding_dedup": embeddings.query,
     "op6_warc": warc.query,
     "op7_mixing": mixing.query,
     "op8_simhash_dedup": simhash.query,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_decontamination": decontamination.SQL,
+    "op5_embedding_dedup": embeddings.SQL,
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
 }
