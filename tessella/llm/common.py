@@ -65,6 +65,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def clear_prefix(df: DataFrame, *names: str) -> str:
+    """A prefix with which none of these names clashes with a column of df."""
+    prefix = "__"
+    while any(fresh(df, prefix + n) != prefix + n for n in names):
+        prefix += "_"
+    return prefix
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over a partition's edges: one row (child, parent) for each node that isn't its tree's least."""
     up: dict[int, int] = {}

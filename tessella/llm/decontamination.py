@@ -6,8 +6,8 @@ every distinct window, spaces around it, and scans each normalised text once.
 
 Defined cases: a null or empty text has no words, no hits and the digest of the empty string; a null item text has no
 windows; a null item_id is listed as "null"; rows of the benchmark with the same item_id are one item; repeated
-documents are judged alike; an empty benchmark hits nothing. Extra columns pass through; the result columns' names must
-not be among them in `scan` (give `prefix` where they clash).
+documents are judged alike; an empty benchmark hits nothing. Extra columns pass through; where their names clash with the
+result's, `prefix` sets the latter apart (`stage` finds one itself).
 
 Size: windows are held in the workers' memory. Items are dealt into slices of at most SLICE_BYTES of window text, so one
 broadcast is bounded; a benchmark beyond that is scanned slice after slice, with the partial results written between.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import bounded_batches, clear_prefix, fresh, materialise, table
 
 WINDOW = 13
 SLICE_BYTES = 64 << 20
@@ -115,6 +115,19 @@ def _matcher(shared, size: int) -> Matcher:
     return _MATCHERS[key][1]
 
 
+def _partial(shared, window: int):
+    """A UDF: the hits of one slice."""
+
+    @F.pandas_udf(PARTIAL)
+    def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = _matcher(shared, window)
+        for batch in texts:
+            rows = [m.find(t) for t in batch]
+            yield pd.DataFrame({"n_words": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "items": [sorted(r[3]) for r in rows]})
+
+    return look
+
+
 def slices(benchmark: DataFrame, limit: int) -> int:
     """Number of slices by the bytes of window text: each word stands in up to WINDOW windows."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -137,6 +150,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix: str
         row = verdict(n, starts, ends, items)
         return (*row, [{"start": s, "end": e} for s, e in spans(t or "", starts, ends)]) if with_spans else row
 
+    judged = fresh(docs, "__judged")
     names = [x.split()[0] for x in re.sub(r"<.*>", "", shape).split(", ")]
     if count == 1:
         shared = share(0)
@@ -147,21 +161,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix: str
             for batch in texts:
                 yield pd.DataFrame([final(t, *m.find(t)) for t in batch], columns=names)
 
-        out = docs.withColumn("__judged", judge(F.col(text)))
+        out = docs.withColumn(judged, judge(F.col(text)))
     else:
         out, partial = docs, []
         for k in range(count):
-            shared = share(k)
-
-            @F.pandas_udf(PARTIAL)
-            def look(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.DataFrame]:
-                m = _matcher(shared, window)
-                for batch in texts:
-                    rows = [m.find(t) for t in batch]
-                    yield pd.DataFrame({"n_words": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "items": [sorted(r[3]) for r in rows]})
-
-            partial.append(f"__slice{k}")
-            out = materialise(out.withColumn(partial[-1], look(F.col(text))), "decontamination")
+            partial.append(fresh(docs, f"__slice{k}"))
+            out = materialise(out.withColumn(partial[-1], _partial(share(k), window)(F.col(text))), "decontamination")
 
         @F.pandas_udf(shape)
         def join(texts: pd.Series, n: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -169,13 +174,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix: str
             return pd.DataFrame([final(t, k, *merged(flat(s), flat(e)), {str(y) for x in i for y in x}) for t, k, s, e, i in zip(texts, n, starts, ends, items, strict=True)], columns=names)
 
         parts = lambda f: F.array(*[F.col(f"{p}.{f}") for p in partial])
-        out = out.withColumn("__judged", join(F.col(text), F.col(f"{partial[0]}.n_words"), parts("starts"), parts("ends"), parts("items"))).drop(*partial)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__judged.{c}").alias(prefix + c) for c in names])
+        out = out.withColumn(judged, join(F.col(text), F.col(f"{partial[0]}.n_words"), parts("starts"), parts("ends"), parts("items"))).drop(*partial)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{judged}.{c}").alias(prefix + c) for c in names])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that aren't contaminated, with their columns."""
-    return scan(docs, table(spark, sf_dir, "benchmark"), prefix="__").where(~F.col("__contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = clear_prefix(docs, *[c.split()[0] for c in RESULT.split(", ")])
+    return scan(docs, table(spark, sf_dir, "benchmark"), prefix=prefix).where(~F.col(f"{prefix}contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ merged in a doubly linked list, until no pair has a rank. A word's count is its
 identifier is ever made. The strings of special tokens inside a text count as one token each.
 
 Defined cases: a null or empty text has no bytes and no tokens; repeated rows and long texts are counted whole; other
-columns pass through. Counts of words are kept in a bounded cache in each worker; a full cache starts anew.
+columns pass through, those named n_bytes, n_tokens or over_limit are replaced. Counts of words are kept in a bounded cache in each worker; a full cache starts anew.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ TRAIN_CHARS characters (a sample, not a cut: texts are whole). A further sample,
 one). Scores read the text only; lang only picks a threshold.
 
 Defined cases: a null or empty text is scored by the biases alone; a null doc_id is never held out; without labels
-of both classes every score is the smoothed share of toxic labels; repeated rows score alike; other columns pass through.
+of both classes every score is the smoothed share of toxic labels; repeated rows score alike; other columns
+pass through, and `prefix` sets the result's apart from columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, clear_prefix, table
 from .decontamination import cleaned
 
 BUCKETS = 1 << 20
@@ -304,7 +305,8 @@ def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents below their language's threshold, with their columns."""
-    return classify(docs, table(spark, sf_dir, "labels"), "__").where(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = clear_prefix(docs, "score", "threshold", "rejected")
+    return classify(docs, table(spark, sf_dir, "labels"), prefix).where(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
