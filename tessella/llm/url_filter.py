@@ -4,8 +4,9 @@ A rule (host, path, verdict) fits its host and all subdomains where the url's pa
 rule wins. URLs that a rule decides are the models' examples, allowed and blocked, each as often as it occurs. A model
 is a variable-order Markov model over the characters of host and path: the probability after a context of k characters
 is (count + STRENGTH * the probability after k - 1) / (context's count + STRENGTH), from order 0 to ORDER. Counts of both
-models are summed over all rows into SLOTS hashed slots, so the table that scoring looks up has a fixed size; it reaches
-the tasks as a scalar subquery. A url's score is its log-likelihood difference a character. A fifth of the distinct examples,
+models are summed over all rows into a count-min sketch of ROWS rows of SLOTS slots, so the table that scoring looks up has
+a fixed size, and a count is wrong only where an n-gram collides in every row; the table reaches the tasks as a scalar
+subquery. A url's score is its log-likelihood difference a character. A fifth of the distinct examples,
 held out of the counts, sets the threshold: the cut of least balanced error.
 
 Defined cases: a null url or one without :// has empty host and path, and is scored as such; repeated rows have the same
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-ORDER, STRENGTH, ALPHABET, SLOTS = 3, 2.0, 96, 1 << 18
+ORDER, STRENGTH, ALPHABET, ROWS, SLOTS = 3, 2.0, 96, 2, 1 << 18
 FOLDS, BINS_PER_NAT, BINS = 5, 50, 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,41 +44,60 @@ def rule_columns(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grams(text: Column) -> Column:
-    """For each character and the end: slots of the n-grams and of their contexts, by order."""
+    """For each character and the end: ROWS slots of the n-gram of each order and of its context."""
     chars = F.concat(F.array_repeat(F.lit("^"), ORDER), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$")))
-    slot = lambda kind, k, i: F.pmod(F.xxhash64(F.lit(kind), F.array_join(F.slice(chars, i - k, k + (kind == 0)), "")), F.lit(SLOTS)).cast("int")
-    return F.transform(F.sequence(F.lit(ORDER + 1), F.size(chars)), lambda i: F.struct(*[slot(0, k, i).alias(f"g{k}") for k in range(ORDER + 1)], *[slot(k, k, i).alias(f"c{k}") for k in range(1, ORDER + 1)]))
+
+    def slots(name: str, kind: int, first: Column, length: int) -> list[Column]:
+        gram = F.array_join(F.slice(chars, first, length), "")
+        return [(F.pmod(F.xxhash64(F.lit(kind * ROWS + r), gram), F.lit(SLOTS)) + r * SLOTS).cast("int").alias(f"{name}_{r}") for r in range(ROWS)]
+
+    def position(i: Column) -> Column:
+        ngrams = [c for k in range(ORDER + 1) for c in slots(f"g{k}", 0, i - k, k + 1)]
+        return F.struct(*ngrams, *[c for k in range(1, ORDER + 1) for c in slots(f"c{k}", k, i - k, k)])
+
+    return F.transform(F.sequence(F.lit(ORDER + 1), F.size(chars)), position)
+
+
+#: The element of a model that counts all characters.
+ALL = ROWS * SLOTS
 
 
 def model(positions: DataFrame) -> DataFrame:
-    """One row: arrays of SLOTS counts of the allowed and the blocked examples; the last element is all characters."""
-    slots = positions.select("verdict", "n", F.explode(F.array(*[F.col(f"gram.g{k}") for k in range(ORDER + 1)], *[F.col(f"gram.c{k}") for k in range(1, ORDER + 1)], F.lit(SLOTS))).alias("slot"))
-    kinds = {"allow": F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)), "block": F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0))}
-    counts = slots.groupBy("slot").agg(*[v.cast("float").alias(k) for k, v in kinds.items()])
-    full = positions.sparkSession.range(SLOTS + 1).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left").select("slot", F.coalesce("allow", F.lit(0.0)).cast("float").alias("allow"), F.coalesce("block", F.lit(0.0)).cast("float").alias("block"))
-    rows = full.agg(F.array_sort(F.collect_list(F.struct("slot", "allow", "block"))).alias("rows"))  # SLOTS rows, at any size of input
+    """One row: arrays of the counts of the allowed and the blocked examples, by slot."""
+    names = [*[f"g{k}" for k in range(ORDER + 1)], *[f"c{k}" for k in range(1, ORDER + 1)]]
+    slots = positions.select("verdict", "n", F.explode(F.array(*[F.col(f"gram.{x}_{r}") for x in names for r in range(ROWS)], F.lit(ALL))).alias("slot"))
+    kinds = {k: F.sum(F.when(F.col("verdict") == k, F.col("n")).otherwise(0)).cast("float") for k in ("allow", "block")}
+    counts = slots.groupBy("slot").agg(*[v.alias(k) for k, v in kinds.items()])
+    full = positions.sparkSession.range(ALL + 1).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left").select("slot", *[F.coalesce(k, F.lit(0.0)).cast("float").alias(k) for k in kinds])
+    rows = full.agg(F.array_sort(F.collect_list(F.struct("slot", *kinds))).alias("rows"))  # ALL + 1 rows, at any size of input
     return rows.select(F.struct(F.col("rows.allow").alias("allow"), F.col("rows.block").alias("block")).alias("model"))
 
 
 def log_ratio(m: Column) -> Column:
     def probability(kind: str) -> Column:
-        at = lambda c: F.element_at(m[kind], c + 1).cast("double")
-        p = (at(F.col("gram.g0")) + 0.5) / (at(F.lit(SLOTS)) + 0.5 * ALPHABET)
+        get = lambda c: F.element_at(m[kind], c + 1).cast("double")
+        at = lambda name: F.least(*[get(F.col(f"gram.{name}_{r}")) for r in range(ROWS)])
+        p = (at("g0") + 0.5) / (get(F.lit(ALL)) + 0.5 * ALPHABET)
         for k in range(1, ORDER + 1):
-            p = (at(F.col(f"gram.g{k}")) + STRENGTH * p) / (at(F.col(f"gram.c{k}")) + STRENGTH)
+            p = (at(f"g{k}") + STRENGTH * p) / (at(f"c{k}") + STRENGTH)
         return p
 
     return F.log(probability("allow")) - F.log(probability("block"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row: the cut of least balanced error over the held-out examples, nearest to zero; null without both kinds."""
+    """One row: the cut of least balanced error over the held-out examples, nearest to zero; null without both kinds.
+
+    A cut lies between neighbouring bins that hold examples (or beyond the outermost ones), where it is nearest to zero.
+    """
     held = scored.where("held and verdict is not null")
     bins = held.groupBy(F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") * BINS_PER_NAT))).cast("int").alias("bin")).agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("allow"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("block"))
-    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * BINS + 1 rows
-    every = Window.partitionBy()
+    last = bins.agg((F.max("bin") + 1).alias("bin"), F.lit(0).cast("long").alias("allow"), F.lit(0).cast("long").alias("block")).where("bin is not null")
+    order, every = Window.orderBy("bin"), Window.partitionBy()  # at most 2 * BINS + 2 rows
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
     error = F.coalesce(F.sum("allow").over(below), F.lit(0)) / F.nullif(F.sum("allow").over(every), F.lit(0)) + 1 - F.coalesce(F.sum("block").over(below), F.lit(0)) / F.nullif(F.sum("block").over(every), F.lit(0))
-    cuts = bins.select((F.col("bin") / BINS_PER_NAT).alias("cut"), error.alias("error"))
+    low = F.coalesce(F.lag("bin").over(order) + 1, F.lit(-BINS - 1))
+    cuts = bins.unionByName(last).select((F.greatest(low, F.least(F.col("bin"), F.lit(0))) / BINS_PER_NAT).alias("cut"), error.alias("error"))
     return cuts.agg(F.min_by("cut", F.struct("error", F.abs("cut"))).alias("cut"), F.max("error").alias("error")).select(F.when(F.col("error").isNotNull(), F.col("cut")).alias("cut"))
 
 
