@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import quoted
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """A cluster names its shared folder in spark.checkpoint.dir; only where it names none a temp folder serves."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
 def decimals(expected: Column) -> Column:
     """Digits after the point of the expected value as written."""
     return F.length(F.regexp_extract(F.regexp_replace(expected.cast("string"), ",", ""), r"^[+-]?\d*\.(\d+)$", 1))
@@ -90,11 +97,28 @@ def systematic(df: DataFrame, every: int, start: int, order: list[str]) -> DataF
     return parts.join(before, "__part").withColumn("__place", place).where((F.col("__place") >= start) & ((F.col("__place") - start) % every == 0)).select(*df.columns)
 
 
-def similar(left: DataFrame, right: DataFrame, id: str, text: str, k: int = 3) -> DataFrame:
-    """For each left text the k most similar right texts that share a word: 0.65 of the sequence ratio and 0.35 of the words' Jaccard."""
+#: Shares of the combined score, and the least score of each label.
+LEXICAL, TOPIC, INTENT = 0.50, 0.35, 0.15
+LABELS = ((0.90, "near duplicate"), (0.75, "very similar"), (0.60, "similar"), (0.45, "somewhat similar"))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Overlap coefficient of two lists; 0 where one is empty."""
+    least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+
+
+def similar(left: DataFrame, right: DataFrame, id: str, text: str, k: int = 3, topics: str | None = None, intents: str | None = None) -> DataFrame:
+    """For each left text the k most similar right texts that share a word.
+
+    Lexical score: 0.65 of the sequence ratio and 0.35 of the words' Jaccard. With list columns of topics and intents the
+    score is the weighted sum of the lexical score and their overlaps, and a label goes with it.
+    """
+    extra = [c for c in (topics, intents) if c]
+
     def words(df: DataFrame, side: str) -> DataFrame:
         clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-        return df.select(F.col(id).alias(f"{side}_id"), clean.alias(side), F.array_distinct(F.split(clean, " ")).alias(f"{side}_words"))
+        return df.select(F.col(id).alias(f"{side}_id"), clean.alias(side), F.array_distinct(F.split(clean, " ")).alias(f"{side}_words"), *[F.col(c).alias(f"{side}_{c}") for c in extra])
 
     l, r = words(left, "l"), words(right, "r")
     pairs = l.select("l_id", F.explode("l_words").alias("w")).join(r.select("r_id", F.explode("r_words").alias("w")), "w").groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
@@ -105,7 +129,13 @@ def similar(left: DataFrame, right: DataFrame, id: str, text: str, k: int = 3) -
             yield pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y, strict=True)])
 
     full = pairs.join(l, "l_id").join(r, "r_id")
-    jaccard = F.col("shared") / (F.size("l_words") + F.size("r_words") - F.col("shared"))
-    scored = full.select("l_id", "r_id", (0.65 * ratio("l", "r") + 0.35 * jaccard).alias("score"))
+    lexical = 0.65 * ratio("l", "r") + 0.35 * F.col("shared") / (F.size("l_words") + F.size("r_words") - F.col("shared"))
+    by = {name: overlap(F.col(f"l_{c}"), F.col(f"r_{c}")) if c else F.lit(0.0) for name, c in (("topic", topics), ("intent", intents))}
+    scored = full.select("l_id", "r_id", lexical.alias("lexical"), *[v.alias(n) for n, v in by.items()])
+    score = LEXICAL * F.col("lexical") + TOPIC * F.col("topic") + INTENT * F.col("intent") if extra else F.col("lexical")
+    label = F.when((F.col("score") >= 0.35) & (F.col("topic") >= 0.35) & (F.col("intent") > 0), "related").otherwise("different")
+    for least, name in reversed(LABELS):
+        label = F.when(F.col("score") >= least, name).otherwise(label)
     w = Window.partitionBy("l_id").orderBy(F.desc("score"), "r_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.withColumn("label", label)

@@ -104,6 +104,14 @@ def graph_property_profile(spark, sf_dir):
     return p.select(short("class").alias("class"), short("p").alias("property"), "values", "distinct", "most_subjects", F.round("coverage", 6).alias("coverage"))
 
 
+@query("select n_regionkey as graph, count(*) - 1 as hops from nation group by 1 having count(*) > 1")
+def graph_hops(spark, sf_dir):
+    compare.checkpoints(spark)
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    chain = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("a"), F.lead("n_nationkey").over(w).alias("b"))
+    return graph.hops(chain.where("b is not null"))
+
+
 # -- comparison -------------------------------------------------------------------------------------------------------
 
 
@@ -136,10 +144,7 @@ def run_metrics(spark, sf_dir):
 
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as rn from orders) where rn >= 3 and (rn - 3) % 5 = 0")
 def systematic_sample(spark, sf_dir):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    compare.checkpoints(spark)
     return compare.systematic(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 5, 3, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
 
 

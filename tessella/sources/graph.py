@@ -85,12 +85,13 @@ def links(triples: DataFrame, path: list[str]) -> DataFrame:
 
 def hops(edges: DataFrame, limit: int = 10) -> DataFrame:
     """Longest of the shortest paths in each graph of edges(graph, a, b): breadth-first by self joins, all starts at once."""
-    both = edges.select("graph", "a", "b").union(edges.select("graph", F.col("b"), F.col("a"))).distinct()
-    seen = both.select("graph", F.col("a").alias("start"), F.col("a").alias("node")).distinct().withColumn("d", F.lit(0))
+    both = edges.select(F.col("graph").alias("g"), F.col("a").alias("from"), F.col("b").alias("to"))
+    both = both.union(both.select("g", "to", "from")).distinct().checkpoint()
+    seen = both.select(F.col("g").alias("graph"), F.col("from").alias("start"), F.col("from").alias("node")).distinct().withColumn("d", F.lit(0))
     frontier, depth = seen, 0
     while depth < limit:
         depth += 1
-        reached = frontier.join(both, (frontier.graph == both.graph) & (frontier.node == both.a)).select(frontier.graph, frontier.start, both.b.alias("node")).distinct()
+        reached = frontier.join(both, (F.col("graph") == F.col("g")) & (F.col("node") == F.col("from"))).select("graph", "start", F.col("to").alias("node")).distinct()
         frontier = reached.join(seen, ["graph", "start", "node"], "left_anti").withColumn("d", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break

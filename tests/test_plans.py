@@ -3,7 +3,8 @@
 import pytest
 
 from tessella.functions.values import PlanError
-from tessella.plans import dag
+from tessella.operators import compare
+from tessella.plans import contract, dag, limits
 from tessella.plans.compiler import compile_plan
 from tessella.plans.execute import run
 from tessella.sources import catalog, retrieval, sinks
@@ -170,3 +171,24 @@ def test_streams_equal_batch(spark, tmp_path):
     assert once.count() == batch.select("event_id").distinct().count()
     totals = events.drain(events.running_totals(stream), "totals_test", "update", str(tmp_path / "c3"))
     assert totals.count() == batch.select("user_id").distinct().count()
+
+
+def test_contract_and_explanation():
+    plan = compile_plan({"steps": [{"operator": "Filter_Aggregate", "operation": "sum", "target_column": "v", "output_column": "s", "group_by": ["g"], "input": "a"}, {"operator": "Order_By", "order_by": "s DESC", "limit": 3}]}, {"a": ["g", "v"]}).check()
+    assert contract.breaches(plan, {"projection": ["g", "s"], "group_by": ["g"], "metrics": [{"output_column": "s", "operation": "sum"}], "order_by": "s DESC", "limit": 3}) == []
+    assert len(contract.breaches(plan, {"projection": ["s"], "group_by": [], "metrics": [{"output_column": "s", "operation": "sum"}, {"output_column": "t"}], "order_by": "s", "limit": 4})) == 5
+    assert [s["operator"] for s in contract.explain(plan)] == ["Filter_Aggregate", "Order_By"]
+
+
+def test_time_limit(spark):
+    assert limits.within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(limits.OutOfTime):
+        limits.within(spark, 1, lambda: spark.range(10**13).selectExpr("sum(id * id % 7)").collect())
+    with pytest.raises(ZeroDivisionError):
+        limits.within(spark, 60, lambda: 1 // 0)
+
+
+def test_similarity_with_topics(spark):
+    df = spark.createDataFrame([(1, "total revenue by region", ["revenue"], ["sum"]), (2, "total revenue by nation", ["revenue"], ["sum"]), (3, "weather by region", ["weather"], [])], "id int, text string, t array<string>, i array<string>")
+    got = {(r.l_id, r.r_id): r for r in compare.similar(df, df, "id", "text", 3, "t", "i").collect()}
+    assert got[1, 1].label == "near duplicate" and got[1, 2].score > got[1, 3].score and got[1, 3].topic == 0
