@@ -87,14 +87,16 @@ class Store:
         path = f"{self.root}/plan/{version}"
         self.plan().select("file", "goes").write.parquet(path)
         plan = self.spark.read.parquet(path)
-        ids = plan.select("goes").distinct()
-        count = ids.count()
+        # one row a merged file, numbered, so that each file is one task's partition
+        numbers = plan.select("goes").distinct().withColumn("number", F.row_number().over(Window.orderBy("goes")) - 1)
+        plan = plan.join(numbers, "goes")
+        count = numbers.count()
         rows = self.spark.read.schema(schema).parquet(*old)
         file, number = fresh(rows, "file"), fresh(rows, "shard")
-        numbered = plan.select(F.col("file").alias(file), F.col("goes").alias(number))
+        numbered = plan.select(F.col("file").alias(file), F.col("number").alias(number))
         rows = rows.select("*", F.col("_metadata.file_path").alias(file)).join(F.broadcast(numbered) if plan.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else numbered, file).drop(file)
         if count:
-            rows.repartition(count, number).write.option("compression", "zstd").partitionBy(number).parquet(folder)
+            rows.repartitionById(count, F.col(number)).write.option("compression", "zstd").partitionBy(number).parquet(folder)
             self.commit(self.files(folder, rows.schema, version), version)
         for f in [*old, path]:
             delete(self.spark, f)
