@@ -9,7 +9,7 @@ Index: a fingerprint is cut into two halves. Where two fingerprints differ in at
 33 members of either half's ball, the tables' buckets are fetched, and the complete distance of the members is verified.
 Within a bucket of many members a breadth-first search links them by a spanning tree, not by all pairs.
 
-Entries travel as blocks of bytes (9 bytes an entry), dealt in shares by a hash of the bucket; a task gets about TASK_BYTES of them.
+Entries travel as blocks of bytes (9 bytes an entry), dealt by a hash of the bucket; a task gets about TASK_BYTES of them.
 Equal fingerprints are one entry, so a group of copies of any size costs one.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any other; a null doc_id counts for no
@@ -33,8 +33,6 @@ from .common import bounded_batches, components, materialise, table
 SHINGLE = 4
 BITS = 4
 TASK_BYTES = 16 << 20
-#: Shares of the buckets for each task, so that the tasks' sizes even out.
-SPREAD = 8
 #: Distinct fingerprints whose entries are made and sorted at once.
 BATCH = 20_000
 #: Buckets up to this size are verified pair by pair, larger ones by search.
@@ -91,7 +89,7 @@ def _buckets(prints: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 def _enter(tasks: int):
-    """fp rows -> rows (task, fps, entries): the blocks of entries, by share."""
+    """fp rows -> rows (task, fps, entries): the blocks of entries."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = np.arange(66, dtype=np.uint8)
@@ -176,8 +174,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             pairs = verified(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), bits).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    # each share of the buckets lies in one task only
-    return distinct.mapInArrow(_enter(tasks * SPREAD), "task int, fps binary, entries binary").repartition(tasks, "task").mapInArrow(verify, "a long, b long")
+    return distinct.mapInArrow(_enter(tasks), "task int, fps binary, entries binary").repartitionById(tasks, F.col("task")).mapInArrow(verify, "a long, b long")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
