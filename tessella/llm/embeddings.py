@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, components, materialise, table
 
 THRESHOLD = 0.95
-CELLS, CHUNK = 256, 2048
+CELLS, CHUNK = 256, 4096
 #: Travelling chunks that one task meets.
 MEETINGS = 8
+#: Node pairs whose children are more than LARGE_BLOCK pairs are multiplied as matrices, smaller ones gathered, BLOCK_PAIRS at once.
+LARGE_BLOCK, BLOCK_PAIRS = 256, 20_000
 #: Slack of bounds that are computed from rounded distances.
 SLACK = 1e-7
 
@@ -79,6 +81,14 @@ class Tree:
         c, r, _ = self.levels[-1]
         self.levels[-1] = (c, r, np.concatenate([[0], np.cumsum(size)]))
         self.ids, self.counts, self.points = ids[order], counts[order], points[order]
+        self.single = self.points.astype(np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "single"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.single = self.points.astype(np.float32)
 
     @staticmethod
     def split(cosine: np.ndarray, members: np.ndarray, least: float) -> list[np.ndarray]:
@@ -93,46 +103,91 @@ class Tree:
         return found
 
 
-def near_nodes(a: Tree, b: Tree, level: int, pairs: list[tuple[np.ndarray, np.ndarray]], reach: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node pairs of a level that no bound drops, with their distances; pairs are blocks (nodes of a, nodes of b)."""
+def near_nodes(a: Tree, b: Tree, level: int, na: np.ndarray, nb: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block of nodes that may be within their radii and r of each other; single precision, with slack.
+
+    A block is tested against its widest pair of radii, so nodes with wide radii form blocks of their own.
+    """
     (ca, ra, _), (cb, rb, _) = a.levels[level], b.levels[level]
-    found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
-    for na, nb in pairs:
-        cosine = a.points[ca[na]] @ b.points[cb[nb]].T
-        widest = min(2.0, ra[na].max() + rb[nb].max() + reach + SLACK)
-        i, j = np.nonzero(cosine >= 1 - widest * widest / 2 - 1e-12)
-        d = distance(cosine[i, j])
-        i, j = na[i], nb[j]
-        ok = d <= ra[i] + rb[j] + reach + SLACK
-        if same:
-            ok &= i <= j
-        found.append((i[ok], j[ok], d[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    wide_a, wide_b = ra[na] > reach / 2, rb[nb] > reach / 2
+    for p, q in ((na[~wide_a], nb[~wide_b]), (na[wide_a], nb), (na[~wide_a], nb[wide_b])):
+        if len(p) and len(q):
+            widest = min(2.0, ra[p].max() + rb[q].max() + reach)
+            i, j = np.nonzero(a.single[ca[p]] @ b.single[cb[q]].T >= np.float32(1 - widest * widest / 2 - 1e-5))
+            yield p[i], q[j]
+
+
+def children(tree: Tree, level: int, to: int) -> np.ndarray:
+    """Offsets of the nodes' descendants at a deeper level."""
+    first = tree.levels[level][2]
+    for k in range(level + 1, to):
+        first = tree.levels[k][2][first]
+    return first
+
+
+def deeper(a: Tree, b: Tree, level: int) -> int:
+    """The level to descend to: past those that hardly add nodes, as an explicit cover tree skips nodes of one child."""
+    last, to = len(a.levels) - 1, level + 1
+    size = lambda k: len(a.levels[k][0]) + len(b.levels[k][0])
+    while to < last and size(to + 1) <= 1.5 * size(level + 1):
+        to += 1
+    return to
+
+
+def expanded(fa: np.ndarray, fb: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the children of node pairs."""
+    wa, wb = fa[i + 1] - fa[i], fb[j + 1] - fb[j]
+    n = wa * wb
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    width = np.repeat(wb, n)
+    return np.repeat(fa[i], n) + at // width, np.repeat(fb[j], n) + at % width
 
 
 def meet(a: Tree, b: Tree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of the points of a, of those of b (multiplicities of the others counted), and edges between ids."""
     reach = float(np.sqrt(2 - 2 * threshold))
     links_a, links_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
-    blocks = [(np.array([0]), np.array([0]))]
-    last = len(a.levels) - 1
-    for level in range(last + 1):
-        i, j, d = near_nodes(a, b, level, blocks, reach, same)
+    last, level = len(a.levels) - 1, 0
+    i = j = np.zeros(1, np.int64)
+    while True:
+        (ca, ra, _), (cb, rb, _) = a.levels[level], b.levels[level]
+        kept = []
+        for k in range(0, len(i), BLOCK_PAIRS):
+            x, y = i[k : k + BLOCK_PAIRS], j[k : k + BLOCK_PAIRS]
+            cosine = np.einsum("nd,nd->n", a.points[ca[x]], b.points[cb[y]])
+            d = distance(cosine)
+            ok = d <= ra[x] + rb[y] + reach + SLACK
+            if same:
+                ok &= x <= y
+            kept.append((x[ok], y[ok], d[ok], cosine[ok]))
+        i, j, d, cosine = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (i, j, np.zeros(0), np.zeros(0))
         if not len(i):
             return links_a, links_b, []
-        if level < last:
-            fa, fb = a.levels[level][2], b.levels[level][2]
-            blocks = [(np.arange(fa[x], fa[x + 1]), np.arange(fb[y], fb[y + 1])) for x, y in zip(i, j, strict=True)]
-    fa, fb, ra, rb = a.levels[-1][2], b.levels[-1][2], a.levels[-1][1], b.levels[-1][1]
-    edges = []
-    for x, y, far in zip(i, j, d, strict=True):
+        if level == last:
+            break
+        to = deeper(a, b, level)
+        fa, fb = children(a, level, to), children(b, level, to)
+        large = (fa[i + 1] - fa[i]) * (fb[j + 1] - fb[j]) > LARGE_BLOCK
+        found = [expanded(fa, fb, i[~large], j[~large])]
+        for x, y in zip(i[large], j[large], strict=True):
+            found += near_nodes(a, b, to, np.arange(fa[x], fa[x + 1]), np.arange(fb[y], fb[y + 1]), reach)
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        level = to
+    fa, fb = a.levels[-1][2], b.levels[-1][2]
+    single = (fa[i + 1] - fa[i] == 1) & (fb[j + 1] - fb[j] == 1) & ~(same & (i == j))
+    hit = single & (cosine >= threshold)
+    x, y = fa[i[hit]], fb[j[hit]]
+    np.add.at(links_a, x, b.counts[y])
+    np.add.at(links_b, y, a.counts[x])
+    edges = list(zip(a.ids[x].tolist(), b.ids[y].tolist(), strict=True))
+    for x, y, far in zip(i[~single], j[~single], d[~single], strict=True):
         u, v = slice(fa[x], fa[x + 1]), slice(fb[y], fb[y + 1])
         if same and x == y:  # a leaf's members all link
             total = a.counts[u].sum()
             links_a[u] += total - a.counts[u]
             edges += [(int(a.ids[fa[x]]), int(k)) for k in a.ids[u][1:]]
             continue
-        if far + ra[x] + rb[y] <= reach - SLACK:
+        if far + a.levels[-1][1][x] + b.levels[-1][1][y] <= reach - SLACK:
             links_a[u] += b.counts[v].sum()
             links_b[v] += a.counts[u].sum()
         else:
