@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .values import BOOLEAN, INTEGER, NULL, NUMBER, TEXT, TIME, PlanError, Value, literal, number, quoted, time
 
+#: Fixed values of the plan language: other spellings of predicate operators.
 _SPELLINGS = {"eq": "=", "==": "=", "equals": "=", "ne": "!=", "<>": "!=", "gt": ">", "ge": ">=", "gte": ">=", "lt": "<", "le": "<=", "lte": "<=", "isnull": "is_null", "notnull": "is_not_null", "is_not": "is_not_null", "notin": "not_in", "notlike": "not_like", "notilike": "not_ilike"}
 _NULL_TESTS = {"is_null", "is_not_null"}
 _ORDERED = {"<", "<=", ">", ">=", "between"}

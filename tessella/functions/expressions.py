@@ -398,7 +398,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "date_trunc": (2, 2, lambda a: Value(temporal.truncate(_unit(a[0]), time(a[1])), TIME)),
 }
 
-#: Two-column formulas by name, over the fields L and R.
+#: Fixed values of the plan language: two-column formulas by name, over the fields L and R.
 TEMPLATES = {
     "add": "L + R",
     "addition": "L + R",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .values import PlanError
 
+#: Fixed values of the plan language: the parts of Date_Extract.
 PARTS = ("year", "month", "day", "quarter", "quarter_start", "month_start", "year_num", "month_num", "day_num", "fiscal_year", "fiscal_quarter")
 _SECONDS = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}
 

@@ -97,7 +97,7 @@ def systematic(df: DataFrame, every: int, start: int, order: list[str]) -> DataF
     return parts.join(before, "__part").withColumn("__place", place).where((F.col("__place") >= start) & ((F.col("__place") - start) % every == 0)).select(*df.columns)
 
 
-#: Shares of the combined score, and the least score of each label.
+#: Shares of the combined score, and the least score of each label.
 LEXICAL, TOPIC, INTENT = 0.50, 0.35, 0.15
 LABELS = ((0.90, "near duplicate"), (0.75, "very similar"), (0.60, "similar"), (0.45, "somewhat similar"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessella.functions.values import PlanError, quoted
 
-#: Declared type -> Spark type. Decimals are doubles unless a catalog asks for exact ones.
+#: Declared type -> Spark type. Decimals are doubles unless a catalog asks for exact ones.
 TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
     "text": T.StringType(),
