@@ -9,7 +9,7 @@ TRAIN_CHARS characters (a sample, not a cut: texts are whole). A further sample,
 one). Scores read the text only; lang only picks a threshold.
 
 Defined cases: a null or empty text is scored by the biases alone; a null doc_id is never held out; without labels
-of both classes every score is the smoothed share of toxic labels; repeated rows score alike; other columns
+of both classes every score is the smoothed share of toxic labels and nothing is rejected; repeated rows score alike; other columns
 pass through, and `prefix` sets the result's apart from columns of the same name.
 """
 
@@ -259,9 +259,10 @@ class Model:
         train, rest = [r for r in rows if r.part != 1], [r for r in rows if r.part == 1]
         y = np.array([r.label for r in train], np.float64)
         self.prior = float((sum(r.label for r in rows) + 1) / (len(rows) + 2))
-        self.net, self.thresholds, self.default = None, {}, 0.5
+        self.net, self.thresholds, self.default = None, {}, float("inf")
         if not len(y) or y.min() == y.max():
             return
+        self.default = 0.5
         self.net = Classifier()
         self.net.fit([np.concatenate(word_buckets(r.text)) for r in train], y)
         rest = rest or train

@@ -108,7 +108,7 @@ def test_model_edges(spark):
     one = spark.createDataFrame([(5, 1, 1), (5, 1, 1), (6, 1, 1), (None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
     for marks in (none, one):
         got = toxicity.classify(docs, marks, "r_").collect()
-        assert len(got) == 8 and len({r.r_score for r in got}) == 1 and got[0].score == 7
+        assert len(got) == 8 and len({r.r_score for r in got}) == 1 and got[0].score == 7 and not any(r.r_rejected for r in got)
         assert len(quality.classify(docs, marks, ["doc_id"]).collect()) == 8
     assert toxicity.classify(docs.limit(0), none, "r_").count() == 0 and quality.classify(docs.limit(0), one, ["doc_id"]).count() == 0
     stage = toxicity.stage(spark, docs, "/root/testdata/sf0.001")
