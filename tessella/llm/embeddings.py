@@ -31,6 +31,8 @@ from .common import bounded_batches, components, materialise, table
 
 THRESHOLD = 0.95
 CELLS, CHUNK = 256, 4096
+#: Numbers that one chunk holds at most; a chunk of long vectors has fewer of them.
+CHUNK_NUMBERS = 1 << 21
 #: Travelling chunks that one task meets.
 MEETINGS = 8
 #: Node pairs whose children are more than LARGE_BLOCK pairs are multiplied as matrices, smaller ones gathered, BLOCK_PAIRS at once.
@@ -207,8 +209,9 @@ def _stack(series: pd.Series) -> np.ndarray:
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """classes(cid, n, vector), all of one length -> rows (cid, links, other): a number of links, or an edge to other."""
     spark = classes.sparkSession
-    count = classes.count()
-    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(min(CELLS, -(-count // CHUNK))).select("vector").collect()
+    count, length = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    size = max(1, min(CHUNK, CHUNK_NUMBERS // length))
+    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(min(CELLS, -(-count // size))).select("vector").collect()
     centres = unit(np.array([r.vector for r in picked], np.float64))
     reach = float(np.sqrt(2 - 2 * threshold))
 
@@ -222,7 +225,7 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     kind = dict(classes.dtypes)["vector"]
     placed = materialise(classes.mapInPandas(assign, f"cid long, n long, vector {kind}, cell int, far double"), "cover-cells")
     cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # at most CELLS rows
-    parts = {c: -(-n // CHUNK) for c, (n, _) in cells.items()}
+    parts = {c: -(-n // size) for c, (n, _) in cells.items()}
     first, owner = {}, []
     for c in sorted(parts):
         first[c] = len(owner)
