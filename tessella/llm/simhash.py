@@ -186,7 +186,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     linked = roots.join(classes, roots.node == classes.fp).select("fp", "root", "least")
     lead = linked.groupBy("root").agg(F.min("least").alias("component"))
     groups = classes.join(linked.join(lead, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+    # written, so that both sides of the last join come straight from exchanges and a hot fingerprint's rows can be split
+    return prints.join(materialise(groups, "simhash-groups"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
