@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-ORDER, STRENGTH, ALPHABET, ROWS, SLOTS = 3, 2.0, 96, 2, 1 << 18
-FOLDS, BINS_PER_NAT, BINS = 5, 50, 500
+ORDER, STRENGTH, ALPHABET, ROWS, SLOTS = 3, 2.0, 96, 2, 1 << 17
+FOLDS, BINS_PER_NAT, BINS, TASK_URLS = 5, 50, 500, 5000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,18 +44,16 @@ def rule_columns(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grams(text: Column) -> Column:
-    """For each character and the end: ROWS slots of the n-gram of each order and of its context."""
+    """For each character and the end: it and the ORDER characters before it."""
     chars = F.concat(F.array_repeat(F.lit("^"), ORDER), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$")))
+    return F.transform(F.sequence(F.lit(1), F.size(chars) - ORDER), lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
 
-    def slots(name: str, kind: int, first: Column, length: int) -> list[Column]:
-        gram = F.array_join(F.slice(chars, first, length), "")
-        return [(F.pmod(F.xxhash64(F.lit(kind * ROWS + r), gram), F.lit(SLOTS)) + r * SLOTS).cast("int").alias(f"{name}_{r}") for r in range(ROWS)]
 
-    def position(i: Column) -> Column:
-        ngrams = [c for k in range(ORDER + 1) for c in slots(f"g{k}", 0, i - k, k + 1)]
-        return F.struct(*ngrams, *[c for k in range(1, ORDER + 1) for c in slots(f"c{k}", k, i - k, k)])
-
-    return F.transform(F.sequence(F.lit(ORDER + 1), F.size(chars)), position)
+def slots(kind: str, k: int) -> list[Column]:
+    """A slot in each row of the sketch for the column gram's n-gram of order k (kind g) or its context (kind c)."""
+    part = F.substring("gram", ORDER - k + 1, k + (kind == "g"))
+    seed = 0 if kind == "g" else k
+    return [(F.pmod(F.xxhash64(F.lit(seed * ROWS + r), part), F.lit(SLOTS)) + r * SLOTS).cast("int") for r in range(ROWS)]
 
 
 #: The element of a model that counts all characters.
@@ -63,23 +61,26 @@ ALL = ROWS * SLOTS
 
 
 def model(positions: DataFrame) -> DataFrame:
-    """One row: arrays of the counts of the allowed and the blocked examples, by slot."""
-    names = [*[f"g{k}" for k in range(ORDER + 1)], *[f"c{k}" for k in range(1, ORDER + 1)]]
-    slots = positions.select("verdict", "n", F.explode(F.array(*[F.col(f"gram.{x}_{r}") for x in names for r in range(ROWS)], F.lit(ALL))).alias("slot"))
+    """One row: arrays of the counts of the allowed and the blocked examples, by slot.
+
+    Each lookup carries its array to the tasks (1 MB, some thirty lookups), so the arrays are read apart and kept small.
+    """
+    parts = [*[("g", k) for k in range(ORDER + 1)], *[("c", k) for k in range(1, ORDER + 1)]]
+    slotted = positions.select("verdict", "n", F.explode(F.array(*[c for p in parts for c in slots(*p)], F.lit(ALL))).alias("slot"))
     kinds = {k: F.sum(F.when(F.col("verdict") == k, F.col("n")).otherwise(0)).cast("float") for k in ("allow", "block")}
-    counts = slots.groupBy("slot").agg(*[v.alias(k) for k, v in kinds.items()])
+    counts = slotted.groupBy("slot").agg(*[v.alias(k) for k, v in kinds.items()])
     full = positions.sparkSession.range(ALL + 1).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left").select("slot", *[F.coalesce(k, F.lit(0.0)).cast("float").alias(k) for k in kinds])
     rows = full.agg(F.array_sort(F.collect_list(F.struct("slot", *kinds))).alias("rows"))  # ALL + 1 rows, at any size of input
-    return rows.select(F.struct(F.col("rows.allow").alias("allow"), F.col("rows.block").alias("block")).alias("model"))
+    return rows.select(F.col("rows.allow").alias("allow"), F.col("rows.block").alias("block"))
 
 
-def log_ratio(m: Column) -> Column:
-    def probability(kind: str) -> Column:
-        get = lambda c: F.element_at(m[kind], c + 1).cast("double")
-        at = lambda name: F.least(*[get(F.col(f"gram.{name}_{r}")) for r in range(ROWS)])
-        p = (at("g0") + 0.5) / (get(F.lit(ALL)) + 0.5 * ALPHABET)
+def log_ratio(m: dict[str, Column]) -> Column:
+    def probability(verdict: str) -> Column:
+        get = lambda c: F.element_at(m[verdict], c + 1).cast("double")
+        at = lambda kind, k: F.least(*[get(c) for c in slots(kind, k)])
+        p = (at("g", 0) + 0.5) / (get(F.lit(ALL)) + 0.5 * ALPHABET)
         for k in range(1, ORDER + 1):
-            p = (at(f"g{k}") + STRENGTH * p) / (at(f"c{k}") + STRENGTH)
+            p = (at("g", k) + STRENGTH * p) / (at("c", k) + STRENGTH)
         return p
 
     return F.log(probability("allow")) - F.log(probability("block"))
@@ -107,9 +108,10 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     distinct = split.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     distinct = materialise(distinct.withColumns({"rule": name, "verdict": verdict, "held": F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0}), "urls")
-    positions = distinct.withColumn("gram", F.explode(grams(F.concat("host", "path"))))
+    tasks = max(1, -(-distinct.count() // TASK_URLS))
+    positions = distinct.repartition(tasks, "host", "path").withColumn("gram", F.explode(grams(F.concat("host", "path"))))
     counts = materialise(model(positions.where("verdict is not null and not held")), "url-model")
-    score = positions.select("host", "path", "n", "rule", "verdict", "held", log_ratio(counts.scalar()).alias("ratio"))
+    score = positions.select("host", "path", "n", "rule", "verdict", "held", log_ratio({k: counts.select(k).scalar() for k in ("allow", "block")}).alias("ratio"))
     scored = materialise(score.groupBy("host", "path", "n", "rule", "verdict", "held").agg(F.avg("ratio").alias("score")), "url-scores")
     cut = materialise(threshold(scored), "url-threshold")
     decided = scored.select("host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(float("-inf"))), "allow").otherwise("block")).alias("verdict"))
