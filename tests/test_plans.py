@@ -183,7 +183,7 @@ def test_contract_and_explanation():
 def test_time_limit(spark):
     assert limits.within(spark, 60, lambda: spark.range(5).count()) == 5
     with pytest.raises(limits.OutOfTime):
-        limits.within(spark, 1, lambda: spark.range(10**13).selectExpr("sum(id * id % 7)").collect())
+        limits.within(spark, 1, lambda: spark.range(10**13).selectExpr("sum(id % 7)").collect())
     with pytest.raises(ZeroDivisionError):
         limits.within(spark, 60, lambda: 1 // 0)
 
