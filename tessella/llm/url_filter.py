@@ -4,9 +4,10 @@ A rule (host, path, verdict) fits its host and all subdomains where the url's pa
 rule wins. URLs that a rule decides are the models' examples, allowed and blocked, each as often as it occurs. A model
 is a variable-order Markov model over the characters of host and path: the probability after a context of k characters
 is (count + STRENGTH * the probability after k - 1) / (context's count + STRENGTH), from order 0 to ORDER. Counts of both
-models are summed over all rows into a count-min sketch of ROWS rows of SLOTS slots, so the table that scoring looks up has
-a fixed size, and a count is wrong only where an n-gram collides in every row; the table reaches the tasks as a scalar
-subquery. A url's score is its log-likelihood difference a character. A fifth of the distinct examples,
+models are exact, in a table by n-gram that grows with the input. A position's ratio depends on its n-gram of order ORDER
+only, so the ratios are worked out once an n-gram and joined to the positions: few n-grams are broadcast, of more only
+those that hold a share of all positions, and the rest is joined by shuffle. A url's score is its log-likelihood
+difference a character. A fifth of the distinct examples,
 held out of the counts, sets the threshold: the cut of least balanced error.
 
 Defined cases: a null url or one without :// has empty host and path, and is scored as such; repeated rows have the same
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import BROADCAST_ROWS, bounded, materialise, table
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-ORDER, STRENGTH, ALPHABET, ROWS, SLOTS = 3, 2.0, 96, 2, 1 << 17
+ORDER, STRENGTH, ALPHABET = 3, 2.0, 96
 FOLDS, BINS_PER_NAT, BINS, TASK_URLS = 5, 50, 500, 5000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,41 +50,40 @@ def grams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(chars) - ORDER), lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
 
 
-def slots(kind: str, k: int) -> list[Column]:
-    """A slot in each row of the sketch for the column gram's n-gram of order k (kind g) or its context (kind c)."""
-    part = F.substring("gram", ORDER - k + 1, k + (kind == "g"))
-    seed = 0 if kind == "g" else k
-    return [(F.pmod(F.xxhash64(F.lit(seed * ROWS + r), part), F.lit(SLOTS)) + r * SLOTS).cast("int") for r in range(ROWS)]
-
-
-#: The element of a model that counts all characters.
-ALL = ROWS * SLOTS
-
-
-def model(positions: DataFrame) -> DataFrame:
-    """One row: arrays of the counts of the allowed and the blocked examples, by slot.
-
-    Each lookup carries its array to the tasks (1 MB, some thirty lookups), so the arrays are read apart and kept small.
-    """
-    parts = [*[("g", k) for k in range(ORDER + 1)], *[("c", k) for k in range(1, ORDER + 1)]]
-    slotted = positions.select("verdict", "n", F.explode(F.array(*[c for p in parts for c in slots(*p)], F.lit(ALL))).alias("slot"))
-    kinds = {k: F.sum(F.when(F.col("verdict") == k, F.col("n")).otherwise(0)).cast("float") for k in ("allow", "block")}
-    counts = slotted.groupBy("slot").agg(*[v.alias(k) for k, v in kinds.items()])
-    full = positions.sparkSession.range(ALL + 1).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left").select("slot", *[F.coalesce(k, F.lit(0.0)).cast("float").alias(k) for k in kinds])
-    rows = full.agg(F.array_sort(F.collect_list(F.struct("slot", *kinds))).alias("rows"))  # ALL + 1 rows, at any size of input
-    return rows.select(F.col("rows.allow").alias("allow"), F.col("rows.block").alias("block"))
-
-
-def log_ratio(m: dict[str, Column]) -> Column:
-    def probability(verdict: str) -> Column:
-        get = lambda c: F.element_at(m[verdict], c + 1).cast("double")
-        at = lambda kind, k: F.least(*[get(c) for c in slots(kind, k)])
-        p = (at("g", 0) + 0.5) / (get(F.lit(ALL)) + 0.5 * ALPHABET)
-        for k in range(1, ORDER + 1):
-            p = (at("g", k) + STRENGTH * p) / (at("c", k) + STRENGTH)
-        return p
-
-    return F.log(probability("allow")) - F.log(probability("block"))
+def counted(positions: DataFrame) -> DataFrame:
+    """Each n-gram of order ORDER at any position: its positions, and its counts in the allowed and the blocked examples."""
+    example = lambda k: F.sum(F.when((F.col("verdict") == k) & ~F.col("held"), F.col("n")).otherwise(0))
+    return positions.groupBy("gram").agg(F.count(F.lit(1)).alias("positions"), example("allow").alias("allow"), example("block").alias("block"))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """Rows (gram, positions, ratio): for each n-gram of order ORDER the difference of its last character's log-probabilities."""
+    kinds = ("allow", "block")
+    sums = [F.sum(k).alias(k) for k in kinds]
+    levels = [counts]  # n-grams of the orders 0 to ORDER
+    for _ in range(ORDER):
+        levels.insert(0, materialise(levels[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*sums), "url-grams"))
+    total = levels[0].agg(*sums).first()
+    p = levels[0].select("gram", *[((F.col(k) + 0.5) / (F.lit(float(total[k] or 0)) + 0.5 * ALPHABET)).alias(f"p_{k}") for k in kinds])
+    for k in range(1, ORDER + 1):
+        context, lower = F.substring("gram", 1, k), F.expr("substring(gram, 2)")
+        contexts = materialise(levels[k].groupBy(context.alias("context")).agg(*[F.sum(v).alias(f"c_{v}") for v in kinds]), "url-contexts")
+        joined = levels[k].withColumns({"context": context, "lower": lower}).join(bounded(contexts), "context").join(bounded(p.withColumnRenamed("gram", "lower")), "lower")
+        p = joined.select("gram", *(["positions"] if k == ORDER else []), *[((F.col(v) + STRENGTH * F.col(f"p_{v}")) / (F.col(f"c_{v}") + STRENGTH)).alias(f"p_{v}") for v in kinds])
+        p = materialise(p, "url-model")
+    return p.select("gram", "positions", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+
+
+def looked_up(positions: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Rows (id, ratio): one for each position. Fewer than BROADCAST_ROWS n-grams can hold more than one in BROADCAST_ROWS positions."""
+    known = ratios.select("gram", "ratio")
+    size = ratios.agg(F.count(F.lit(1)).alias("n"), F.sum("positions").alias("positions")).first()
+    if size.n <= BROADCAST_ROWS:
+        return positions.join(F.broadcast(known), "gram").select("id", "ratio")
+    often = F.col("positions") * BROADCAST_ROWS > size.positions
+    near = positions.join(F.broadcast(ratios.where(often).select("gram", "ratio")), "gram", "left")
+    far = near.where("ratio is null").select("id", "gram").join(ratios.where(~often).select("gram", "ratio").hint("merge"), "gram")
+    return near.where("ratio is not null").select("id", "ratio").unionByName(far.select("id", "ratio"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -107,12 +107,13 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     split = pages.select(F.col(page_id).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     distinct = split.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    distinct = materialise(distinct.withColumns({"rule": name, "verdict": verdict, "held": F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0}), "urls")
+    columns = {"rule": name, "verdict": verdict, "held": F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)) == 0, "id": F.monotonically_increasing_id()}
+    distinct = materialise(distinct.withColumns(columns), "urls")
     tasks = max(1, -(-distinct.count() // TASK_URLS))
-    positions = distinct.repartition(tasks, "host", "path").withColumn("gram", F.explode(grams(F.concat("host", "path"))))
-    counts = materialise(model(positions.where("verdict is not null and not held")), "url-model")
-    score = positions.select("host", "path", "n", "rule", "verdict", "held", log_ratio({k: counts.select(k).scalar() for k in ("allow", "block")}).alias("ratio"))
-    scored = materialise(score.groupBy("host", "path", "n", "rule", "verdict", "held").agg(F.avg("ratio").alias("score")), "url-scores")
+    positions = distinct.repartition(tasks, "id").select("id", "n", "verdict", "held", F.explode(grams(F.concat("host", "path"))).alias("gram"))
+    ratios = log_ratios(materialise(counted(positions), "url-counts"))
+    scores = looked_up(positions.select("id", "gram"), ratios).groupBy("id").agg(F.avg("ratio").alias("score"))
+    scored = materialise(distinct.join(scores, "id"), "url-scores")
     cut = materialise(threshold(scored), "url-threshold")
     decided = scored.select("host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(float("-inf"))), "allow").otherwise("block")).alias("verdict"))
     return split.join(decided, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")

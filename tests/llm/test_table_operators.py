@@ -90,6 +90,38 @@ def test_url_query_decides_every_page(spark):
         assert (got[i].host, got[i].path) == split_url(u) and got[i].rule == rule_of(*split_url(u))[0]
 
 
+@pytest.mark.parametrize("few", [3000, 1 << 20])
+def test_scores_are_exact_whatever_the_number_of_ngrams(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", few, raising=False)
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    urls = ["http://" + ("a.net/de/", "b.org/es/", "c.info/fr/")[i % 3] + text(20) for i in range(9000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    split = pages.select("page_id", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"), F.pmod(F.xxhash64(url_filter.host(F.col("url")), url_filter.path(F.col("url"))), F.lit(url_filter.FOLDS)).alias("fold")).collect()
+    k, counts, contexts = url_filter.ORDER, {v: Counter() for v in ("allow", "block")}, {v: Counter() for v in ("allow", "block")}
+    for r in split:
+        verdict = rule_of(r.host, r.path)[1]
+        if verdict and r.fold:
+            chars = "^" * k + r.host + r.path + "$"
+            for i in range(k, len(chars)):
+                for o in range(k + 1):
+                    counts[verdict][chars[i - o : i + 1]] += 1
+                    contexts[verdict][o, chars[i - o : i]] += 1
+
+    def logp(v, chars, i):
+        p = (counts[v][chars[i]] + 0.5) / (contexts[v][0, ""] + 0.5 * url_filter.ALPHABET)
+        for o in range(1, k + 1):
+            p = (counts[v][chars[i - o : i + 1]] + url_filter.STRENGTH * p) / (contexts[v][o, chars[i - o : i]] + url_filter.STRENGTH)
+        return math.log(p)
+
+    got = {r.page_id: r.score for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(urls)
+    for r in split:
+        chars = "^" * k + r.host + r.path + "$"
+        exact = [logp("allow", chars, i) - logp("block", chars, i) for i in range(k, len(chars))]
+        assert got[r.page_id] == pytest.approx(sum(exact) / len(exact), abs=1e-9)
+
+
 # -- embeddings -------------------------------------------------------------------------------------------------------
 
 
