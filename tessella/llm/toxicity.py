@@ -5,8 +5,9 @@ of 1, 2 and 3 words run over the sequence, each filter's maximum over the text f
 each bucket's product with each filter column, so a word costs a few table rows. Training runs on the driver on a bounded
 sample: at most SAMPLE_PER_CLASS labelled rows of each class, in order of a hash of doc_id, of texts of at most
 TRAIN_CHARS characters (a sample, not a cut: texts are whole). A further sample, in natural proportion, sets the scale of the score
-(Platt) and the threshold of each language (best F1; languages with fewer than MIN_POSITIVE toxic rows take the common
-one). Scores read the text only; lang only picks a threshold.
+(Platt). Thresholds come from every labelled row of the calibration part, texts of any length whole: Spark scores them and counts
+them by language and bin of the score's log-odds, and each language takes its best F1 between bins (languages with fewer than
+MIN_POSITIVE toxic rows take the common one). Scores read the text only; lang only picks a threshold.
 
 Defined cases: a null or empty text is scored by the biases alone; a null doc_id is never held out; without labels
 of both classes every score is the smoothed share of toxic labels and nothing is rejected; repeated rows score alike; other columns
@@ -22,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_prefix, table
+from .common import bounded_batches, clear_prefix, materialise, table
 from .decontamination import cleaned
 
 BUCKETS = 1 << 20
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 SAMPLE_PER_CLASS, CALIBRATION_ROWS, TRAIN_CHARS = 3000, 4000, 30_000
 EPOCHS, BATCH_DOCS, MIN_POSITIVE = 6, 64, 20
+#: Bins of the log-odds, which the scores' six digits keep within 14.6 of zero.
+BINS_PER_LOGIT = 100
 #: Bytes hashed and words pooled at once.
 PIECE_BYTES, PIECE_WORDS = 1 << 20, 1 << 15
 _P = 0x100000001B3  # FNV-64's prime, odd, so that it has an inverse modulo 2**64
@@ -218,17 +221,19 @@ class Classifier:
         self.scale = (float(max(a, 1e-3)), float(b))
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.5) -> float:
-    """The threshold nearest to the default among those whose F1 is within 0.01 of the best."""
-    if not labels.sum():
+def best_threshold(bins: list, default: float = 0.5) -> float:
+    """The threshold nearest to the default among those whose F1 is within 0.01 of the best.
+
+    Bins (least, most, rows, toxic) don't overlap; a threshold lies between neighbouring ones, so that its F1 is exact.
+    """
+    bins = sorted(bins, reverse=True)
+    least, most, rows, toxic = np.array(bins, np.float64).reshape(-1, 4).T
+    if not toxic.sum():
         return default
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + labels.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # ties fall on one side
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(rows) + toxic.sum())
     good = np.flatnonzero(f1 >= f1.max() - 0.01)
-    below = np.append(s[1:], 0)[good]
-    cut = np.clip(default, (below + s[good]) / 2, s[good])
+    below = np.append(most[1:], 0)[good]
+    cut = np.clip(default, (below + least[good]) / 2, least[good])
     return float(cut[np.abs(cut - default).argmin()])
 
 
@@ -236,20 +241,52 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """Rows (doc_id, label, part) outside the held-out part; rows of part 1 are for calibration."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    return rows.withColumn("part", part())
+
+
+def part():
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+def with_lang(docs: DataFrame) -> DataFrame:
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    return docs.select("doc_id", F.col("text"), lang.cast("string").alias("lang"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> list:
-    """Bounded training rows (text, lang, label, use): each class's first rows and the first rows of all, by a hash of doc_id.
+    """Bounded rows (text, label, part) for the fit: each class's first rows and the first rows of all, by a hash of doc_id.
 
     Rows of the calibration part (remainder 1) are in no class's training part.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = rows.withColumns({"part": F.crc32(F.col("doc_id").cast("string")) % 5, "h": F.xxhash64("doc_id")})
+    rows = labelled(labels, label).withColumn("h", F.xxhash64("doc_id"))
     order = ["h", "doc_id"]
     picked = [rows.where((F.col("part") != 1) & (F.col("label") == k)).orderBy(*order).limit(SAMPLE_PER_CLASS) for k in (0, 1)]
     picked.append(rows.where(F.col("part") == 1).orderBy(*order).limit(CALIBRATION_ROWS))
     ids = picked[0].unionByName(picked[1]).unionByName(picked[2])  # at most 2 * SAMPLE_PER_CLASS + CALIBRATION_ROWS rows
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    texts = docs.select("doc_id", F.col("text"), lang.cast("string").alias("lang")).where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang", "label", "part").orderBy("doc_id", "text").collect()
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
+    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", "part").orderBy("doc_id", "text").collect()
+
+
+def histogram(docs: DataFrame, labels: DataFrame, label: str, score, calibration: bool = True) -> list:
+    """Rows (lang, least, most, rows, toxic) by language and bin over all labelled rows of the calibration part, or of all parts.
+
+    Lang is null in the rows over all languages; a language of its own has MIN_POSITIVE toxic rows. Texts are scored before
+    the join, so that they aren't shuffled. The collected rows are at most the bins times the languages.
+    """
+    texts, marks = with_lang(docs).where("doc_id is not null").where(~held_out()), labelled(labels, label)
+    if calibration:
+        texts, marks = texts.where(part() == 1), marks.where("part = 1")
+    scored = texts.select("doc_id", "lang", score.alias("score")).join(marks.select("doc_id", "label"), "doc_id")
+    odds = F.least(F.greatest("score", F.lit(5e-7)), F.lit(1 - 5e-7))
+    bins = scored.groupBy("lang", F.floor(F.log(odds / (1 - odds)) * BINS_PER_LOGIT).alias("bin")).agg(F.min("score").alias("least"), F.max("score").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("toxic"))
+    bins = materialise(bins, "toxicity-bins")
+    enough = bins.where("lang is not null").groupBy("lang").agg(F.sum("toxic").alias("all")).where(F.col("all") >= MIN_POSITIVE).select("lang")
+    every = bins.groupBy("bin").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
+    shape = ["lang", "least", "most", "rows", "toxic"]
+    return bins.join(enough, "lang").select(*shape).unionByName(every.withColumn("lang", F.lit(None).cast("string")).select(*shape)).collect()
 
 
 class Model:
@@ -267,14 +304,15 @@ class Model:
         self.net.fit([np.concatenate(word_buckets(r.text)) for r in train], y)
         rest = rest or train
         z = np.array([r.label for r in rest], np.float64)
-        texts = [r.text for r in rest]
-        self.net.calibrate(self.net.logit(self.net.pooled(texts)).astype(np.float64), z)
-        s = self.net.scores(texts)
-        self.default = best_threshold(s, z)
-        for lang in {r.lang for r in rest if r.lang is not None}:
-            own = np.array([r.lang == lang for r in rest])
-            if z[own].sum() >= MIN_POSITIVE:
-                self.thresholds[lang] = best_threshold(s[own], z[own])
+        self.net.calibrate(self.net.logit(self.net.pooled([r.text for r in rest])).astype(np.float64), z)
+
+    def set_thresholds(self, bins: list) -> None:
+        own: dict[str | None, list] = {}
+        for r in bins:
+            own.setdefault(r.lang, []).append((r.least, r.most, r.rows, r.toxic))
+        cuts = {lang: best_threshold(rows) for lang, rows in own.items()}
+        self.default = cuts.pop(None, self.default)
+        self.thresholds = cuts
 
     def threshold(self, lang):
         out = F.lit(self.default)
@@ -300,7 +338,10 @@ def score_column(spark: SparkSession, model: Model, text: str = "text"):
 def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """docs with score, threshold (its language's) and rejected."""
     model = Model(sample(docs, labels, "toxic"))
-    out = docs.withColumn(prefix + "score", score_column(docs.sparkSession, model))
+    score = score_column(docs.sparkSession, model)
+    if model.net is not None:
+        model.set_thresholds(histogram(docs, labels, "toxic", score) or histogram(docs, labels, "toxic", score, calibration=False))
+    out = docs.withColumn(prefix + "score", score)
     out = out.withColumn(prefix + "threshold", model.threshold(F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")))
     return out.withColumn(prefix + "rejected", F.col(prefix + "score") >= F.col(prefix + "threshold"))
 

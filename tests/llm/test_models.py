@@ -119,3 +119,28 @@ def test_model_edges(spark):
     assert all(0 <= r.score <= 1 for r in tox.values()) and tox[41].score > tox[42].score and tox[100].score == tox[101].score
     qual = {r.doc_id: r.score for r in quality.classify(texts, small, ["doc_id"]).collect()}
     assert qual[100] == qual[101] and all(0 <= s <= 1 for s in qual.values())
+
+
+def test_thresholds_cover_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 100)
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    # a tenth is of a language where all rows are toxic, its texts longer than any of the fit's sample
+    rows = [(i, ("you idiot " if i % 3 == 0 else "fine text ") + "word " * (toxicity.TRAIN_CHARS // 4 if i % 20 < 2 else i % 5), "xx" if i % 20 < 2 else "en", int(i % 3 == 0 or i % 20 < 2)) for i in range(1, 3001)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    for lang in ("en", "xx"):
+        own = [(got[r[0]], r[3]) for r in rows if part(r[0]) == 1 and r[2] == lang]
+        s, y = np.array([r.score for r, _ in own]), np.array([x for _, x in own])
+        f1 = lambda t: 2 * (y * (s >= t)).sum() / max(1, (s >= t).sum() + y.sum())
+        assert y.sum() >= toxicity.MIN_POSITIVE and f1(own[0][0].threshold) >= max(f1(v) for v in s) - 0.02
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 1)), min_size=1, max_size=40))
+def test_threshold_is_a_cut_of_nearly_best_f1(pairs):
+    s, y = np.array([p[0] / 20 for p in pairs]), np.array([p[1] for p in pairs])
+    bins = [(v, v, int((s == v).sum()), int(y[s == v].sum())) for v in np.unique(s)]
+    f1 = lambda t: 2 * (y * (s >= t)).sum() / max(1, (s >= t).sum() + y.sum())
+    got = toxicity.best_threshold(bins)
+    assert got == 0.5 if not y.sum() else f1(got) >= max(f1(v) for v in s) - 0.01 - 1e-12
