@@ -62,7 +62,7 @@ p as (select id, d, unnest(['INV', 'inv']) as p from ids), w as (select id, d, p
 n as (select id, p, case when length(d) >= w then d else lpad(d, w, '0') end as n from w)
 select distinct unnest([p || n, p || '-' || n]) as alias, id from n""")
 def id_aliases(spark, sf_dir):
-    ids = read(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.format_string("INV%03d", "c_custkey").alias("id"))
+    ids = read(spark, sf_dir, "customer").select(F.format_string("INV%03d", "c_custkey").alias("id"))
     return sinks.alias_map(ids)
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from tessella.functions.values import PlanError
 from tessella.operators import compare
-from tessella.plans import contract, dag, limits
+from tessella.plans import contract, dag, extras, limits
 from tessella.plans.compiler import compile_plan
 from tessella.plans.execute import run
 from tessella.sources import catalog, retrieval, sinks
@@ -192,3 +192,16 @@ def test_similarity_with_topics(spark):
     df = spark.createDataFrame([(1, "total revenue by region", ["revenue"], ["sum"]), (2, "total revenue by nation", ["revenue"], ["sum"]), (3, "weather by region", ["weather"], [])], "id int, text string, t array<string>, i array<string>")
     got = {(r.l_id, r.r_id): r for r in compare.similar(df, df, "id", "text", 3, "t", "i").collect()}
     assert got[1, 1].label == "near duplicate" and got[1, 2].score > got[1, 3].score and got[1, 3].topic == 0
+
+
+def test_id_aliases_cover_ids_of_any_length(spark, tmp_path):
+    keys = [1, 12, 100, 999, 1000, 1001, 9999, 10000, 12345]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    want = set()
+    for k in keys:
+        id = f"INV{k:03d}"
+        want |= {(id, id), (id.lower(), id)}
+        if k < 10000:
+            digits = {str(k).zfill(w) for w in range(1, max(3, len(str(k))) + 1)}
+            want |= {(p + hyphen + d, id) for p in ("INV", "inv") for hyphen in ("", "-") for d in digits}
+    assert {(r.alias, r.id) for r in extras.id_aliases(spark, str(tmp_path)).collect()} == want
