@@ -83,17 +83,19 @@ def links(triples: DataFrame, path: list[str]) -> DataFrame:
     return joined.select(F.col("n0").alias("start"), F.col(f"n{len(path)}").alias("end"))
 
 
-def hops(edges: DataFrame, limit: int = 10) -> DataFrame:
-    """Longest of the shortest paths in each graph of edges(graph, a, b): breadth-first by self joins, all starts at once."""
+def hops(edges: DataFrame) -> DataFrame:
+    """Longest of the shortest paths in each graph of edges(graph, a, b): breadth-first by self joins, all starts at once.
+
+    It runs until no start reaches a new node. A neighbour lies at most one step nearer or farther, so what a round
+    reaches is compared with the last two frontiers only.
+    """
     both = edges.select(F.col("graph").alias("g"), F.col("a").alias("from"), F.col("b").alias("to"))
     both = both.union(both.select("g", "to", "from")).distinct().checkpoint()
-    seen = both.select(F.col("g").alias("graph"), F.col("from").alias("start"), F.col("from").alias("node")).distinct().withColumn("d", F.lit(0))
-    frontier, depth = seen, 0
-    while depth < limit:
-        depth += 1
+    frontier = both.select(F.col("g").alias("graph"), F.col("from").alias("start"), F.col("from").alias("node")).distinct().checkpoint()
+    before, found, depth = frontier.limit(0), frontier.select("graph", F.lit(0).alias("d")).distinct(), 0
+    while not frontier.isEmpty():
+        found = found.unionByName(frontier.select("graph", F.lit(depth).alias("d")).distinct()).groupBy("graph").agg(F.max("d").alias("d")).checkpoint()
         reached = frontier.join(both, (F.col("graph") == F.col("g")) & (F.col("node") == F.col("from"))).select("graph", "start", F.col("to").alias("node")).distinct()
-        frontier = reached.join(seen, ["graph", "start", "node"], "left_anti").withColumn("d", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.groupBy("graph").agg(F.max("d").cast("long").alias("hops"))
+        before, frontier = frontier, reached.join(before.unionByName(frontier), ["graph", "start", "node"], "left_anti").checkpoint()
+        depth += 1
+    return found.select("graph", F.col("d").cast("long").alias("hops"))

@@ -7,7 +7,7 @@ from tessella.operators import compare
 from tessella.plans import contract, dag, extras, limits
 from tessella.plans.compiler import compile_plan
 from tessella.plans.execute import run
-from tessella.sources import catalog, retrieval, sinks
+from tessella.sources import catalog, graph, retrieval, sinks
 from tessella.streaming import events
 
 
@@ -205,3 +205,10 @@ def test_id_aliases_cover_ids_of_any_length(spark, tmp_path):
             digits = {str(k).zfill(w) for w in range(1, max(3, len(str(k))) + 1)}
             want |= {(p + hyphen + d, id) for p in ("INV", "inv") for hyphen in ("", "-") for d in digits}
     assert {(r.alias, r.id) for r in extras.id_aliases(spark, str(tmp_path)).collect()} == want
+
+
+def test_hops_have_no_bound(spark):
+    chain = [("chain", i, i + 1) for i in range(14)]
+    ring = [("ring", i, (i + 1) % 9) for i in range(9)]
+    edges = spark.createDataFrame([*chain, *ring, ("pair", 1, 2), ("loop", 5, 5)], "graph string, a long, b long")
+    assert {r.graph: r.hops for r in graph.hops(edges).collect()} == {"chain": 14, "ring": 4, "pair": 1, "loop": 0}
