@@ -108,29 +108,37 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
+#: Texts of a block of the left and of the right side: a task compares one block with another.
+LEFT_BLOCK, RIGHT_BLOCK = 16, 4096
+
+
 def similar(left: DataFrame, right: DataFrame, id: str, text: str, k: int = 3, topics: str | None = None, intents: str | None = None) -> DataFrame:
-    """For each left text the k most similar right texts that share a word.
+    """For each left text the k most similar right texts; each left text is compared with every right text, block by block.
 
     Lexical score: 0.65 of the sequence ratio and 0.35 of the words' Jaccard. With list columns of topics and intents the
-    score is the weighted sum of the lexical score and their overlaps, and a label goes with it.
+    score is the weighted sum of the lexical score and their overlaps, and a label goes with it. A text without words has
+    neither lexical score nor topic. The window's group limit keeps a task's k best of each left text before the shuffle.
+    The work is the product of both sides: left is meant as a set of queries.
     """
     extra = [c for c in (topics, intents) if c]
 
-    def words(df: DataFrame, side: str) -> DataFrame:
+    def words(df: DataFrame, side: str, block: int) -> DataFrame:
         clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-        return df.select(F.col(id).alias(f"{side}_id"), clean.alias(side), F.array_distinct(F.split(clean, " ")).alias(f"{side}_words"), *[F.col(c).alias(f"{side}_{c}") for c in extra])
+        out = df.select(F.col(id).alias(f"{side}_id"), clean.alias(side), F.array_distinct(F.split(clean, " ")).alias(f"{side}_words"), *[F.col(c).alias(f"{side}_{c}") for c in extra])
+        return out.repartition(max(1, -(-df.count() // block)))
 
-    l, r = words(left, "l"), words(right, "r")
-    pairs = l.select("l_id", F.explode("l_words").alias("w")).join(r.select("r_id", F.explode("r_words").alias("w")), "w").groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("shared"))
+    full = words(left, "l", LEFT_BLOCK).crossJoin(words(right, "r", RIGHT_BLOCK).hint("shuffle_replicate_nl"))
 
     @F.pandas_udf("double")
     def ratio(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in a:
             yield pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y, strict=True)])
 
-    full = pairs.join(l, "l_id").join(r, "r_id")
-    lexical = 0.65 * ratio("l", "r") + 0.35 * F.col("shared") / (F.size("l_words") + F.size("r_words") - F.col("shared"))
+    worded = (F.col("l") != "") & (F.col("r") != "")
+    shared = F.size(F.array_intersect("l_words", "r_words"))
+    lexical = F.when(worded, 0.65 * ratio("l", "r") + 0.35 * shared / (F.size("l_words") + F.size("r_words") - shared)).otherwise(0.0)
     by = {name: overlap(F.col(f"l_{c}"), F.col(f"r_{c}")) if c else F.lit(0.0) for name, c in (("topic", topics), ("intent", intents))}
+    by["topic"] = F.when(worded, by["topic"]).otherwise(0.0)
     scored = full.select("l_id", "r_id", lexical.alias("lexical"), *[v.alias(n) for n, v in by.items()])
     score = LEXICAL * F.col("lexical") + TOPIC * F.col("topic") + INTENT * F.col("intent") if extra else F.col("lexical")
     label = F.when((F.col("score") >= 0.35) & (F.col("topic") >= 0.35) & (F.col("intent") > 0), "related").otherwise("different")

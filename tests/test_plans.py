@@ -212,3 +212,25 @@ def test_hops_have_no_bound(spark):
     ring = [("ring", i, (i + 1) % 9) for i in range(9)]
     edges = spark.createDataFrame([*chain, *ring, ("pair", 1, 2), ("loop", 5, 5)], "graph string, a long, b long")
     assert {r.graph: r.hops for r in graph.hops(edges).collect()} == {"chain": 14, "ring": 4, "pair": 1, "loop": 0}
+
+
+def test_similarity_needs_no_shared_word(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(compare, "LEFT_BLOCK", 2, raising=False)
+    monkeypatch.setattr(compare, "RIGHT_BLOCK", 3, raising=False)
+    left = {1: "databases", 2: "Weather by region!", 3: "", 4: None, 5: "qqq"}
+    right = {1: "database", 2: "weatherby regions", 3: "zzz", 4: "", 5: "region", 6: "data bases", 7: "region weather by"}
+    shape = "id long, text string"
+    clean = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+
+    def lexical(a, b):
+        x, y = clean(a), clean(b)
+        return 0.65 * SequenceMatcher(None, " ".join(x), " ".join(y)).ratio() + 0.35 * len({*x} & {*y}) / len({*x} | {*y}) if x and y else 0.0
+
+    want = {i: sorted(((-lexical(a, b), j) for j, b in right.items()))[:3] for i, a in left.items()}
+    got = compare.similar(spark.createDataFrame(list(left.items()), shape), spark.createDataFrame(list(right.items()), shape), "id", "text", 3).collect()
+    assert len(got) == 3 * len(left)
+    for r in got:
+        score, best = want[r.l_id][r.rank - 1]
+        assert r.r_id == best and r.score == pytest.approx(-score, abs=1e-12)
