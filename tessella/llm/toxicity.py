@@ -63,20 +63,39 @@ def hashed(clean: bytes) -> np.ndarray:
     up, down = _POWERS.to(len(a))
     total = np.cumsum(a * up[: len(a)], dtype=np.uint64)
     h = (total[end - 1] - total[start - 1]) * down[start]
+    return finished(h)
+
+
+def finished(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
     return (h >> np.uint64(44)).astype(np.int32) % BUCKETS
 
 
+def long_word(word: bytes) -> np.ndarray:
+    """Bucket of one word, hashed piece by piece as hashed() does."""
+    total, power = 0, 1
+    up = _POWERS.to(PIECE_BYTES)[0][:PIECE_BYTES]
+    for at in range(0, len(word), PIECE_BYTES):
+        a = np.frombuffer(word, np.uint8, min(PIECE_BYTES, len(word) - at), at)
+        total += power * int((a * up[: len(a)]).sum(dtype=np.uint64))
+        power = power * pow(_P, PIECE_BYTES, 1 << 64) % (1 << 64)
+    return finished(np.array([total % (1 << 64)], np.uint64))
+
+
 def word_buckets(text: str | None) -> list[np.ndarray]:
-    """The text's word buckets in pieces of at most PIECE_BYTES, cut between words."""
-    clean, pieces = cleaned(text), []
-    while len(clean) > PIECE_BYTES:
-        cut = clean.rfind(b" ", 0, PIECE_BYTES)
-        cut = cut if cut > 0 else PIECE_BYTES
-        pieces.append(hashed(clean[:cut]))
-        clean = clean[cut:]
-    return [*pieces, hashed(clean)]
+    """The text's word buckets in pieces of at most PIECE_BYTES, cut between words; a longer word is a piece of its own."""
+    clean, pieces, at = cleaned(text), [], 0
+    while len(clean) - at > PIECE_BYTES:
+        cut = clean.rfind(b" ", at + 1, at + PIECE_BYTES)
+        if cut > 0:
+            pieces.append(hashed(clean[at:cut]))
+        else:
+            cut = clean.find(b" ", at + PIECE_BYTES)
+            cut = cut if cut > 0 else len(clean)
+            pieces.append(long_word(clean[at:cut].strip(b" ")))
+        at = cut
+    return [*pieces, hashed(clean[at:])]
 
 
 def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +136,25 @@ class Classifier:
         out = np.full((len(texts), len(self.bias)), -np.inf, np.float32)
         held: list[np.ndarray] = []
         owner: list[int] = []
+        pad = np.full(max(WIDTHS) - 1, BUCKETS, np.int32)
 
         def flush():
-            seq, start = laid_out(held)
-            np.maximum.at(out, owner, np.maximum.reduceat(self.responses(seq), start, axis=0))
+            end = np.cumsum([len(h) for h in held])
+            start = end - [len(h) for h in held]
+            spans = np.column_stack([start, end - len(pad)]).ravel()[:-1]  # windows across two parts belong to none
+            np.maximum.at(out, owner, np.maximum.reduceat(self.responses(np.concatenate(held)), spans, axis=0)[::2])
             held.clear()
             owner.clear()
 
         words = 0
         for i, text in enumerate(texts):
-            for piece in word_buckets(text):
-                held.append(piece)
+            pieces, before = word_buckets(text), pad
+            for k, piece in enumerate(pieces):
+                part = np.concatenate([before, piece, pad] if k == len(pieces) - 1 else [before, piece])
+                before = part[-len(pad) :]  # the next piece's first windows begin here
+                if len(part) == len(pad):
+                    continue
+                held.append(part)
                 owner.append(i)
                 words += len(piece)
                 if words >= PIECE_WORDS:

@@ -144,3 +144,14 @@ def test_threshold_is_a_cut_of_nearly_best_f1(pairs):
     f1 = lambda t: 2 * (y * (s >= t)).sum() / max(1, (s >= t).sum() + y.sum())
     got = toxicity.best_threshold(bins)
     assert got == 0.5 if not y.sum() else f1(got) >= max(f1(v) for v in s) - 0.01 - 1e-12
+
+
+def test_filters_and_hashes_see_across_pieces(monkeypatch):
+    net, rng = toxicity.Classifier(), np.random.default_rng(5)
+    net.embed[:-1] += rng.normal(0, 1, net.embed[:-1].shape).astype(np.float32)
+    texts = [" ".join("w%d" % w for w in rng.integers(0, 99, n)) for n in (0, 1, 2, 3, 40, 200)] + ["a " * 30 + "long" * 60 + " b", "x" * 999, None, "  " * 90, "ab " * 50]
+    whole, buckets = net.pooled(texts), [np.concatenate(toxicity.word_buckets(t)).tolist() for t in texts]
+    for size in (2, 7, 50):
+        monkeypatch.setattr(toxicity, "PIECE_BYTES", size)
+        assert [np.concatenate(toxicity.word_buckets(t)).tolist() for t in texts] == buckets
+        assert np.allclose(net.pooled(texts), whole, atol=1e-4)
