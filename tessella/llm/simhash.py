@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialise, table
+from .common import bounded_batches, clear_prefix, components, materialise, table
 
 SHINGLE = 4
 BITS = 4
@@ -177,28 +177,33 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return distinct.mapInArrow(_enter(tasks), "task int, fps binary, entries binary").repartitionById(tasks, F.col("task")).mapInArrow(verify, "a long, b long")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """Rows (doc_id, fp long, component_id) for each document."""
-    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, shingle).alias("fp")), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+def leaders(prints: DataFrame, least: Column, bits: int = BITS) -> DataFrame:
+    """Rows (fp, leader): for each fingerprint the least value over its component, where least is an aggregate by minimum."""
+    classes = materialise(prints.groupBy("fp").agg(least.alias("least")), "simhash-classes")
     nodes = components(links(classes.select("fp"), bits), "simhash-links")
     roots = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
     linked = roots.join(classes, roots.node == classes.fp).select("fp", "root", "least")
     lead = linked.groupBy("root").agg(F.min("least").alias("component"))
-    groups = classes.join(linked.join(lead, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    # written, so that both sides of the last join come straight from exchanges and a hot fingerprint's rows can be split
-    return prints.join(materialise(groups, "simhash-groups"), "fp", "left").select("doc_id", "fp", "component_id")
+    groups = classes.join(linked.join(lead, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("leader"))
+    # written, so that both sides of the next join come straight from exchanges and a hot fingerprint's rows can be split
+    return materialise(groups, "simhash-groups")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """Rows (doc_id, fp long, component_id) for each document."""
+    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, shingle).alias("fp")), "simhash")
+    groups = leaders(prints, F.min("doc_id"), bits)
+    return prints.join(groups, "fp", "left").select("doc_id", "fp", F.col("leader").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays; documents without an id stay too."""
-    groups = dedup(docs)
-    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    twice = materialise(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "simhash-twice")
-    if not twice.isEmpty():  # a doc_id that several rows bear: one row of them stays
-        copies = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(copies)
+    """Pipeline stage: one row of each component stays, of the least doc_id (rows without an id last), then of the least row number."""
+    row = clear_prefix(docs, "row") + "row"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = materialise(numbered.select("doc_id", F.col(row).alias("row"), fingerprints(numbered, "text", SHINGLE).alias("fp")), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    gone = prints.join(leaders(prints, first), "fp").where("row <> leader.row").select(F.col("row").alias(row))
+    kept = numbered.join(materialise(gone, "simhash-gone"), row, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

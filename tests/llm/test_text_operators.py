@@ -185,6 +185,13 @@ def test_simhash_edges(spark):
     assert simhash.dedup(docs.limit(0)).count() == 0
 
 
+def test_simhash_stage_decides_by_row(spark):
+    words = lambda k: " ".join(f"w{k}x{i * i}" for i in range(60))
+    rows = [(None, words(1)), (None, words(1)), (None, words(2)), (1, words(3)), (2, words(3)), (2, words(4)), (7, words(5)), (7, words(6)), (9, words(2))]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, words(1)), (9, words(2)), (1, words(3)), (2, words(4)), (7, words(5)), (7, words(6))], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(5000 - i, 5001 - i) for i in range(40)] + [(7, 7)]
     random.Random(2).shuffle(edges)
