@@ -1,17 +1,22 @@
 """Toxicity: a convolutional text classifier in numpy.
 
 Words (runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased) are hashed into BUCKETS embeddings; filters
-of 1, 2 and 3 words run over the sequence, each filter's maximum over the text feeds a logistic output. Scoring looks up
-each bucket's product with each filter column, so a word costs a few table rows. Training runs on the driver on a bounded
-sample: at most SAMPLE_PER_CLASS labelled rows of each class, in order of a hash of doc_id, of texts of at most
-TRAIN_CHARS characters (a sample, not a cut: texts are whole). A further sample, in natural proportion, sets the scale of the score
-(Platt). Thresholds come from every labelled row of the calibration part, texts of any length whole: Spark scores them and counts
-them by language and bin of the score's log-odds, and each language takes its best F1 between bins (languages with fewer than
-MIN_POSITIVE toxic rows take the common one). Scores read the text only; lang only picks a threshold.
-
-Defined cases: a null or empty text is scored by the biases alone; a null doc_id is never held out; without labels
-of both classes every score is the smoothed share of toxic labels and nothing is rejected; repeated rows score alike; other columns
-pass through, and `prefix` sets the result's apart from columns of the same name.
+of 1, 2 and 3 words run over the sequence, each filter's maximum over the text feeds a logistic output. All weights start
+from small random numbers and are learnt by gradients only: Adam on filters and outputs, Adagrad on the embeddings that a
+batch's maxima touch, dropout on the pooled values. RESTARTS nets are trained and the one of least calibration loss stays.
+
+Training runs on the driver on a bounded sample, whose bounds are parameters: the first rows of each class in order of a
+hash of doc_id and text, at most SAMPLE_PER_CLASS of them and SAMPLE_BYTES bytes of whole texts (a text over a quarter of
+SAMPLE_BYTES can't be in the sample). A further sample of CALIBRATION_ROWS, in natural proportion and of as many bytes,
+sets the scale of the score (Platt). Thresholds come from every labelled row of the calibration part, texts of any length
+whole: Spark scores them and counts them by language and bin of the score's log-odds, and each language takes its best F1
+between bins (languages with fewer than MIN_POSITIVE toxic rows take the common one). Scores read the text only; lang only
+picks a threshold.
+
+Defined cases: a null or empty text is scored by the biases alone; a null doc_id is never held out; a doc_id of several
+documents labels each of them; without labels of both classes every score is the smoothed share of toxic labels and
+nothing is rejected; repeated rows score alike; other columns pass through, and `prefix` sets the result's apart from
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, clear_prefix, materialise, table
@@ -28,12 +33,15 @@ from .decontamination import cleaned
 
 BUCKETS = 1 << 20
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
-SAMPLE_PER_CLASS, CALIBRATION_ROWS, TRAIN_CHARS = 3000, 4000, 30_000
-EPOCHS, BATCH_DOCS, MIN_POSITIVE = 6, 64, 20
+SAMPLE_PER_CLASS, CALIBRATION_ROWS, SAMPLE_BYTES = 3000, 4000, 12 << 20
+EPOCHS, BATCH_DOCS, RESTARTS, MIN_POSITIVE = 12, 32, 3, 20
+DROPOUT, EMBED_RATE, EMBED_DECAY, RATE, DECAY = 0.2, 0.02, 1e-3, 0.01, 1e-4
 #: Bins of the log-odds, which the scores' six digits keep within 14.6 of zero.
 BINS_PER_LOGIT = 100
 #: Bytes hashed and words pooled at once.
 PIECE_BYTES, PIECE_WORDS = 1 << 20, 1 << 15
+#: Rows of every product: of one shape, so that a row's result doesn't depend on its neighbours.
+PRODUCT_ROWS = 4096
 _P = 0x100000001B3  # FNV-64's prime, odd, so that it has an inverse modulo 2**64
 
 
@@ -105,31 +113,42 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for d in docs for x in (pad, d)] + [pad]), start
 
 
+def peaks(x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each column's maximum over each doc's rows, and the first row where it stands."""
+    peak = np.maximum.reduceat(x, start, axis=0)
+    doc = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x))))
+    at = np.zeros(peak.shape, np.int64)
+    where, column = np.nonzero(x == peak[doc])
+    at[doc[where[::-1]], column[::-1]] = where[::-1]
+    return peak, at
+
+
 class Classifier:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.embed = np.concatenate([rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)), np.zeros((1, DIMENSIONS))]).astype(np.float32)
+        self.embed = np.concatenate([rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), np.zeros((1, DIMENSIONS))]).astype(np.float32)
         self.filters = [rng.normal(0, 0.4 / np.sqrt(w), (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
-        for f in self.filters:
-            f[:, 0, :] = np.abs(f[:, 0, :])
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
-        self.out = np.abs(rng.normal(0, 0.3, FILTERS * len(WIDTHS))).astype(np.float32)
+        self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.shift, self.scale = np.float32(0), (1.0, 0.0)
 
     def responses(self, seq: np.ndarray) -> np.ndarray:
         """(positions, filters) before bias, for every window's first position."""
-        n = len(seq) - max(WIDTHS) + 1
-        x = self.embed[seq]
+        n, reach = len(seq) - max(WIDTHS) + 1, max(WIDTHS) - 1
         out = np.empty((n, FILTERS * len(WIDTHS)), np.float32)
-        for k, w in enumerate(WIDTHS):
-            part = out[:, k * FILTERS : (k + 1) * FILTERS]
-            part[:] = x[:n] @ self.filters[k][0]
-            for j in range(1, w):
-                part += x[j : j + n] @ self.filters[k][j]
+        block = np.zeros((PRODUCT_ROWS + reach, DIMENSIONS), np.float32)
+        for at in range(0, n, PRODUCT_ROWS):
+            end = min(n, at + PRODUCT_ROWS)
+            block[: end - at + reach] = self.embed[seq[at : end + reach]]
+            for k, w in enumerate(WIDTHS):
+                part = block[:PRODUCT_ROWS] @ self.filters[k][0]
+                for j in range(1, w):
+                    part += block[j : j + PRODUCT_ROWS] @ self.filters[k][j]
+                out[at:end, k * FILTERS : (k + 1) * FILTERS] = part[: end - at]
         return out
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
-        return np.maximum(pooled + self.bias, 0) @ self.out + self.shift
+        return (np.maximum(pooled + self.bias, 0) * self.out).sum(axis=1) + self.shift
 
     def pooled(self, texts) -> np.ndarray:
         """Largest response of each filter over each whole text."""
@@ -171,30 +190,26 @@ class Classifier:
         z = a * self.logit(self.pooled(texts)).astype(np.float64) + b
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)  # the last bits depend on a row's place in its batch
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
-        """Adam on the filters and outputs, Adagrad on the embeddings that a batch's maxima touch."""
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> None:
+        """Gradient steps on weighted log-loss, both classes weighing the same; rates fall to zero over the epochs."""
         rng, n = np.random.default_rng(seed), len(docs)
-        self.lean(docs, labels)
         params = [*self.filters, self.bias, self.out]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        gathered = np.full((BUCKETS + 1, 1), 1e-3, np.float32)
+        gathered = np.full((BUCKETS + 1, 1), 1e-6, np.float32)
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
         step = 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(n)
+        for epoch in range(epochs):
+            order, pace = rng.permutation(n), 1 - epoch / epochs
             for i in range(0, n, BATCH_DOCS):
                 own = order[i : i + BATCH_DOCS]
                 seq, start = laid_out([docs[k] for k in own])
                 x = self.responses(seq)
-                peak = np.maximum.reduceat(x, start, axis=0)
-                doc = np.repeat(np.arange(len(own)), np.diff(np.append(start, len(x))))
-                at = np.zeros(peak.shape, np.int64)
-                where, column = np.nonzero(x == peak[doc])
-                at[doc[where[::-1]], column[::-1]] = where[::-1]
-                hidden = np.maximum(peak + self.bias, 0)
+                peak, at = peaks(x, start)
+                kept = (rng.random(peak.shape) >= DROPOUT).astype(np.float32) / (1 - DROPOUT)
+                hidden = np.maximum(peak + self.bias, 0) * kept
                 p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift, -30, 30)))
                 error = ((p - labels[own]) * weight[own] / len(own)).astype(np.float32)
-                back = error[:, None] * self.out * (hidden > 0)
+                back = error[:, None] * self.out * (hidden > 0) * kept
                 grads, to, change = [], [], []
                 for k, w in enumerate(WIDTHS):
                     g, t = back[:, k * FILTERS : (k + 1) * FILTERS], at[:, k * FILTERS : (k + 1) * FILTERS]
@@ -208,28 +223,18 @@ class Classifier:
                 grads += [back.sum(axis=0), error @ hidden]
                 step += 1
                 for q, g, m, v in zip(params, grads, first, second, strict=True):
-                    g = g + 1e-4 * q
+                    g = g + DECAY * q
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    q -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-                self.shift -= np.float32(0.05 * error.sum())
+                    q -= RATE * pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+                self.shift -= np.float32(0.05 * pace * error.sum())
                 ids, inverse = np.unique(np.concatenate(to), return_inverse=True)
                 g = np.zeros((len(ids), DIMENSIONS), np.float32)
                 np.add.at(g, inverse, np.concatenate(change))
                 gathered[ids] += (g * g).mean(axis=1, keepdims=True)
-                self.embed[ids] -= 0.01 * (g / np.sqrt(gathered[ids]) + 0.01 * self.embed[ids])
+                self.embed[ids] -= EMBED_RATE * pace * (g / np.sqrt(gathered[ids])) + EMBED_DECAY * self.embed[ids]
                 self.embed[BUCKETS] = 0
 
-    def lean(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """First dimension: a tenth of the deviations by which a bucket's toxic documents exceed their due, within 2; unseen buckets are zero."""
-        count = np.zeros((2, BUCKETS + 1))
-        for d, y in zip(docs, labels, strict=True):
-            count[int(y), np.unique(d)] += 1
-        share, seen = labels.mean(), count.sum(axis=0)
-        excess = (count[1] - share * seen) / np.sqrt(share * (1 - share) * np.maximum(seen, 1))
-        self.embed[seen == 0] = 0
-        self.embed[:, 0] = np.clip(excess / 10, -2, 2)
-
     def calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
         """Platt's scale by Newton steps with smoothed targets."""
         pos, neg = labels.sum(), (1 - labels).sum()
@@ -247,6 +252,12 @@ class Classifier:
             a, b = a - move[0], b - move[1]
         self.scale = (float(max(a, 1e-3)), float(b))
 
+    def loss(self, logits: np.ndarray, labels: np.ndarray) -> float:
+        """Mean log-loss at the calibrated scale."""
+        a, b = self.scale
+        z = np.clip(a * logits + b, -30, 30)
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z)) if len(z) else 0.0
+
 
 def best_threshold(bins: list, default: float = 0.5) -> float:
     """The threshold nearest to the default among those whose F1 is within 0.01 of the best.
@@ -284,17 +295,26 @@ def with_lang(docs: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> list:
-    """Bounded rows (text, label, part) for the fit: each class's first rows and the first rows of all, by a hash of doc_id.
+    """Bounded rows (doc_id, text, label, part) for the fit: the first rows of each class and of the calibration part.
 
-    Rows of the calibration part (remainder 1) are in no class's training part.
+    Order is by a hash of doc_id and text. Lengths and hashes are joined first, and only the chosen rows' texts travel:
+    at most 2 * SAMPLE_PER_CLASS + CALIBRATION_ROWS rows of 3 * SAMPLE_BYTES bytes. Equal rows count once.
     """
-    rows = labelled(labels, label).withColumn("h", F.xxhash64("doc_id"))
-    order = ["h", "doc_id"]
-    picked = [rows.where((F.col("part") != 1) & (F.col("label") == k)).orderBy(*order).limit(SAMPLE_PER_CLASS) for k in (0, 1)]
-    picked.append(rows.where(F.col("part") == 1).orderBy(*order).limit(CALIBRATION_ROWS))
-    ids = picked[0].unionByName(picked[1]).unionByName(picked[2])  # at most 2 * SAMPLE_PER_CLASS + CALIBRATION_ROWS rows
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", "part").orderBy("doc_id", "text").collect()
+    known = docs.where("doc_id is not null").where(~held_out()).select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    known = known.where(F.col("size") <= SAMPLE_BYTES // 4).groupBy("doc_id", "t").agg(F.max("size").alias("size"))
+    rows = materialise(known.join(labelled(labels, label), "doc_id").withColumn("h", F.xxhash64("doc_id", "t")), "toxicity-known")
+    order = ["h", "doc_id", "t"]
+
+    def first(few: DataFrame, count: int) -> DataFrame:
+        few = few.orderBy(*order).limit(count)  # at most `count` rows, without texts, in the window below
+        before = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        return few.withColumn("bytes", before).where(F.col("bytes") <= SAMPLE_BYTES).drop("bytes")
+
+    picked = [first(rows.where((F.col("part") != 1) & (F.col("label") == k)), SAMPLE_PER_CLASS) for k in (0, 1)]
+    picked.append(first(rows.where(F.col("part") == 1), CALIBRATION_ROWS))
+    ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).select("doc_id", "t", "label", "part")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(ids), ["doc_id", "t"])
+    return texts.groupBy("doc_id", "t").agg(F.any_value("text").alias("text"), F.max("label").alias("label"), F.max("part").alias("part")).orderBy("doc_id", "t").collect()
 
 
 def histogram(docs: DataFrame, labels: DataFrame, label: str, score, calibration: bool = True) -> list:
@@ -327,11 +347,16 @@ class Model:
         if not len(y) or y.min() == y.max():
             return
         self.default = 0.5
-        self.net = Classifier()
-        self.net.fit([np.concatenate(word_buckets(r.text)) for r in train], y)
         rest = rest or train
         z = np.array([r.label for r in rest], np.float64)
-        self.net.calibrate(self.net.logit(self.net.pooled([r.text for r in rest])).astype(np.float64), z)
+        docs, texts, least = [np.concatenate(word_buckets(r.text)) for r in train], [r.text for r in rest], np.inf
+        for k in range(RESTARTS):
+            net = Classifier(seed=7 + k)
+            net.fit(docs, y, seed=11 + k)
+            logits = net.logit(net.pooled(texts)).astype(np.float64)
+            net.calibrate(logits, z)
+            if (loss := net.loss(logits, z)) < least:
+                self.net, least = net, loss
 
     def set_thresholds(self, bins: list) -> None:
         own: dict[str | None, list] = {}
