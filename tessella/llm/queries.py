@@ -22,4 +22,5 @@ SQL = {
     "op5_embedding_dedup": embeddings.SQL,
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_sharding": sharding.SQL,
 }

@@ -272,45 +272,149 @@ def test_mix_against_resharing(spark):
 # -- sharding ---------------------------------------------------------------------------------------------------------
 
 
-def test_compaction_keeps_every_row(spark, tmp_path, monkeypatch):
+def paths(store, version=None):
+    return {r.file for r in store.manifest(version).collect()}
+
+
+def plan_by_hand(files, target):
+    """files (name, size) -> sets of files that one pass merges: runs of a tier, cut at the target, of FAN files or half a target."""
+    tiers, runs = {}, []
+    for name, size in sorted(files):
+        if size < target / 2:
+            tier = max(0, math.floor(math.log(max(size, 1) / sharding.BASE_BYTES) / math.log(sharding.FAN)))
+            at, members = tiers.setdefault(tier, [0, {}])
+            members.setdefault(at // target, []).append((name, size))
+            tiers[tier][0] += size
+    for _, members in tiers.values():
+        for run in members.values():
+            if len(run) >= sharding.FAN or (len(run) > 1 and sum(s for _, s in run) >= target / 2):
+                runs.append(frozenset(n for n, _ in run))
+    return set(runs)
+
+
+def small_store(spark, tmp_path, monkeypatch, target=20_000):
     monkeypatch.setattr(sharding, "ARRIVAL_ROWS", 10)
     monkeypatch.setattr(sharding, "BASE_BYTES", 1 << 10)
+    return sharding.Store(spark, f"file://{tmp_path}/s", target=target)
+
+
+def test_compaction_keeps_every_row(spark, tmp_path, monkeypatch):
     rows = [(i, "t" * (i % 50) * 20 if i % 11 else None, i % 3) for i in range(500)] + [(7, "same", 1)] * 20 + [(None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, file int").repartition(6)
-    store = sharding.Store(spark, f"file://{tmp_path}/s", target=20_000)
-    store.append(docs)
-    store.append(docs.limit(0))
-    store.append(docs.limit(40))
+    store = small_store(spark, tmp_path, monkeypatch)
+    assert [store.append(docs), store.append(docs.limit(0)), store.append(docs.limit(40))] == [1, 2, 3]
     arrived, _, _ = store.read(docs.schema)
     before, small = arrived.select(docs.columns).collect(), store.manifest().count()
     assert len(before) == 561 and small > 50
-    assert store.compact(docs.schema) == 4 and store.versions() == [1, 2, 3, 4]
+    last = store.compact(docs.schema)
+    assert last > 3 and store.versions() == list(range(1, last + 1))
     after, file, version = store.read(docs.schema)
     assert (file, version) == ("shard", "version") and after.columns == [*docs.columns, "shard", "version"]
     assert sorted(map(str, after.select(docs.columns).collect())) == sorted(map(str, before))
     live = store.manifest().collect()
     assert 1 < len(live) < small / 3 and sum(r["rows"] for r in live) == 561
-    assert {r.version for r in after.select("version").distinct().collect()} == {4}
+    assert {r.version for r in after.select("version").distinct().collect()} == {last}
 
 
-def test_a_version_is_committed_once(spark, tmp_path):
-    store = sharding.Store(spark, f"file://{tmp_path}/s")
+def test_each_pass_merges_the_runs_of_the_plan(spark, tmp_path, monkeypatch):
+    store, rng = small_store(spark, tmp_path, monkeypatch), random.Random(4)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh", k=rng.choice((5, 300, 2000))))) for i in range(400)], "doc_id long, text string").repartition(7)
+    store.append(docs)
+    passes = 0
+    while True:
+        live = store.manifest().collect()
+        expected = plan_by_hand([(r.file, r.size) for r in live], store.target)
+        done = store.merge(docs.schema)
+        assert done == bool(expected)
+        if not done:
+            break
+        passes += 1
+        now, gone = store.manifest().collect(), set().union(*expected)
+        assert {r.file for r in live} - {r.file for r in now} == gone
+        made = [r for r in now if r.file not in {x.file for x in live}]
+        size = {r.file: r for r in live}
+        assert sorted(r["rows"] for r in made) == sorted(sum(size[f]["rows"] for f in run) for run in expected)
+        assert sorted(r.raw for r in made) == sorted(sum(size[f].raw for f in run) for run in expected)
+        assert all(sum(size[f].raw for f in run) <= 1.5 * sharding.RAW_FACTOR * store.target for run in expected)
+    assert passes
+    version = store.current()
+    assert store.compact(docs.schema) == version  # a second compaction rewrites nothing
+
+
+def test_files_of_target_size_and_lone_files_stay(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path, monkeypatch)
+    text = spark.range(9).select(F.col("id").alias("doc_id"), F.expr("repeat(sha2(string(id), 512), 150)").alias("text"))
+    big = text.select("doc_id", "text").repartition(1)
+    for _ in range(5):
+        store.append(big)  # each file fills more than half a target by its raw bytes
+    small = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for _ in range(sharding.FAN - 1):
+        store.append(small)
+    before = paths(store)
+    assert store.compact(big.schema) == 5 + sharding.FAN - 1 and paths(store) == before
+    store.append(small)
+    store.compact(big.schema)
+    now = paths(store)
+    assert len(before & now) == 5 and len(now) == 6
+
+
+def test_versions_of_two_writers(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path, monkeypatch)
+    other = sharding.Store(spark, store.root, store.target)
     entries = spark.createDataFrame([], sharding.MANIFEST)
     store.commit(entries, 1)
-    with pytest.raises(RuntimeError, match="another writer"):
-        store.commit(entries, 1)
-    assert store.versions() == [1]
+    with pytest.raises(sharding.Conflict, match="another writer"):
+        other.commit(entries, 1)
+    assert store.versions() == [1] and len(list((tmp_path / "s" / "manifest").iterdir())) == 1
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)], "doc_id long, text string").repartition(4)
+    store.append(docs)
+    merged = paths(store)
+    # the other one merges the same files in between: what was planned on the old version fails, nothing is lost or doubled
+    assert other.merge(docs.schema)
+    with pytest.raises(sharding.Conflict, match="same files"):
+        store.change(spark.createDataFrame([], sharding.MANIFEST), spark.createDataFrame([(f,) for f in merged], "file string"))
+    # an append that loses the race is based anew on the winner's version
+    true_commit, lost = store.commit, []
+
+    def late(found, version):
+        if not lost:
+            lost.append(other.append(docs.limit(3)))
+        return true_commit(found, version)
+
+    monkeypatch.setattr(store, "commit", late)
+    assert store.append(docs.limit(5)) == lost[0] + 1
+    assert store.read(docs.schema)[0].count() == 88
+
+
+def test_old_versions_stay_until_vacuum(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path, monkeypatch)
+    docs = spark.createDataFrame([(i, "text " * i) for i in range(90)], "doc_id long, text string").repartition(3)
+    store.append(docs)
+    opened = store.read(docs.schema)[0]
+    last = store.compact(docs.schema)
+    assert last > 1 and opened.count() == 90 and store.read(docs.schema, 1)[0].select("doc_id").distinct().count() == 90
+    (tmp_path / "s" / "data" / store.manifest().first().folder / "part-stray.parquet").write_bytes(b"never named by a manifest")
+    assert store.read(docs.schema)[0].count() == 90
+    store.vacuum(keep=1)
+    assert store.versions() == [last] and store.read(docs.schema)[0].count() == 90
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 1
 
 
-def test_sharding_edges(spark, tmp_path):
+def test_sharding_query_and_edges(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, shard string").limit(0)
     out, file, _ = sharding.shard(docs, f"file://{tmp_path}/e")
     assert out.count() == 0 and file == "_shard"
-    shards = [(f"f{i:03}", sharding.BASE_BYTES * (1 if i % 2 else 9)) for i in range(40)]
-    df = spark.createDataFrame(shards, "file string, bytes long").withColumns({"tier": sharding.tier(F.col("bytes")), "part": F.lit(0)})
-    plan = sharding.merged(df, 64 << 20).collect()
-    by = {}
-    for r in plan:
-        by.setdefault(r.goes, []).append(r)
-    assert sum(len({x.tier for x in v}) > 1 for v in by.values()) <= 1  # runs of one tier merge; what is left over may mix
-    assert all(sum(x.bytes for x in v) <= (64 << 20) + max(x.bytes for x in v) for v in by.values())
+    rows = [(1, "x" * 3_000_000), (1, "x" * 3_000_000), (None, None), (2, "")]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    out, _, _ = sharding.shard(long, f"file://{tmp_path}/l", target=1 << 20)
+    assert sorted((r.doc_id or 0, len(r.text or ""), r.text is None) for r in out.collect()) == sorted((a or 0, len(b or ""), b is None) for a, b in rows)
+    got, given = sharding.query(spark, SF), spark.read.parquet(f"{SF}/documents.parquet")
+    assert got.columns == given.columns and got.exceptAll(given).count() == 0 and given.exceptAll(got).count() == 0
+    many = [(f"f{i:05}", sharding.BASE_BYTES * (1 if i % 2 else 9)) for i in range(25_000)]
+    live = spark.createDataFrame(many, "file string, size long").withColumn("tier", sharding.tier(F.col("size")))
+    plan, runs = sharding.numbered(sharding.planned(live, 64 << 20))
+    size, by = dict(many), {}
+    for r in plan.collect():
+        by.setdefault(r.number, []).append(size[r.file])
+    assert sorted(by) == list(range(runs)) and all(len(set(v)) == 1 and sum(v) <= (64 << 20) + max(v) for v in by.values())
+    assert sum(map(len, by.values())) > 24_900
