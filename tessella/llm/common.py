@@ -26,15 +26,46 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tessella-scratch")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Scratch folders of this process that haven't been deleted.
+_MADE: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def made() -> int:
+    """A mark: how many scratch folders there are now."""
+    return len(_MADE)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the scratch folders of materialised tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            delete(df.sparkSession, path)
+            _MADE.remove(path)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch folders made after a mark, but those of `keep`: for when a result has been written elsewhere."""
+    kept = {getattr(df, "_scratch", None) for df in keep}
+    for path in [p for p in _MADE[since:] if p not in kept]:
+        delete(spark, path)
+        _MADE.remove(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -107,14 +138,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     spark = edges.sparkSession
     pairs = edges.select(F.col(edges.columns[0]).cast("long").alias("a"), F.col(edges.columns[1]).cast("long").alias("b")).where("a <> b")
     shape = "child long, parent long"
-    current = materialise(pairs.mapInArrow(_forest, shape), name)
+    before = current = materialise(pairs.mapInArrow(_forest, shape), name)
     while True:
         tasks = max(1, -(-current.count() // EDGES_PER_TASK))
-        merged = current.repartition(tasks, "child").mapInArrow(_forest, shape)
-        merged = materialise(merged, name)
+        merged = materialise(current.repartition(tasks, "child").mapInArrow(_forest, shape), name)
+        drop_tables(before)
         up = merged.select(F.col("child").alias("node"), F.col("parent").alias("above"))
         jumped = materialise(merged.join(up, merged.parent == up.node, "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), name)
         state = jumped.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("child").alias("children"), F.max(F.col("moved").cast("int")).alias("moved")).first()
-        current = jumped.select("child", "parent")
+        drop_tables(merged)
+        before, current = jumped, jumped.select("child", "parent")
         if not state.moved and state.n == state.children:
             return current.select(F.col("child").alias("node"), F.col("parent").alias("root"))

@@ -1,16 +1,19 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
 Unit vectors link where their cosine is at least the threshold, that is where they are at most r = sqrt(2 - 2 threshold)
-apart. Equal vectors are one class with a multiplicity, so a group of copies of any size costs one. Up to CELLS sampled
-vectors are the top nodes; every class belongs to the nearest, whose covering radius is the largest distance found. A cell is
-dealt into chunks of about CHUNK classes; a chunk builds its cover tree: nested levels of halving radii down to leaves so
-small that their members all link. Two chunks meet if their cells' radii allow (d <= R1 + R2 + r); one of the two travels, by
-parity, so that no chunk gathers all. Their trees are traversed level by level: a pair of nodes farther apart than their
-covering radii and r is dropped, a pair nearer than r less their radii links whole, the rest descends, and at the leaves the
-cosine decides. A meeting yields numbers of links and one edge for each pair of leaves that link, never all pairs of members.
+apart. Equal vectors are one class with a multiplicity, so a group of copies of any size costs one.
 
-Every pair of chunks whose cells are near must meet, so on vectors without structure (random directions in 64 dimensions,
-where all distances are alike and no bound can exclude anything) the work is quadratic, in blocks of bounded memory.
+Upper levels: a cell of more than `size` classes is dealt to the nearest of up to FANOUT of its members, level by level,
+until cells fit a chunk; a cell's covering radius is the largest distance found. Pairs of cells are traversed down the same
+levels as a table of ids, centres and radii: a pair farther apart than both radii and r is dropped with all below it.
+Lower levels: each chunk has a cover tree of nested levels with halving radii, down to leaves so small that their members
+all link. Near chunks meet in tasks of two blocks of at most BLOCK chunks, so a tree is written once and travels once for
+each block that is near its own. Two trees are traversed level by level: a pair of nodes farther apart than their covering
+radii and r is dropped, a pair nearer than r less their radii links whole, the rest descends, and at the leaves the cosine
+decides. A meeting yields numbers of links and one edge for each pair of leaves that link, never all pairs of members.
+
+On vectors without structure (random directions in 64 dimensions, where all distances are alike and no bound can exclude
+anything) every pair of chunks is near: the work is quadratic, in tasks of bounded memory.
 
 Defined cases: a null or zero vector and one with null or non-finite components links with nothing; vectors of different
 lengths don't link; a null id takes part in links but is no component's least id; a component of null ids has a null
@@ -24,19 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialise, table
+from .common import bounded, bounded_batches, components, drop_tables, materialise, table
 
 THRESHOLD = 0.95
-CELLS, CHUNK = 256, 4096
-#: Numbers that one chunk holds at most; a chunk of long vectors has fewer of them.
-CHUNK_NUMBERS = 1 << 21
-#: Travelling chunks that one task meets.
-MEETINGS = 8
+#: Classes of a chunk, and numbers that it holds at most: a chunk of long vectors has fewer of them.
+CHUNK, CHUNK_NUMBERS = 4096, 1 << 19
+#: Parts of a cell at most, levels of cells, and numbers of all centres that one pass over the vectors compares with.
+FANOUT, LEVELS, PASS_NUMBERS = 64, 12, 1 << 21
+#: Chunks of a block at most; there are about BLOCKS blocks where so few hold all chunks.
+BLOCK, BLOCKS = 16, 4
 #: Node pairs whose children are more than LARGE_BLOCK pairs are multiplied as matrices, smaller ones gathered, BLOCK_PAIRS at once.
 LARGE_BLOCK, BLOCK_PAIRS = 256, 20_000
+#: Candidate centres compared with a node's members at once.
+CANDIDATES = 64
 #: Slack of bounds that are computed from rounded distances.
 SLACK = 1e-7
 
@@ -57,51 +63,63 @@ class Tree:
     also the centre of its first child.
     """
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, points: np.ndarray, reach: float):
-        cosine = points @ points.T
-        nodes, self.levels = [np.arange(len(points))], []
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray, reach: float):
+        points = unit(vectors.astype(np.float64))
+        everything = np.arange(len(points))
+        nodes, self.levels = [(everything, float((points @ points[0]).min()))], []
         radius = 2.0
         while True:
             leaf = radius <= reach / 2
-            children, first = [], [0]
-            for members in nodes:
+            below, first = [], [0]
+            for members, _ in nodes:
                 if not leaf:
-                    children += self.split(cosine, members, 1 - (radius / 2) ** 2 / 2)
-                first.append(len(children))
-            centre = np.array([m[0] for m in nodes])
-            cover = distance(np.array([cosine[m[0], m].min() for m in nodes])) + SLACK
-            cover[[len(m) == 1 for m in nodes]] = 0
+                    below += self.split(points, members, 1 - (radius / 2) ** 2 / 2)
+                first.append(len(below))
+            centre = np.array([m[0] for m, _ in nodes])
+            cover = distance(np.array([far for _, far in nodes])) + SLACK
+            cover[[len(m) == 1 for m, _ in nodes]] = 0
             self.levels.append((centre, cover, np.array(first)))
             if leaf:
                 break
-            nodes, radius = children, radius / 2
-        order = np.concatenate(nodes)
+            nodes, radius = below, radius / 2
+        order = np.concatenate([m for m, _ in nodes])
         where = np.empty_like(order)
         where[order] = np.arange(len(order))
         self.levels = [(where[c], r, f) for c, r, f in self.levels]
-        size = np.array([len(m) for m in nodes])
+        size = np.array([len(m) for m, _ in nodes])
         c, r, _ = self.levels[-1]
         self.levels[-1] = (c, r, np.concatenate([[0], np.cumsum(size)]))
-        self.ids, self.counts, self.points = ids[order], counts[order], points[order]
+        self.ids, self.counts = ids[order], counts[order]
+        self.hold(vectors[order])
+
+    def hold(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors
+        self.points = unit(vectors.astype(np.float64))
         self.single = self.points.astype(np.float32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "single"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("single", "points")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.single = self.points.astype(np.float32)
+        self.hold(self.vectors)
 
     @staticmethod
-    def split(cosine: np.ndarray, members: np.ndarray, least: float) -> list[np.ndarray]:
+    def split(points: np.ndarray, members: np.ndarray, least: float) -> list[tuple[np.ndarray, float]]:
+        """A net of the members: each centre takes those within the radius that no earlier one took; and their least cosine."""
         if len(members) == 1:
-            return [members]
+            return [(members, 1.0)]
         found = []
         while len(members):
-            near = cosine[members[0], members] >= least
-            near[0] = True
-            found.append(members[near])
-            members = members[~near]
+            cosine = points[members] @ points[members[:CANDIDATES]].T
+            free = np.ones(len(members), bool)
+            for k in range(cosine.shape[1]):
+                if free[k]:
+                    near = free & (cosine[:, k] >= least)
+                    near[k] = True
+                    found.append((members[near], float(cosine[near, k].min())))
+                    free &= ~near
+            members = members[free]
         return found
 
 
@@ -203,75 +221,133 @@ def meet(a: Tree, b: Tree, threshold: float, same: bool) -> tuple[np.ndarray, np
 
 
 def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in series])
+    """The vectors as rows, in single precision where that holds them exactly."""
+    x = np.stack([np.asarray(v, np.float64) for v in series])
+    return x.astype(np.float32) if (x.astype(np.float32) == x).all() else x
+
+
+def apart(a: str, b: str) -> Column:
+    """Distance of the directions of two columns of vectors."""
+
+    @F.pandas_udf("double")
+    def measured(v: pd.Series, w: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype="float64")
+        x, y = unit(_stack(v).astype(np.float64)), unit(_stack(w).astype(np.float64))
+        return pd.Series(distance(np.einsum("nd,nd->n", x, y)))
+
+    return measured(a, b)
+
+
+def _dealt(shared):
+    """A function over batches of classes: rows of a split cell go to the nearest of its centres."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, far = batch["cell"].to_numpy(object).copy(), batch["far"].to_numpy().copy()
+            for parent in set(cell) & set(shared.value):
+                rows = np.flatnonzero(cell == parent)
+                names, centres = shared.value[parent]
+                cosine = unit(_stack(batch["vector"].iloc[rows]).astype(np.float64)) @ centres.T
+                best = cosine.argmax(axis=1)
+                cell[rows], far[rows] = names[best], distance(cosine[np.arange(len(rows)), best])
+            yield batch.assign(cell=cell, far=far)
+
+    return deal
+
+
+def cells(classes: DataFrame, size: int, length: int, reach: float) -> tuple[DataFrame, DataFrame]:
+    """classes with `cell`, and the pairs (a, b) of cells, a <= b, that may hold links; a cell's name is its place in each level.
+
+    Cells that are narrower than half of r, or that LEVELS levels haven't cut to `size`, stay as they are.
+    """
+    spark = classes.sparkSession
+    kind = dict(classes.dtypes)["vector"]
+    placed = classes.select("cid", "n", "vector", F.lit("").alias("cell"), F.lit(2.0).alias("far"))
+    pairs = spark.createDataFrame([("", "")], "a string, b string")
+    known = spark.createDataFrame([], f"cell string, vector {kind}")  # each cell's centre
+    for _ in range(LEVELS):
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+        big = sizes.where((F.col("n") > size) & (F.col("radius") > reach / 2)).select("cell", F.least(F.lit(FANOUT), 2 * F.ceil(F.col("n") / size)).alias("parts"))
+        big = materialise(big, "cover-split")
+        if big.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cid"), "cid"))  # the limit of FANOUT applies before the shuffle
+        picked = placed.join(bounded(big), "cell").withColumn("k", place).where(F.col("k") <= FANOUT).where("k <= parts")
+        picked = picked.select("cell", F.concat("cell", F.lpad((F.col("k") - 1).cast("string"), 2, "0")).alias("child"), "vector")
+        per_pass = max(1, PASS_NUMBERS // (FANOUT * length))
+        turn = big.select("cell", F.floor((F.row_number().over(Window.orderBy("cell")) - 1) / per_pass).alias("turn"))  # a row for each cell to split
+        picked = materialise(picked.join(bounded(turn), "cell"), "cover-centres")
+        dealt = placed
+        for k in range(-(-big.count() // per_pass)):
+            own = picked.where(F.col("turn") == k).orderBy("child").toPandas()  # at most PASS_NUMBERS numbers
+            table_of = {c: (g["child"].to_numpy(object), unit(_stack(g["vector"]).astype(np.float64))) for c, g in own.groupby("cell")}
+            dealt = dealt.mapInPandas(_dealt(spark.sparkContext.broadcast(table_of)), f"cid long, n long, vector {kind}, cell string, far double")
+        before, placed = placed, materialise(dealt, "cover-cells")
+        drop_tables(before)
+        known = materialise(known.unionByName(picked.select(F.col("child").alias("cell"), "vector")), "cover-known")
+        nodes = placed.groupBy("cell").agg(F.max("far").alias("radius")).join(bounded(known), "cell")
+        split = F.substring("cell", 1, F.length("cell") - 2)
+        above = nodes.join(bounded(big.select(F.col("cell").alias("parent"))), split == F.col("parent"), "left").select("cell", F.coalesce("parent", "cell").alias("parent"), "vector", "radius")
+        nodes = materialise(above, "cover-nodes")
+        side = lambda s: nodes.select(F.col("parent").alias(s), F.col("cell").alias(f"{s}_cell"), F.col("vector").alias(f"{s}_vector"), F.col("radius").alias(f"{s}_radius"))
+        both = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b").where("a_cell <= b_cell")
+        near = both.where(apart("a_vector", "b_vector") <= F.col("a_radius") + F.col("b_radius") + reach + SLACK)
+        pairs = materialise(near.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")), "cover-pairs")
+    return placed, pairs
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     """classes(cid, n, vector), all of one length -> rows (cid, links, other): a number of links, or an edge to other."""
-    spark = classes.sparkSession
-    count, length = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    length = classes.agg(F.max(F.size("vector"))).first()[0]
     size = max(1, min(CHUNK, CHUNK_NUMBERS // length))
-    picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(min(CELLS, -(-count // size))).select("vector").collect()
-    centres = unit(np.array([r.vector for r in picked], np.float64))
     reach = float(np.sqrt(2 - 2 * threshold))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    placed, near = cells(classes, size, length, reach)
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    chunks = parts.select("cell", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    chunks = materialise(chunks.withColumn("chunk", F.row_number().over(Window.orderBy("cell", "part")) - 1), "cover-chunks")  # a row a chunk
+    count = chunks.count()
+    width = max(1, min(BLOCK, -(-count // BLOCKS)))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(frame["cid"].to_numpy(), frame["n"].to_numpy(), _stack(frame["vector"]), reach)
+        return pd.DataFrame({"chunk": [int(frame["chunk"].iloc[0])], "tree": [pickle.dumps(tree, protocol=5)]})
+
+    marked = placed.join(bounded(parts), "cell").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    dealt = marked.join(bounded(chunks.drop("parts")), ["cell", "part"]).select("chunk", "cid", "n", "vector")
+    trees = materialise(dealt.groupBy("chunk").applyInPandas(build, "chunk int, tree binary"), "cover-trees")
+    one = chunks.select("cell", "chunk")
+    x, y = (one.select(F.col("cell").alias(c), F.col("chunk").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+    met = near.join(bounded(x), "a").join(bounded(y), "b").where("a < b or x <= y").select("x", "y", F.floor(F.col("x") / width).cast("int").alias("bx"), F.floor(F.col("y") / width).cast("int").alias("by"))
+    met = materialise(met, "cover-meetings")
+    groups = met.groupBy("bx", "by").agg(F.collect_list(F.struct("x", "y")).alias("todo"))  # at most BLOCK squared chunk pairs
+    groups = materialise(groups.withColumn("number", F.row_number().over(Window.orderBy("bx", "by")) - 1), "cover-groups")  # a row for each two blocks
+    sent = groups.withColumn("chunk", F.explode(F.array_distinct(F.flatten(F.transform("todo", lambda p: F.array(p["x"], p["y"]))))))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The meetings of two blocks' near chunks; a partition holds one such group's trees."""
+        trees: dict[int, Tree] = {}
+        todo: dict[tuple, None] = {}
         for batch in batches:
-            if len(batch):
-                cosine = unit(_stack(batch["vector"])) @ centres.T
-                cell = cosine.argmax(axis=1)
-                yield batch.assign(cell=cell.astype(np.int32), far=distance(cosine[np.arange(len(cell)), cell]))
-
-    kind = dict(classes.dtypes)["vector"]
-    placed = materialise(classes.mapInPandas(assign, f"cid long, n long, vector {kind}, cell int, far double"), "cover-cells")
-    cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # at most CELLS rows
-    parts = {c: -(-n // size) for c, (n, _) in cells.items()}
-    first, owner = {}, []
-    for c in sorted(parts):
-        first[c] = len(owner)
-        owner += [c] * parts[c]
-    apart = distance(np.clip(centres @ centres.T, -1, 1))
-    near = {(c, e) for c in cells for e in cells if apart[c, e] <= cells[c][1] + cells[e][1] + reach + SLACK}
-    owners = np.array(owner)
-
-    def travel(frame: pd.DataFrame) -> pd.DataFrame:
-        """One chunk: its tree, to itself and to the chunks that it visits."""
-        q = int(frame["chunk"].iloc[0])
-        tree = Tree(frame["cid"].to_numpy(), frame["n"].to_numpy(), unit(_stack(frame["vector"])), reach)
-        blob = pickle.dumps(tree, protocol=5)
-        to = np.array([k for k in range(len(owners)) if k != q and (owner[q], owner[k]) in near and (q < k) == ((q + k) % 2 == 1)], np.int64)
-        host = range(-(-len(owners) // MEETINGS))
-        rows = [(q, g, q, blob) for g in host] + [(int(k), q // MEETINGS, q, blob) for k in to]
-        return pd.DataFrame(rows, columns=["host", "part", "guest", "tree"])
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        """One host and up to MEETINGS guests; the host meets itself in the part that its own number falls in."""
-        host = int(frame["host"].iloc[0])
-        own = frame["guest"] == host
-        mine = pickle.loads(frame["tree"][own].iloc[0])
-        total, rows = np.zeros(len(mine.ids), np.int64), []
-        if host // MEETINGS == int(frame["part"].iloc[0]):
-            links, _, edges = meet(mine, mine, threshold, True)
-            # a node pair (x, y) with x < y stands for both directions
-            total += links + _
-            rows += edges
-        for blob in frame["tree"][~own]:
-            guest = pickle.loads(blob)
-            links, theirs, edges = meet(mine, guest, threshold, False)
-            total += links
-            hit = theirs > 0
-            rows += edges
-            rows += [(int(c), None, int(n)) for c, n in zip(guest.ids[hit], theirs[hit], strict=True)]
-        hit = total > 0
-        rows += [(int(c), None, int(n)) for c, n in zip(mine.ids[hit], total[hit], strict=True)]
-        rows = [r if len(r) == 3 else (*r, 0) for r in rows]
-        return pd.DataFrame({"cid": pd.array([r[0] for r in rows], "Int64"), "links": pd.array([r[2] for r in rows], "Int64"), "other": pd.array([r[1] for r in rows], "Int64")})
-
-    table_of = F.create_map(*[F.lit(int(x)) for c in sorted(parts) for x in (c, first[c])])
-    size_of = F.create_map(*[F.lit(int(x)) for c in sorted(parts) for x in (c, parts[c])])
-    chunk = (F.element_at(table_of, F.col("cell")) + F.pmod(F.xxhash64("cid"), F.element_at(size_of, F.col("cell")))).cast("int")
-    chunks = placed.withColumn("chunk", chunk).select("chunk", "cid", "n", "vector").groupBy("chunk").applyInPandas(travel, "host int, part int, guest int, tree binary")
-    return chunks.groupBy("host", "part").applyInPandas(gather, "cid long, links long, other long")
+            for chunk, blob, own in zip(batch["chunk"], batch["tree"], batch["todo"], strict=True):
+                if int(chunk) not in trees:
+                    trees[int(chunk)] = pickle.loads(blob)
+                todo.update({(int(p["x"]), int(p["y"])): None for p in own})
+        totals = {k: np.zeros(len(t.ids), np.int64) for k, t in trees.items()}
+        for a, b in sorted(todo):
+            links_a, links_b, edges = meet(trees[a], trees[b], threshold, a == b)
+            totals[a] += links_a
+            totals[b] += links_b  # a node pair (i, j) with i < j of one tree stands for both directions
+            if edges:
+                yield pd.DataFrame({"cid": [e[0] for e in edges], "links": 0, "other": pd.array([e[1] for e in edges], "Int64")})
+        for k, n in totals.items():
+            if n.any():
+                yield pd.DataFrame({"cid": trees[k].ids[n > 0], "links": n[n > 0], "other": pd.array([None] * int((n > 0).sum()), "Int64")})
+
+    together = sent.select("number", "chunk", "todo").join(trees, "chunk").repartitionById(max(1, groups.count()), F.col("number"))
+    out = materialise(together.select("chunk", "tree", "todo").mapInPandas(gather, "cid long, links long, other long"), "cover-links")
+    drop_tables(placed, trees)
+    return out
 
 
 def dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -281,24 +357,32 @@ def dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", thr
     spark = vectors.sparkSession
     bounded_batches(spark, 1024)
     finite = lambda v: F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.when(F.coalesce(finite(F.col(vector)), F.lit(False)), F.col(vector)).alias("vector"))
+    vec = F.when(F.coalesce(finite(F.col(vector)), F.lit(False)), F.col(vector))
+    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), vec.alias("vector"))
+    marks = [F.xxhash64("vector").alias("h"), F.xxhash64("vector", F.lit(1)).alias("k")]
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "cover-classes")
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "least", "n", *marks, "vector"), "cover-classes")
+    named = classes.select("cid", "least", "n", "h", "k")
+    # rows find their class by 128 bits of hash, which must be the class's own
+    if not named.groupBy("h", "k").count().where("count > 1").isEmpty():
+        raise RuntimeError("two vectors have the same 128 bits of hash")
     found = None
     for r in classes.select(F.size("vector").alias("k")).distinct().orderBy("k").collect():
         part = class_links(classes.where(F.size("vector") == r.k).select("cid", "n", "vector"), threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialise(found, "cover-links")
     totals = found.groupBy("cid").agg(F.sum("links").alias("links"))
     nodes = components(found.where("other is not null").select("cid", "other"), "cover-components")
     roots = nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
-    linked = roots.join(classes.select("cid", "least"), roots.node == F.col("cid")).select("cid", "root", "least")
+    linked = roots.join(named, roots.node == F.col("cid")).select("cid", "root", "least")
     lead = linked.groupBy("root").agg(F.min("least").alias("component"))
     groups = linked.join(lead, "root").select("cid", "component")
-    full = classes.join(totals, "cid", "left").join(groups, "cid", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
-    out = rows.join(full, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    full = named.join(totals, "cid", "left").join(groups, "cid", "left").select("h", "k", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    # written, so that both sides of the join come straight from exchanges and a group of copies can be split
+    full = materialise(full, "cover-result")
+    keys = rows.select("vec_id", *[F.when(F.col("vector").isNotNull(), m).alias(c) for m, c in zip([F.xxhash64("vector"), F.xxhash64("vector", F.lit(1))], ("h", "k"), strict=True)])
+    out = keys.join(full, ["h", "k"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import embeddings, mixing, sharding, url_filter, warc
+from tessella.llm.common import made, release
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,9 +148,13 @@ def brute_links(rows, threshold=0.95):
     return sorted(((i, n[k], least[root(k)], i == least[root(k)]) for k, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("chunk", [4096, 40])
-def test_links_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "fanout", "block", "numbers"), [(4096, 64, 16, 1 << 21), (40, 64, 2, 1 << 21), (9, 3, 3, 100)])
+def test_links_against_brute_force(spark, monkeypatch, chunk, fanout, block, numbers):
+    """One chunk; several chunks of one level; many levels of narrow cells, several passes and blocks."""
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    monkeypatch.setattr(embeddings, "FANOUT", fanout)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "PASS_NUMBERS", numbers)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(25, 12))
     near = [c + rng.normal(size=12) * s for c in centres for s in (0.05, 0.1, 0.25, 0.3)]
@@ -158,8 +163,11 @@ def test_links_against_brute_force(spark, monkeypatch, chunk):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(900, None), (901, [1.0, None] + [0.0] * 10), (902, [float("nan")] * 12), (903, [float("inf")] * 12), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (None, rows[5][1]), (3, rows[3][1]), (3, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("x")).withColumn("vector", F.lit(1))
+    left = made()
     got = sorted((tuple(r) for r in embeddings.dedup(df).collect()), key=str)
     assert got == brute_links(rows)
+    release(spark, left)
+    assert made() == left
     if chunk > 40:
         assert embeddings.dedup(df.limit(0)).count() == 0
         assert embeddings.dedup(df.where("vec_id in (900, 904)")).count() == 2
