@@ -1,8 +1,8 @@
 """The expression language: a precedence parser that builds Columns as it reads.
 
 Accepts Python and SQL spellings: and/or/not, ==/=, !=/<>, chained comparisons, in / not in, is [not] null, CASE WHEN,
-quoted text, numbers, true/false/null, column('any name') and a fixed list of functions. Window functions
-(row_number, lag, lead, rolling_mean, rolling_sum, cumsum) need the relation's order and so are built by `over`.
+quoted text, numbers, true/false/null, column('any name') and a fixed list of functions. Window functions need the
+relation's order and so are built by `over`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from .conditions import pattern
 from .values import BOOLEAN, INTEGER, NULL, NUMBER, TEXT, TIME, PlanError, Value, boolean, common, finite, literal, number, pandas_round, quoted, text, time
 
 MAX_LENGTH, MAX_TOKENS, MAX_DEPTH = 4096, 512, 40
-WINDOW_FUNCTIONS = ("row_number", "lag", "lead", "rolling_mean", "rolling_sum", "cumsum")
+WINDOW_FUNCTIONS = (
+    "row_number", "lag", "lead", "rolling_mean", "rolling_sum", "cumsum",
+    "rank", "dense_rank", "percent_rank", "ntile", "first_value", "last_value", "rolling_max", "rolling_min", "cummax", "cummin",
+)
 STATISTICS = ("median", "percentile", "percentile_cont", "quantile")
 
 _TOKEN = re.compile(r"\s*(?:(?P<number>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|(?P<string>'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[^\W\d]\w*)|(?P<op>\*\*|==|!=|<>|<=|>=|[-+*/%()<>=,\[\]]))")
@@ -348,6 +351,48 @@ def _matches(how: str):
     return build
 
 
+def _replace(args: list[Value]) -> Value:
+    """A Java regular expression's matches replaced; both pattern and replacement are literals."""
+    if not all(isinstance(a.literal, str) for a in args[1:]):
+        raise PlanError("regexp_replace takes a literal pattern and replacement")
+    return Value(F.regexp_replace(text(args[0]), args[1].literal, args[2].literal if len(args) > 2 else ""), TEXT)
+
+
+def _extract(args: list[Value]) -> Value:
+    """The first match's group, null without a match."""
+    group = args[2].literal if len(args) > 2 else 0
+    if not isinstance(args[1].literal, str) or isinstance(group, bool) or not isinstance(group, int):
+        raise PlanError("regexp_extract takes a literal pattern and group")
+    found = F.regexp_extract(text(args[0]), args[1].literal, group)
+    return Value(F.when(F.regexp_like(text(args[0]), F.lit(args[1].literal)), found), TEXT)
+
+
+def _extreme(pick: Callable[..., Column], name: str):
+    """The greatest or least of the values that aren't null."""
+
+    def build(args: list[Value]) -> Value:
+        found, kind = common(args, name)
+        return Value(pick(*found), kind)
+
+    return 2, 20, build
+
+
+def _json(args: list[Value]) -> Value:
+    """The value at a JSON path such as $.a.b[0], as text."""
+    if not isinstance(args[1].literal, str):
+        raise PlanError("json_value takes a literal path")
+    return Value(F.get_json_object(text(args[0]), args[1].literal), TEXT)
+
+
+def _part_of(args: list[Value]) -> Value:
+    """The n-th part, from 1, of a text cut at a separator; null beyond the last."""
+    n = args[2].literal
+    if not isinstance(args[1].literal, str) or isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        raise PlanError("split_part takes a literal separator and a number from 1")
+    parts = F.split(text(args[0]), re.escape(args[1].literal))
+    return Value(F.get(parts, F.lit(n - 1)), TEXT)
+
+
 def _date_part(f):
     return 1, 1, lambda a: Value(f(time(a[0])).cast("long"), INTEGER)
 
@@ -385,6 +430,18 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "like": (2, 2, _matches("like")),
     "ilike": (2, 2, _matches("ilike")),
     "contains": (2, 2, _matches("contains")),
+    "regexp_replace": (2, 3, _replace),
+    "regexp_extract": (2, 3, _extract),
+    "regexp_like": (2, 2, lambda a: Value(F.regexp_like(text(a[0]), F.lit(a[1].literal)), BOOLEAN)),
+    "split_part": (3, 3, _part_of),
+    "json_value": (2, 2, _json),
+    "trim": (1, 1, lambda a: Value(F.trim(text(a[0])), TEXT)),
+    "concat": (2, 20, lambda a: Value(F.concat(*[text(x) if x.kind == TEXT else x.column.cast("string") for x in a]), TEXT)),
+    "greatest": _extreme(F.greatest, "greatest"),
+    "least": _extreme(F.least, "least"),
+    "floor": (1, 1, lambda a: Value(F.floor(number(a[0]).column).cast("long"), INTEGER)),
+    "ceil": (1, 1, lambda a: Value(F.ceil(number(a[0]).column).cast("long"), INTEGER)),
+    "number": (1, 1, lambda a: Value(text(a[0]).try_cast("double") if a[0].kind == TEXT else number(a[0]).column.cast("double"), NUMBER)),
     "date": (1, 1, lambda a: Value(F.date_trunc("day", time(a[0])).cast("timestamp_ntz"), TIME)),
     "datetime": (1, 1, lambda a: Value(time(a[0]), TIME)),
     "year": _date_part(F.year),

@@ -83,8 +83,22 @@ def _linear(values: Column, q: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def aggregate(r: Relation, groups: list[str], measures: list[Measure]) -> Relation:
-    """Null keys are a group. A measure with filters of its own sees only the rows that pass; a group without such rows has
+def grouping_sets(grouping: Any, groups: list[str]) -> list[list[str]] | None:
+    """The sets of a rollup, a cube or a list of lists; None for plain grouping."""
+    if grouping in (None, "plain"):
+        return None
+    if grouping == "rollup":
+        return [groups[:k] for k in range(len(groups), -1, -1)]
+    if grouping == "cube":
+        return [[g for i, g in enumerate(groups) if not mask >> i & 1] for mask in range(1 << len(groups))]
+    if not isinstance(grouping, list) or not all(isinstance(s, list) and set(s) <= set(groups) for s in grouping) or not grouping:
+        raise PlanError("grouping is rollup, cube or a list of lists of group_by fields")
+    return grouping
+
+
+def aggregate(r: Relation, groups: list[str], measures: list[Measure], sets: list[list[str]] | None = None, marker: str | None = None) -> Relation:
+    """With grouping sets a field that a set leaves out is null there; `marker` names a column of the sets' bits, the last
+    field's lowest, 1 where left out. Null keys are a group. A measure with filters of its own sees only the rows that pass; a group without such rows has
     null there, and one that no measure sees is absent. Without groups there is one row, with counts of zero."""
     columns, seen = [], []
     for i, m in enumerate(measures):
@@ -95,11 +109,15 @@ def aggregate(r: Relation, groups: list[str], measures: list[Measure]) -> Relati
             columns.append(F.count(F.when(keep, 1)).alias(name))
             seen.append(name)
         columns.append(c.alias(m.output))
-    df = r.df.groupBy(*[quoted(g) for g in groups]).agg(*columns)
+    keys = [quoted(g) for g in groups]
+    if sets is None:
+        df = r.df.groupBy(*keys).agg(*columns)
+    else:
+        df = r.df.groupingSets([[quoted(g) for g in s] for s in sets], *keys).agg(*([F.grouping_id().cast("long").alias(marker)] if marker else []), *columns)
     if seen and len(seen) == len(measures):
         df = df.where(" or ".join(f"`{s}` > 0" for s in seen))
     out = []
     for i, m in enumerate(measures):
         c = quoted(m.output)
         out.append(F.when(F.col(f"__seen{i}") > 0, c).alias(m.output) if f"__seen{i}" in seen else c)
-    return Relation(df.select(*[quoted(g) for g in groups], *out))
+    return Relation(df.select(*keys, *([quoted(marker)] if marker else []), *out))

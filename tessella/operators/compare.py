@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.values import quoted
 
-
-def checkpoints(spark: SparkSession) -> None:
-    """A cluster names its shared folder in spark.checkpoint.dir; only where it names none a temp folder serves."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+from .windows import numbered
 
 
 def decimals(expected: Column) -> Column:
@@ -72,6 +67,11 @@ def ordered(expected: DataFrame, actual: DataFrame, place: str) -> DataFrame:
     return keyed(expected, actual, [place])
 
 
+def placed(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """df with each row's place, from 1, in the given order."""
+    return numbered(df, order, "__row").withColumn(place, F.col("__row") + 1).drop("__row")
+
+
 def transitions(before: DataFrame, after: DataFrame, key: str, label: str) -> DataFrame:
     a, b = before.select(key, F.col(label).alias("before")), after.select(key, F.col(label).alias("after"))
     return a.join(b, key, "full").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
@@ -86,15 +86,9 @@ def run_metrics(results: DataFrame, category: str, label: str, seconds: str, rig
 
 
 def systematic(df: DataFrame, every: int, start: int, order: list[str]) -> DataFrame:
-    """Every n-th row from a start (1-based) in the given order.
-
-    Places come from range partitions' counts and places within a partition, so no task holds all rows.
-    """
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()).checkpoint()
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
-    return parts.join(before, "__part").withColumn("__place", place).where((F.col("__place") >= start) & ((F.col("__place") - start) % every == 0)).select(*df.columns)
+    """Every n-th row from a start (1-based) in the given order."""
+    rows = numbered(df, [F.col(c) for c in order], "__row")
+    return rows.where((F.col("__row") >= start - 1) & ((F.col("__row") - (start - 1)) % every == 0)).select(*df.columns)
 
 
 #: Shares of the combined score, and the least score of each label.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.values import kind_of, quoted
@@ -19,9 +20,13 @@ class SortKey:
     field: str
     ascending: bool = True
     nulls_first: bool = False
+    #: Compare the text as the number that it says; other text counts as null.
+    numeric: bool = False
 
     def column(self) -> Column:
         c = quoted(self.field)
+        if self.numeric:
+            c = F.regexp_replace(F.trim(c.cast("string")), ",", "").try_cast("double")
         if self.ascending:
             return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
         return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
@@ -50,6 +55,6 @@ class Relation:
 
     def total_order(self) -> list[Column]:
         """The order's keys, then every other sortable field: a definite order but for equal rows."""
-        named = {k.field for k in self.order}
+        named = {k.field for k in self.order if not k.numeric}
         rest = [SortKey(f.name) for f in self.df.schema if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))]
         return [k.column() for k in (*self.order, *rest)]

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import temporal
 from tessella.functions.conditions import predicate
-from tessella.functions.expressions import compile_expression
-from tessella.functions.values import INTEGER, NUMBER, PlanError, Value, exact_round, number, quoted, time
+from tessella.functions.expressions import WINDOW_FUNCTIONS, calls, compile_expression
+from tessella.functions.values import NUMBER, PlanError, Value, exact_round, number, quoted, time
 
+from . import windows
 from .relation import Relation, SortKey
 
 
@@ -20,41 +21,14 @@ def keep(r: Relation, conditions: list[dict], scan: bool = False) -> Relation:
     return r.with_df(r.df.where(predicate({"all": conditions}, r.kinds, scan))) if conditions else r
 
 
-def _windows(r: Relation, partition: list[str]):
-    w = Window.partitionBy(*[quoted(p) for p in partition]).orderBy(*r.total_order())
-
-    def over(name: str, args: list[Value]) -> Value:
-        if name == "row_number":
-            if args:
-                raise PlanError("row_number takes no arguments")
-            return Value(F.row_number().over(w).cast("long"), INTEGER)
-        if not args or any(not a.is_literal for a in args[1:]) or len(args) > 3:
-            raise PlanError(f"{name} takes a value and literals")
-        if name in ("lag", "lead"):
-            offset = args[1].literal if len(args) > 1 else 1
-            if isinstance(offset, bool) or not isinstance(offset, int) or offset < 0:
-                raise PlanError(f"{name} takes an offset from 0")
-            default = args[2].literal if len(args) > 2 else None
-            return Value(getattr(F, name)(args[0].column, offset, default).over(w), args[0].kind)
-        x = number(args[0], name)
-        if name == "cumsum":
-            total = F.sum(x.column).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            return Value(F.when(x.column.isNotNull(), total), x.kind)
-        n = args[1].literal if len(args) > 1 else None
-        least = args[2].literal if len(args) > 2 else n
-        if any(isinstance(k, bool) or not isinstance(k, int) for k in (n, least)) or not 1 <= least <= n:
-            raise PlanError(f"{name} takes a number of rows and of values needed, at most as many")
-        frame = w.rowsBetween(-(n - 1), 0)
-        value = (F.avg if name == "rolling_mean" else F.sum)(x.column.cast("double")).over(frame)
-        return Value(F.when(F.count(x.column).over(frame) >= least, value), NUMBER)
-
-    return over
-
-
 def compute(r: Relation, expression: str, output: str, partition: list[str] | None = None) -> Relation:
-    value = compile_expression(expression, r.kinds, _windows(r, partition or []) if r.order else None)
+    """r with one more field; window functions see the rows of their partition, or all rows, in r's order."""
     order = tuple(k for k in r.order if k.field != output)
-    return Relation(r.df.withColumn(output, value.column), order if len(order) == len(r.order) else ())
+    order = order if len(order) == len(r.order) else ()
+    if calls(expression) & set(WINDOW_FUNCTIONS) and r.order and not partition:
+        return Relation(windows.over_all_rows(r, expression, output)[0], order)
+    value = compile_expression(expression, r.kinds, windows.partitioned(r, partition) if r.order and partition else None)
+    return Relation(r.df.withColumn(output, value.column), order)
 
 
 def date_extract(r: Relation, source: str, part: str, output: str, fiscal_start: int = 1) -> Relation:
@@ -82,13 +56,15 @@ def bucket(r: Relation, source: str, output: str, rules: list[dict], default=Non
     return r.with_df(r.df.withColumn(output, out.otherwise(F.lit(default))))
 
 
-def order_by(r: Relation, keys: list[SortKey], limit: int | None = None) -> Relation:
-    """A stable sort: the order so far breaks ties. With a limit the rows are cut here."""
+def order_by(r: Relation, keys: list[SortKey], limit: int | None = None, offset: int | None = None) -> Relation:
+    """A stable sort: the order so far breaks ties. With a limit or an offset the rows are cut here."""
     named = {k.field for k in keys}
     out = Relation(r.df, (*keys, *(k for k in r.order if k.field not in named)))
-    if limit is None:
+    if limit is None and not offset:
         return out
-    return Relation(out.df.orderBy(*out.total_order()).limit(limit) if out.order else out.df.limit(limit), out.order)
+    df = out.df.orderBy(*out.total_order()) if out.order else out.df
+    df = df.offset(offset) if offset else df
+    return Relation(df if limit is None else df.limit(limit), out.order)
 
 
 def distinct(r: Relation, keys: list[str]) -> Relation:

@@ -14,7 +14,7 @@ def lower(node: Node, inputs: list[Relation]) -> Relation:
     p, r = node.params, inputs[0]
     if node.operator == "Filter_Aggregate":
         kept = rows.keep(r, p["filters"])
-        return aggregates.aggregate(kept, p["groups"], p["measures"]) if "measures" in p else kept
+        return aggregates.aggregate(kept, p["groups"], p["measures"], p["sets"], p["marker"]) if "measures" in p else kept
     if node.operator == "Math_Compute":
         return rows.compute(r, p["expression"], p["output"], p["partition"])
     if node.operator == "Date_Extract":
@@ -22,7 +22,7 @@ def lower(node: Node, inputs: list[Relation]) -> Relation:
     if node.operator == "Bucket":
         return rows.bucket(r, p["source"], p["output"], p["rules"], p["default"])
     if node.operator == "Order_By":
-        return rows.order_by(r, p["keys"], p["limit"])
+        return rows.order_by(r, p["keys"], p["limit"], p["offset"])
     if node.operator == "Distinct":
         return rows.distinct(r, p["keys"])
     if node.operator == "Integrate":

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.values import PlanError
 
+from tessella.operators.windows import checkpointed
+
 from .retrieval import retrieve
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -34,21 +36,82 @@ def typed(value: Column, datatype: str | None) -> Column:
 
 def class_table(triples: DataFrame, class_iri: str, properties: dict[str, dict[str, Any]], subject: str = "subject_iri", optional: tuple[str, ...] = ()) -> DataFrame:
     """A row for each instance and combination of its properties' values: required properties must be there, optional ones
-    may be null, and several values of one property give several rows. properties: field -> {iri, datatype, same_as}.
+    may be null, and several values of one property give several rows. properties: field -> {iri, datatype, same_as, single}.
 
-    Single-valued or not, each property is one join on the subject, so all joins share one partitioning.
+    Properties declared `single` (see property_profile) are pivoted in one pass over the triples, and a second value of one
+    is an error; each other property is a join on the subject, which keeps the pass's partitioning.
     """
-    members = triples.where((F.col("p") == TYPE) & (F.col("o") == class_iri)).select(F.col("s").alias(subject)).distinct()
-    out = members
-    for name, spec in properties.items():
-        iris = [spec["iri"], *spec.get("same_as", [])]
-        values = triples.where(F.col("p").isin(*iris)).select(F.col("s").alias(subject), typed(F.col("o"), spec.get("datatype")).alias(name))
-        if len(iris) > 1:  # equivalent properties may state one fact twice
+    iris = {name: [spec["iri"], *spec.get("same_as", [])] for name, spec in properties.items()}
+    single = [name for name, spec in properties.items() if spec.get("single")]
+    read = sorted({i for name in single for i in iris[name]})
+    is_member = (F.col("p") == TYPE) & (F.col("o") == class_iri)
+    of = lambda name: F.when(F.col("p").isin(*iris[name]), F.col("o"))
+    ends = [f(of(name)).alias(f"__{end}{i}") for i, name in enumerate(single) for end, f in (("low", F.min), ("high", F.max))]
+    rows = triples.where(is_member | F.col("p").isin(*read) if read else is_member).groupBy(F.col("s").alias(subject))
+    rows = rows.agg(F.max(is_member).alias("__member"), *ends).where("__member")
+    for i, name in enumerate(single):
+        several = F.raise_error(F.concat(F.lit(f"several values of {name}: "), F.col(subject))).cast("string")
+        rows = rows.withColumn(f"__value{i}", F.when(F.col(f"__low{i}") != F.col(f"__high{i}"), several).otherwise(F.col(f"__low{i}")))
+        rows = rows if name in optional else rows.where(F.col(f"__value{i}").isNotNull())
+    out = rows.select(subject, *[typed(F.col(f"__value{i}"), properties[name].get("datatype")).alias(name) for i, name in enumerate(single)])
+    for name in [n for n in properties if n not in single]:
+        values = triples.where(F.col("p").isin(*iris[name])).select(F.col("s").alias(subject), typed(F.col("o"), properties[name].get("datatype")).alias(name))
+        if len(iris[name]) > 1:  # equivalent properties may state one fact twice
             values = values.distinct()
         out = out.join(values, subject, "left" if name in optional else "inner")
     return out.select(subject, *properties)
 
 
+#: Ontology terms.
+OWL, RDFS = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2000/01/rdf-schema#"
+CLASSES, SAME = (OWL + "Class", RDFS + "Class"), OWL + "equivalentProperty"
+
+
+def local_name(iri: Column) -> Column:
+    return F.regexp_extract(iri, r"([^/#]*)[/#]?$", 1)
+
+
+def describe(triples: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Rows (class, class_iri, instances, field, property_iri, datatype, targets, same_as): what populated classes offer.
+
+    A class counts if the ontology declares it and the triples hold instances of it; its properties are those that its
+    instances have. `datatype` is number, boolean, text or reference; `targets` lists the classes that references point to,
+    `same_as` the properties that the ontology calls equivalent. A property of both literals and references is an error.
+    """
+    declared = ontology.where((F.col("p") == TYPE) & F.col("o").isin(*CLASSES)).select(F.col("s").alias("class_iri")).distinct()
+    types = triples.where(F.col("p") == TYPE).select("s", F.col("o").alias("class_iri")).distinct()
+    known = types.join(F.broadcast(declared), "class_iri")
+    sizes = known.groupBy("class_iri").agg(F.count(F.lit(1)).alias("instances"))
+    facts = known.join(triples.where(F.col("p") != TYPE), "s").select("class_iri", F.col("p").alias("property_iri"), "o", "datatype")
+    target = facts.join(types.select(F.col("s").alias("o"), F.col("class_iri").alias("target")), "o", "left")
+    short = F.regexp_replace("datatype", "^" + XSD, "")
+    number, literal = short.isin(*_INTEGERS, *_FLOATS), F.col("datatype").isNotNull() & F.col("target").isNull()
+    every = lambda c: F.min(F.coalesce(c, F.lit(False)).cast("int")) == 1
+    some = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
+    shape = target.groupBy("class_iri", "property_iri").agg(
+        every(number).alias("number"), every(short == "boolean").alias("boolean"), some(literal).alias("literal"),
+        some(F.col("target").isNotNull()).alias("reference"), F.array_join(F.array_sort(F.collect_set(local_name(F.col("target")))), ",").alias("targets"),
+    )
+    mixed = F.raise_error(F.concat(F.lit("a property of both literals and references: "), F.col("property_iri"))).cast("string")
+    kind = F.when(F.col("reference") & F.col("literal"), mixed).when(F.col("reference"), "reference").when(F.col("number"), "number").when(F.col("boolean"), "boolean").otherwise("text")
+    pairs = ontology.where(F.col("p") == SAME).select(F.col("s").alias("property_iri"), F.col("o").alias("other"))
+    pairs = pairs.unionByName(pairs.select(F.col("other").alias("property_iri"), F.col("property_iri").alias("other")))
+    same = pairs.groupBy("property_iri").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("same_as"))
+    named = shape.join(sizes, "class_iri").join(F.broadcast(same), "property_iri", "left")
+    return named.select(local_name(F.col("class_iri")).alias("class"), "class_iri", "instances", local_name(F.col("property_iri")).alias("field"), "property_iri", kind.alias("datatype"), "targets", F.coalesce("same_as", F.lit("")).alias("same_as"))
+
+
+def as_classes(described: DataFrame) -> dict[str, dict[str, Any]]:
+    """describe()'s rows, one for each property of the ontology, as the classes that retrieve_class reads."""
+    types, out = {"number": XSD + "double", "boolean": XSD + "boolean"}, {}
+    for r in described.collect():
+        found = out.setdefault(r["class"], {"iri": r.class_iri, "properties": {}})
+        if r.field in found["properties"] or r.class_iri != found["iri"]:
+            raise PlanError(f"ambiguous name: {r['class']}.{r.field}")
+        found["properties"][r.field] = {"iri": r.property_iri, "datatype": types.get(r.datatype), "same_as": [x for x in r.same_as.split(",") if x]}
+    return out
+
+
 def retrieve_class(triples: DataFrame, contract: dict[str, Any], classes: dict[str, dict]) -> DataFrame:
     """The raw retrieval contract over a class; filters apply after optional properties are attached."""
     known = classes.get(contract.get("class"))
@@ -90,12 +153,13 @@ def hops(edges: DataFrame) -> DataFrame:
     reaches is compared with the last two frontiers only.
     """
     both = edges.select(F.col("graph").alias("g"), F.col("a").alias("from"), F.col("b").alias("to"))
-    both = both.union(both.select("g", "to", "from")).distinct().checkpoint()
-    frontier = both.select(F.col("g").alias("graph"), F.col("from").alias("start"), F.col("from").alias("node")).distinct().checkpoint()
+    both = checkpointed(both.union(both.select("g", "to", "from")).distinct())
+    frontier = checkpointed(both.select(F.col("g").alias("graph"), F.col("from").alias("start"), F.col("from").alias("node")).distinct())
     before, found, depth = frontier.limit(0), frontier.select("graph", F.lit(0).alias("d")).distinct(), 0
     while not frontier.isEmpty():
-        found = found.unionByName(frontier.select("graph", F.lit(depth).alias("d")).distinct()).groupBy("graph").agg(F.max("d").alias("d")).checkpoint()
+        depths = frontier.select("graph", F.lit(depth).alias("d")).distinct()
+        found = checkpointed(found.unionByName(depths).groupBy("graph").agg(F.max("d").alias("d")))
         reached = frontier.join(both, (F.col("graph") == F.col("g")) & (F.col("node") == F.col("from"))).select("graph", "start", F.col("to").alias("node")).distinct()
-        before, frontier = frontier, reached.join(before.unionByName(frontier), ["graph", "start", "node"], "left_anti").checkpoint()
+        before, frontier = frontier, checkpointed(reached.join(before.unionByName(frontier), ["graph", "start", "node"], "left_anti"))
         depth += 1
     return found.select("graph", F.col("d").cast("long").alias("hops"))
