@@ -57,10 +57,11 @@ def join_diagnostics(spark, sf_dir):
     return joins.diagnostics(Relation(read(spark, sf_dir, "nation")), Relation(read(spark, sf_dir, "supplier")), ["n_regionkey"], ["s_nationkey"])
 
 
-@query("""with ids as (select 'INV' || lpad(cast(c_custkey as varchar), 3, '0') as id, cast(c_custkey as varchar) as d from customer where c_custkey < 1000),
-p as (select id, d, unnest(['INV', 'inv']) as p from ids), w as (select id, d, p, unnest([1, 2, 3]) as w from p),
-n as (select id, p, case when length(d) >= w then d else lpad(d, w, '0') end as n from w)
-select distinct unnest([p || n, p || '-' || n]) as alias, id from n""")
+@query("""with ids as (select 'INV' || lpad(cast(c_custkey as varchar), cast(greatest(3, length(cast(c_custkey as varchar))) as int), '0') as id, cast(c_custkey as varchar) as d from customer),
+p as (select id, d, unnest(['INV', 'inv']) as p from ids where length(d) <= 4), w as (select id, d, p, unnest(range(1, greatest(3, length(d)) + 1)) as w from p),
+n as (select id, p, case when length(d) >= w then d else lpad(d, cast(w as int), '0') end as n from w)
+select distinct unnest([p || n, p || '-' || n]) as alias, id from n
+union select unnest([id, lower(id)]) as alias, id from ids where length(d) > 4""")
 def id_aliases(spark, sf_dir):
     ids = read(spark, sf_dir, "customer").select(F.format_string("INV%03d", "c_custkey").alias("id"))
     return sinks.alias_map(ids)
@@ -80,7 +81,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.unionByName(nations).select("s", "f.*").where("o is not null")
 
 
-_CLASSES = {"Customer": {"iri": _BASE + "Customer", "properties": {"balance": {"iri": _BASE + "balance", "datatype": graph.XSD + "double"}, "name": {"iri": _BASE + "name", "same_as": [_BASE + "title"]}, "nation": {"iri": _BASE + "nation"}}}}
+_CLASSES = {"Customer": {"iri": _BASE + "Customer", "properties": {"balance": {"iri": _BASE + "balance", "datatype": graph.XSD + "double", "single": True}, "name": {"iri": _BASE + "name", "same_as": [_BASE + "title"], "single": True}, "nation": {"iri": _BASE + "nation"}}}}
 
 
 @query("select 'http://example.org/c' || c_custkey as subject_iri, c_acctbal as balance, case when c_custkey % 3 = 0 then c_name end as name from customer where c_acctbal > 1000 and (c_custkey % 3 <> 0 or c_name <> 'x')")
@@ -106,7 +107,6 @@ def graph_property_profile(spark, sf_dir):
 
 @query("select n_regionkey as graph, count(*) - 1 as hops from nation group by 1 having count(*) > 1")
 def graph_hops(spark, sf_dir):
-    compare.checkpoints(spark)
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     chain = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("a"), F.lead("n_nationkey").over(w).alias("b"))
     return graph.hops(chain.where("b is not null"))
@@ -144,7 +144,6 @@ def run_metrics(spark, sf_dir):
 
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as rn from orders) where rn >= 3 and (rn - 3) % 5 = 0")
 def systematic_sample(spark, sf_dir):
-    compare.checkpoints(spark)
     return compare.systematic(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 5, 3, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,12 @@ class Catalog:
 
     def read(self, name: str) -> DataFrame:
         t = self.table(name)
+        if t.format == "table":
+            return self.spark.table(t.path)
+        if t.format == "sqlite":
+            from .sqlite import scan
+
+            return scan(self.spark, t)
         reader = self.spark.read.format(t.format).options(**t.options)
         return (reader.schema(t.schema) if t.schema else reader).load(t.path)
 
@@ -68,6 +75,15 @@ class Catalog:
         t = self.table(name)
         return t.schema.fieldNames() if t.schema else self.read(name).columns
 
+    def health(self, names: list[str] | None = None) -> DataFrame:
+        """Rows (source, healthy, instances) of these tables; a source that doesn't open has no count."""
+        counted: list[DataFrame] = []
+        for name in names or list(self.tables):
+            ok = self.healthy(name)
+            rows = self.read(name).agg(F.count(F.lit(1)).alias("n")) if ok else self.spark.range(1).select(F.lit(None).cast("long").alias("n"))
+            counted.append(rows.select(F.lit(name).alias("source"), F.lit(ok).alias("healthy"), F.col("n").alias("instances")))
+        return reduce(DataFrame.unionByName, counted)
+
     def healthy(self, name: str) -> bool:
         """The source opens and yields a row or an empty result."""
         try:
@@ -77,6 +93,41 @@ class Catalog:
             return False
 
 
+def discover(spark: SparkSession, folder: str, format: str = "parquet") -> list[Table]:
+    """The tables of a folder on any file system that Spark reads: each file or folder name.<format>, with its own schema.
+
+    Files of this kind declare no keys, and none are guessed; `is_key` checks a candidate.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    found = []
+    for name in sorted(s.getPath().getName() for s in listed):
+        if name.endswith("." + format):
+            path = f"{folder.rstrip('/')}/{name}"
+            schema = spark.read.format(format).load(path).schema
+            found.append(Table(name.removesuffix("." + format), path, schema, nullable={f.name: f.nullable for f in schema}, format=format))
+    return found
+
+
+def registered(spark: SparkSession, database: str | None = None) -> list[Table]:
+    """The tables that the session's catalog knows."""
+    found = []
+    for t in spark.catalog.listTables(database):
+        name = t.name if t.isTemporary else ".".join([*(t.namespace or []), t.name])
+        found.append(Table(t.name, name, spark.table(name).schema, format="table"))
+    return found
+
+
+def is_key(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row (rows, is_unique): whether the fields name each row once and are never null. One grouped count."""
+    whole = F.lit(True)
+    for f in fields:
+        whole = whole & quoted(f).isNotNull()
+    n = df.groupBy(*[quoted(f) for f in fields]).agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("whole"))
+    once = (F.coalesce(F.max("n"), F.lit(0)) <= 1) & F.coalesce(F.min("whole"), F.lit(True))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), once.alias("is_unique"))
+
+
 def load_yaml(folder: str) -> list[Table]:
     """Table documents: identity.id, attributes, and keys only where declared. Context documents are no tables unless
     schema.physical says so. Nullability that isn't declared stays unknown."""
