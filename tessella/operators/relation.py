@@ -36,6 +36,8 @@ class SortKey:
 class Relation:
     df: DataFrame
     order: tuple[SortKey, ...] = ()
+    #: df with each row's number in this order, `__row`, where a window over all rows has found it.
+    placed: DataFrame | None = None
 
     @property
     def fields(self) -> list[str]:
@@ -51,7 +53,7 @@ class Relation:
             if k.field not in df.columns:
                 break
             kept.append(k)
-        return replace(self, df=df, order=tuple(kept))
+        return replace(self, df=df, order=tuple(kept), placed=None)
 
     def total_order(self) -> list[Column]:
         """The order's keys, then every other sortable field: a definite order but for equal rows."""

@@ -26,9 +26,10 @@ def compute(r: Relation, expression: str, output: str, partition: list[str] | No
     order = tuple(k for k in r.order if k.field != output)
     order = order if len(order) == len(r.order) else ()
     if calls(expression) & set(WINDOW_FUNCTIONS) and r.order and not partition:
-        return Relation(windows.over_all_rows(r, expression, output)[0], order)
+        return windows.over_all_rows(r, expression, output)
     value = compile_expression(expression, r.kinds, windows.partitioned(r, partition) if r.order and partition else None)
-    return Relation(r.df.withColumn(output, value.column), order)
+    placed = r.placed.withColumn(output, value.column) if r.placed is not None and order and not partition else None
+    return Relation(r.df.withColumn(output, value.column), order, placed)
 
 
 def date_extract(r: Relation, source: str, part: str, output: str, fiscal_start: int = 1) -> Relation:

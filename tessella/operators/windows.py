@@ -8,11 +8,13 @@ the neighbouring blocks is copied to them, and running values start from the blo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.expressions import compile_expression
 from tessella.functions.values import INTEGER, NUMBER, PlanError, Value, number, quoted
@@ -90,10 +92,13 @@ def partitioned(r: Relation, partition: list[str]) -> Callable[[str, list[Value]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once, in the folder that the session names; off local mode one must be named."""
-    context = df.sparkSession.sparkContext
+    """df written once as Parquet in the folder that the session names for checkpoints, and read back.
+
+    Off local mode such a folder must be named. Types that Parquet lacks are checkpointed by Spark itself.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not root:
@@ -101,7 +106,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             root = tempfile.mkdtemp()
         context.setCheckpointDir(root)
-    return df.checkpoint()
+    if any(isinstance(f.dataType, (T.NullType, T.VariantType, T.CalendarIntervalType)) for f in df.schema):
+        return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -123,12 +132,15 @@ def _with_neighbours(df: DataFrame, reach: int, block: int) -> DataFrame:
     return df.withColumn("__spot", F.explode(F.filter(spots, lambda s: s.isNotNull()))).withColumns({"__block": F.col("__spot.b"), "__copy": F.col("__spot.c")}).drop("__spot")
 
 
-def over_all_rows(r: Relation, expression: str, output: str) -> tuple[DataFrame, Value]:
-    """r's rows with the expression's value, where window functions see all rows in r's order."""
+def over_all_rows(r: Relation, expression: str, output: str) -> Relation:
+    """r with the expression's value, where window functions see all rows in r's order.
+
+    The rows keep their numbers for a next window in the same order.
+    """
     w = Window.partitionBy("__block").orderBy("__row")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     starts: list[tuple[str, Column]] = []  # a running aggregate's name and argument: its value over the blocks before
-    reach, peers, ends = 1, [False], []
+    reach, peers, ends, counted = 0, False, [], False
 
     def running(aggregate: str, x: Column) -> Column:
         """The aggregate over all rows up to this one: of this block without its copies, and of the blocks before."""
@@ -139,14 +151,15 @@ def over_all_rows(r: Relation, expression: str, output: str) -> tuple[DataFrame,
         return (F.greatest if aggregate == "cummax" else F.least)(own, earlier)
 
     def over(name: str, args: list[Value]) -> Value:
-        nonlocal reach
+        nonlocal reach, peers, counted
         row, rows = F.col("__row"), F.col("__rows")
+        counted = counted or name in ("percent_rank", "ntile")
         if name == "row_number":
             _arity(name, args, 0, 0)
             return Value((row + 1).cast("long"), INTEGER)
         if name in ("rank", "dense_rank", "percent_rank"):
             _arity(name, args, 0, 0)
-            peers[0] = True
+            peers = True
             if name == "dense_rank":
                 return Value(running("cumsum", F.col("__first").cast("long")), INTEGER)
             rank = running("cummax", F.when(F.col("__first"), row + 1))
@@ -175,19 +188,22 @@ def over_all_rows(r: Relation, expression: str, output: str) -> tuple[DataFrame,
 
     value = compile_expression(expression, r.kinds, over)
     block = max(BLOCK, reach)
-    rows = numbered(r.df, r.total_order(), "__row")
-    if peers[0]:
+    rows = r.placed if r.placed is not None else numbered(r.df, r.total_order(), "__row")
+    if peers:
         same = reduce(Column.__and__, [quoted(k.field).eqNullSafe(F.lag(quoted(k.field)).over(w)) for k in r.order])
         rows = _with_neighbours(rows, 1, block).withColumn("__first", (F.col("__row") == 0) | ~same).where("not __copy").drop("__block", "__copy")
-    totals = rows.agg(F.count(F.lit(1)).alias("__rows"), *ends)
+    if r.placed is not None and (starts or ends or counted):
+        rows = checkpointed(rows)  # read twice below
     spread = _with_neighbours(rows, reach, block)
     if starts:
         sums = rows.groupBy(F.floor(F.col("__row") / block).alias("__block")).agg(*[RUNNING[a](x).alias(f"__part{i}") for i, (a, x) in enumerate(starts)])
         blocks = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
         before = sums.select("__block", *[RUNNING[a](f"__part{i}").over(blocks).alias(f"__start{i}") for i, (a, _) in enumerate(starts)])
         spread = spread.join(F.broadcast(before), "__block", "left")
-    spread = spread.join(F.broadcast(totals))
+    if ends or counted:
+        spread = spread.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("__rows"), *ends)))
     fields = [quoted(f) for f in r.fields if f != output]
-    done = spread.select(*fields, value.column.alias(output), "__copy").where("not __copy").drop("__copy")
-    shape = [output if f == output else f for f in r.fields] + ([] if output in r.fields else [output])
-    return done.select(*[quoted(f) for f in shape]), value
+    done = spread.select(*fields, value.column.alias(output), "__row", "__copy").where("not __copy")
+    shape = [quoted(f) for f in ([*r.fields] if output in r.fields else [*r.fields, output])]
+    kept = r.order if all(k.field != output for k in r.order) else ()
+    return Relation(done.select(*shape), kept, done.select(*shape, "__row") if kept else None)
