@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -251,30 +252,62 @@ def shared_out(sizes):
     return target
 
 
-def test_mix_against_resharing(spark):
+def copies_by_hand(rows):
+    """The whole mix by a plain running sum: rows (doc_id, text, source) -> Counter of (doc_id, text, source, copies)."""
+    def field(x):
+        return "n" if x is None else f"{len(str(x).encode())}:{x}"
+
+    words, groups = Counter(), {}
+    for r in rows:
+        words[r[2]] += len(re.findall(mixing.WORD, r[1] or ""))
+        groups.setdefault(r[2], Counter())[r] += 1
+    target, out = shared_out(words), Counter()
+    for source, own in groups.items():
+        key = "" if source is None else "=" + source
+        rate = min(target[source] / words[source], 2.0) if words[source] else 0.0
+        shift = int(hashlib.md5((mixing.SEED + key).encode()).hexdigest()[:8], 16) / 2**32
+        blocks, order = -(-len(own) // mixing.BLOCK), []
+        for r, n in own.items():
+            digest = hashlib.sha256("".join(map(field, r)).encode()).hexdigest()
+            order.append((int(int(digest[:8], 16) * blocks / 2**32), len(re.findall(mixing.WORD, r[1] or "")), digest, r, n))
+        place = 0
+        for *_, r, n in sorted(order):
+            for _ in range(n):
+                out[(*r, math.floor(shift + (place + 1) * rate) - math.floor(shift + place * rate))] += 1
+                place += 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "few"), [(1000, 100_000), (7, 2)])
+def test_mix_against_a_running_sum(spark, monkeypatch, block, few):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", few)
     rng = random.Random(8)
     source = lambda i: ["a", "b", "B", "é", None, "empty"][min(5, int(rng.random() ** 3 * 6))]
-    rows = [(i, None if (s := source(i)) == "empty" else "w " * rng.choice([0, 1, 5, 200]), s) for i in range(3000)]
-    rows += [(7, "w w", "a")] * 4 + [(None, "w\tw", None)] * 3
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit("old"), "target": F.lit("old"), "key": F.lit("old"), "block": F.lit(1)})
-    mixed, name = mixing.mix(docs)
-    got = mixed.collect()
-    assert len(got) == len(rows) and mixed.columns[:7] == docs.columns
+    rows = [(i, None if (s := source(i)) == "empty" else "w " * rng.choice([0, 1, 5, 200]), s) for i in range(1500)]
+    rows += [(7, "w w", "a")] * 400 + [(None, "w\tw", None)] * 30 + [(5, f"w {i}", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    want = copies_by_hand(rows)
+    assert Counter((r.doc_id, r["size"], r.copies) for r in got) == sum((Counter({(i, len((t or "").split()), c): n}) for (i, t, _, c), n in want.items()), Counter())
+    stage = mixing.stage(spark, docs, SF)
+    assert Counter(map(tuple, stage.collect())) == sum((Counter({(i, t, s): c * n}) for (i, t, s, c), n in want.items() if c), Counter())
     words = Counter()
     for _, t, s in rows:
         words[s] += len((t or "").split())
-    target, taken = shared_out(words), Counter()
-    for r in got:
-        assert r[name["size"]] == len((r.text or "").split()) and 0 <= r[name["copies"]] <= 2
-        assert r[name["target"]] == pytest.approx(target[r.source])
-        taken[r.source] += r[name["size"]] * r[name["copies"]]
+    target = shared_out(words)
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(0.02 * t, 2 * 200)
-    again = mixing.mix(docs.repartition(7))[0].collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
-    stage = mixing.stage(spark, docs, SF)
-    assert stage.columns == docs.columns and stage.count() == sum(r[name["copies"]] for r in got)
-    assert mixing.mix(docs.limit(0))[0].count() == 0
+        taken = sum(len((x or "").split()) * c * n for (_, x, y, c), n in want.items() if y == s)
+        assert abs(taken - t) <= max(0.02 * t, 2 * 200)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_mix_keeps_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, "c " * 5000, None)], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit("old") for c in ("size", "digest", "times", "n", "piece", "index", "key", "row")}).withColumn("tags", F.array(F.lit("x")))
+    out = mixing.stage(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() >= 3 and {r.digest for r in out.collect()} == {"old"}
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.stage(spark, docs.limit(0), SF).count() == 0
 
 
 # -- sharding ---------------------------------------------------------------------------------------------------------
