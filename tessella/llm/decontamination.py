@@ -5,26 +5,29 @@ are its runs of 13 words; an item of 1 to 12 words is one window; an item withou
 every distinct window, spaces around it, and scans each normalised text once.
 
 Defined cases: a null or empty text has no words, no hits and the digest of the empty string; a null item text has no
-windows; a null item_id is listed as "null"; rows of the benchmark with the same item_id are one item; repeated
-documents are judged alike; an empty benchmark hits nothing. Extra columns pass through; where their names clash with the
-result's, `prefix` sets the latter apart (`stage` finds one itself).
+windows; a null item_id is an item of its own that is counted but not listed; rows of the benchmark with the same item_id
+are one item; repeated documents are judged alike; an empty benchmark hits nothing. Extra columns pass through; where their
+names clash with the result's, `prefix` sets the latter apart (`stage` finds one itself).
 
-Size: windows are held in the workers' memory. Items are dealt into slices of at most SLICE_BYTES of window text, so one
-broadcast is bounded; a benchmark beyond that is scanned slice after slice, with the partial results written between.
+Size: windows are held in the workers' memory. They are dealt by their hash, whatever items they are of, into slices of
+about SLICE_BYTES, so one broadcast is bounded and a worker holds one slice's automaton. A benchmark beyond one slice is
+scanned slice after slice over numbered rows; a scan writes only the rows that it hits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_prefix, fresh, materialise, table
+from .common import bounded_batches, clear_prefix, drop_tables, fresh, materialise, table
 
 WINDOW = 13
 SLICE_BYTES = 64 << 20
@@ -41,30 +44,29 @@ def cleaned(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN)
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOW) -> Iterator[bytes]:
     words = cleaned(text).split()
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    return (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1) if words else 0))
 
 
 class Matcher:
-    """The automaton of one slice; built in each worker from the broadcast items."""
+    """The automaton of one slice; built in each worker from the broadcast pairs of a window and an item."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, pairs: list[tuple[bytes, str | None]]):
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(text, size):
-                owners.setdefault(w, set()).add(item)
+        owners: dict[bytes, set[str | None]] = {}
+        for window, item in pairs:
+            owners.setdefault(bytes(window), set()).add(item)
         self.automaton = ahocorasick.Automaton()
         for w, ids in owners.items():
             key = f" {w.decode('latin-1')} "
-            self.automaton.add_word(key, (len(key), w.count(b" ") + 1, sorted(ids)))
+            self.automaton.add_word(key, (len(key), w.count(b" ") + 1, tuple(ids)))
         if owners:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def find(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray, set[str]]:
+    def find(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray, set[str | None]]:
         """Number of words; first and past-last word of each hit run, runs merged; items found."""
         words = cleaned(text).split()
         if not words or self.empty:
@@ -99,82 +101,97 @@ def spans(text: str, starts, ends) -> list[tuple[int, int]]:
     return [(chars(at[s][0]), chars(at[e - 1][1])) for s, e in zip(starts, ends, strict=True)]
 
 
-def verdict(n: int, starts, ends, items: set[str]) -> tuple:
+def verdict(n: int, starts, ends, items: set[str | None]) -> tuple:
     hit = int(np.sum(np.asarray(ends, np.int64) - np.asarray(starts, np.int64)))
-    return n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode("utf-8", "surrogatepass")).hexdigest(), hit > 0 and SHARE * hit >= n
+    listed = ",".join(sorted(i for i in items if i is not None))
+    return n, hit, len(items), hashlib.sha256(listed.encode("utf-8", "surrogatepass")).hexdigest(), hit > 0 and SHARE * hit >= n
 
 
-_MATCHERS: dict[tuple, tuple] = {}
+_MATCHERS: dict[int, tuple] = {}
 
 
-def _matcher(shared, size: int) -> Matcher:
-    """The worker's automaton of a broadcast; the entry holds the broadcast, so its id stays its own."""
-    key = (id(shared), size)
-    if key not in _MATCHERS:
-        _MATCHERS[key] = (shared, Matcher(shared.value, size))
-    return _MATCHERS[key][1]
+def _matcher(shared) -> Matcher:
+    """The worker's automaton of a broadcast; the entry holds the broadcast, so its id stays its own. Another one replaces it."""
+    if id(shared) not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[id(shared)] = (shared, Matcher(shared.value))
+    return _MATCHERS[id(shared)][1]
 
 
-def _partial(shared, window: int):
-    """A UDF: the hits of one slice."""
+def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Distinct rows (window, item) of a benchmark(item_id, text)."""
 
-    @F.pandas_udf(PARTIAL)
-    def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = _matcher(shared, window)
-        for batch in texts:
-            rows = [m.find(t) for t in batch]
-            yield pd.DataFrame({"n_words": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "items": [sorted(r[3]) for r in rows]})
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                found = windows(text, size)
+                while part := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame({"window": part, "item": item})
 
-    return look
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
+    return materialise(named.mapInPandas(cut, "window binary, item string").distinct(), "benchmark-windows")
 
 
-def slices(benchmark: DataFrame, limit: int) -> int:
-    """Number of slices by the bytes of window text: each word stands in up to WINDOW windows."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return max(1, -(-size * WINDOW // limit))
+def _hits(texts: DataFrame, shared) -> DataFrame:
+    """Rows (row, starts, ends, items) of the texts(row, text) that one slice hits."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = _matcher(shared)
+        for batch in batches:
+            found = [(row, *m.find(t)[1:]) for row, t in zip(batch["row"], batch["text"], strict=True)]
+            found = [(row, starts, ends, list(items)) for row, starts, ends, items in found if len(starts)]
+            yield pd.DataFrame(found, columns=["row", "starts", "ends", "items"])
+
+    return texts.mapInPandas(look, "row long, starts array<int>, ends array<int>, items array<string>")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", prefix: str = "", window: int = WINDOW, with_spans: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (character offsets) if asked for."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    count = slices(benchmark, slice_bytes)
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("text"))
-    shape = RESULT + (", hit_spans array<struct<start:int,end:int>>" if with_spans else "")
+    pairs = window_table(benchmark, window)
+    count = max(1, -(-(pairs.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0) // slice_bytes))
 
     def share(k: int):
-        part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else named
-        return spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
+        own = pairs.where(F.pmod(F.xxhash64("window"), F.lit(count)) == k)
+        return spark.sparkContext.broadcast([(r.window, r["item"]) for r in own.collect()])
+
+    shape = RESULT + (", hit_spans array<struct<start:int,end:int>>" if with_spans else "")
+    names = [x.split()[0] for x in re.sub(r"<.*>", "", shape).split(", ")]
 
-    def final(t: str | None, n: int, starts, ends, items: set[str]) -> tuple:
+    def final(t: str | None, n: int, starts, ends, items: set[str | None]) -> tuple:
         row = verdict(n, starts, ends, items)
         return (*row, [{"start": s, "end": e} for s, e in spans(t or "", starts, ends)]) if with_spans else row
 
     judged = fresh(docs, "__judged")
-    names = [x.split()[0] for x in re.sub(r"<.*>", "", shape).split(", ")]
     if count == 1:
         shared = share(0)
 
         @F.pandas_udf(shape)
         def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            m = _matcher(shared, window)
+            m = _matcher(shared)
             for batch in texts:
                 yield pd.DataFrame([final(t, *m.find(t)) for t in batch], columns=names)
 
         out = docs.withColumn(judged, judge(F.col(text)))
     else:
-        out, partial = docs, []
-        for k in range(count):
-            partial.append(fresh(docs, f"__slice{k}"))
-            out = materialise(out.withColumn(partial[-1], _partial(share(k), window)(F.col(text))), "decontamination")
+        row, hits = (fresh(docs, c) for c in ("__row", "__hits"))
+        rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
+        texts = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
+        found = [materialise(_hits(texts, share(k)), "decontamination-hits") for k in range(count)]
+        every = reduce(DataFrame.unionByName, found).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("starts", "ends", "items")).alias(hits))  # at most one a slice
 
         @F.pandas_udf(shape)
-        def join(texts: pd.Series, n: pd.Series, starts: pd.Series, ends: pd.Series, items: pd.Series) -> pd.DataFrame:
-            flat = lambda x: np.concatenate([np.asarray(y, np.int64) for y in x])
-            return pd.DataFrame([final(t, k, *merged(flat(s), flat(e)), {str(y) for x in i for y in x}) for t, k, s, e, i in zip(texts, n, starts, ends, items, strict=True)], columns=names)
+        def join(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+            def one(t: str | None, own) -> tuple:
+                own = [] if own is None else list(own)
+                flat = lambda k: np.concatenate([_NONE, *[np.asarray(h[k], np.int64) for h in own]])
+                return final(t, len(cleaned(t).split()), *merged(flat("starts"), flat("ends")), {i for h in own for i in h["items"]})
+
+            return pd.DataFrame([one(t, h) for t, h in zip(texts, hits, strict=True)], columns=names)
 
-        parts = lambda f: F.array(*[F.col(f"{p}.{f}") for p in partial])
-        out = out.withColumn(judged, join(F.col(text), F.col(f"{partial[0]}.n_words"), parts("starts"), parts("ends"), parts("items"))).drop(*partial)
+        out = rows.join(materialise(every, "decontamination-found"), row, "left").withColumn(judged, join(F.col(text), F.col(hits)))
+        drop_tables(pairs, *found)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{judged}.{c}").alias(prefix + c) for c in names])
 
 
@@ -185,14 +202,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts, and the hit passages' character offsets in the original text as start-end, comma-joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = scan(docs, table(spark, sf_dir, "benchmark"), with_spans=True)
+    offsets = F.array_join(F.transform("hit_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.withColumn("hit_offsets", offsets).drop("text", "hit_spans")
 
 
 SQL = r"""
 with words as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from documents),
+  select doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents)),
 items as (
   select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from benchmark),
@@ -204,9 +224,13 @@ grams as (
   select doc_id, k, i, list_slice(w, i, i + k - 1) as win
   from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from words, sizes where len(w) >= k)),
 found as (select g.doc_id, g.k, g.i, wins.item from grams g join wins on g.k = wins.k and g.win = wins.win),
-hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, i, k from found)) group by doc_id),
+places as (select distinct doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, i, k from found)),
+hit as (select doc_id, count(*) as n_hit from places group by doc_id),
+runs as (select doc_id, min(p) as a, max(p) as b from (select doc_id, p, p - row_number() over (partition by doc_id order by p) as run from places) group by doc_id, run),
+gaps as (select doc_id, list_transform(regexp_split_to_array(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: length(x)) as g, list_transform(w, lambda x: length(x)) as n from words semi join hit using (doc_id)),
+marks as (select doc_id, string_agg(cast(list_sum(g[1:a]) + coalesce(list_sum(n[1:a - 1]), 0) as bigint) || '-' || cast(list_sum(g[1:b]) + list_sum(n[1:b]) as bigint), ',' order by a) as hit_offsets from runs join gaps using (doc_id) group by doc_id),
 who as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct doc_id, item from found) group by doc_id)
 select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-  sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from words left join hit using (doc_id) left join who using (doc_id)
+  sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(hit_offsets, '') as hit_offsets
+from words left join hit using (doc_id) left join who using (doc_id) left join marks using (doc_id)
 """

@@ -59,12 +59,26 @@ def test_decontamination_against_brute_force(spark):
             assert sum(len(words(r.text[s.start : s.end])) for s in r.hit_spans) == r.n_hit
 
 
+def test_one_long_item_is_dealt_to_slices(spark):
+    long = [f"w{i}" for i in range(3000)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (None, "w1 W2"), (2, "null item")], "item_id long, text string")
+    texts = [" ".join(long[k : k + 60]) for k in range(0, 2900, 97)] + ["w1 w2", "w2 w1", "NULL, item"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("hits", F.lit("x")).withColumn("row", F.lit(1))
+    whole = sorted(map(str, decontamination.scan(docs, benchmark).collect()))
+    assert whole == sorted(map(str, decontamination.scan(docs, benchmark, slice_bytes=40_000).collect()))
+    got = {r.text: r for r in decontamination.scan(docs, benchmark, slice_bytes=40_000).collect()}
+    assert got[texts[3]].n_hit == 60 and got["w1 w2"].n_items == 1 and got["w1 w2"].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got["NULL, item"].items_sha256 == hashlib.sha256(b"2").hexdigest() and not got["w2 w1"].contaminated
+
+
 def test_decontamination_edges(spark):
     docs = edge_docs(spark)
     benchmark = spark.createDataFrame([(1, "alpha beta"), (None, "zürich École"), (2, ""), (2, "one")], "item_id long, text string")
     got = decontamination.scan(docs, benchmark, prefix="r_").collect()
     assert len(got) == 8 and {r.doc_id: r.r_contaminated for r in got} == {1: False, 2: False, 3: True, None: True, 4: False, 5: True, 6: False}
     assert [r.r_n_words for r in got if r.doc_id == 3] == [180_000] * 2
+    null_item = [r for r in got if r.r_n_items and r.r_items_sha256 == hashlib.sha256(b"").hexdigest()]
+    assert all(words("zürich École")[0] in words(r.text) for r in null_item)
     assert decontamination.scan(docs, benchmark.limit(0), prefix="r_").where("r_contaminated").count() == 0
     assert decontamination.scan(docs.limit(0), benchmark, prefix="r_").count() == 0
 
