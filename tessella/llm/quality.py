@@ -2,13 +2,15 @@
 
 Each whole text gives a fixed list of statistics (STATISTICS). Standardised, they pass through COMPONENTS random cosines,
 which approximate a Gaussian kernel. Every labelled row outside the held-out part takes part in the fit: each partition
-sums its own normal equations (a matrix of COMPONENTS squared, of fixed size) and only the sums travel, at most TASKS of
-them. Rows of the calibration part (remainder 1) give an isotonic map from the raw score to the share of quality: their
-raw scores are first counted into BINS equal bins, so pool-adjacent-violators works on a list of fixed length.
+sums its own normal equations (a matrix of COMPONENTS squared, of fixed size), TASKS tasks add these sums up, and only
+their sums reach the driver. Rows of the calibration part (remainder 1) give an isotonic map from the raw score to the share
+of quality: their raw scores are first counted into BINS equal bins, so pool-adjacent-violators works on a list of fixed
+length. Each pooled block takes one further observation of the overall share, which keeps blocks of few rows off 0 and 1.
 
 Defined cases: a null or empty text has all statistics zero and is scored like any other; a null doc_id is never held out;
-without labels every score is 0.5, with labels of one class their smoothed share; repeated rows score alike; other
-columns pass through.
+without labels every score is 0.5, with labels of one class their smoothed share, and without rows for calibration the raw
+score cut to 0 and 1; repeated rows score alike; other columns pass through, and `prefix` sets the score apart from a
+column of its name.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import bounded_batches, fresh, materialise, table
 from .toxicity import held_out
 
 STATISTICS = ["log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "bang", "bar", "stop", "other_punctuation", "space", "newline", "non_ascii", "distinct_words", "distinct_lines", "line_length", "top_word"]
 COMPONENTS, BANDWIDTH, RIDGE = 192, 3.0, 1e-3
 TASKS, BINS = 64, 4096
+#: Rows of every product: of one shape, so that a row's score doesn't depend on its neighbours.
+PRODUCT_ROWS = 256
 THRESHOLD = 0.3
 
 _GROUPS = {
@@ -80,9 +84,14 @@ class Features:
         self.phases = rng.uniform(0, 2 * np.pi, COMPONENTS - 1)
 
     def __call__(self, stats: np.ndarray) -> np.ndarray:
-        x = np.clip((stats - self.mean) / self.deviation, -8, 8)
-        z = np.sqrt(2 / (COMPONENTS - 1)) * np.cos(x @ self.directions + self.phases)
-        return np.concatenate([z, np.ones((len(z), 1))], axis=1)
+        out = np.ones((len(stats), COMPONENTS))
+        block = np.zeros((PRODUCT_ROWS, len(self.mean)))
+        for at in range(0, len(stats), PRODUCT_ROWS):
+            own = stats[at : at + PRODUCT_ROWS]
+            block[: len(own)] = np.clip((own - self.mean) / self.deviation, -8, 8)
+            z = np.sqrt(2 / (COMPONENTS - 1)) * np.cos(block @ self.directions + self.phases)
+            out[at : at + len(own), :-1] = z[: len(own)]
+        return out
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -97,19 +106,27 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
+def calibrated(shares: np.ndarray, weights: np.ndarray, prior: float) -> np.ndarray:
+    """Isotonic shares, each block of equal ones drawn towards the prior by one observation, and made nondecreasing again."""
+    fitted = isotonic(shares, weights)
+    block = np.cumsum(np.concatenate([[0], fitted[1:] != fitted[:-1]]))
+    mass = np.bincount(block, weights)[block]
+    return isotonic((fitted * mass + prior) / (mass + 1), weights)
+
+
 class Model:
     def __init__(self, features: Features | None, ridge: np.ndarray | None, at: np.ndarray, share: np.ndarray, constant: float):
         self.features, self.ridge, self.at, self.share, self.constant = features, ridge, at, share, constant
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.ridge
+        return (self.features(stats) * self.ridge).sum(axis=1)
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if self.features is None:
             return np.full(len(stats), self.constant)
         raw = self.raw(stats)
         out = np.interp(raw, self.at, self.share) if len(self.at) else np.clip(raw, 0, 1)
-        return np.round(np.clip(out, 0, 1), 12)  # the last bits depend on a row's place in its batch
+        return np.clip(out, 0, 1)
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -120,14 +137,16 @@ def fit(rows: DataFrame) -> Model:
     """rows(stats, label, part): every labelled row outside the held-out part, once."""
     spark = rows.sparkSession
     train, rest = rows.where("part <> 1"), rows.where("part = 1")
-    moments = train.select("label", F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.avg("label").alias("share")).orderBy("k").collect()
-    if not moments:
+    each = range(len(STATISTICS))
+    m = train.agg(F.count(F.lit(1)), F.avg("label"), *[f(F.get("stats", F.lit(k))) for f in (F.avg, F.stddev_pop) for k in each]).first()
+    n, share = m[0], m[1]
+    if not n:
         return Model(None, None, np.zeros(0), np.zeros(0), 0.5)
-    n, share = moments[0].n, moments[0].share
     constant = (n * share + 1) / (n + 2)
     if share in (0.0, 1.0):
         return Model(None, None, np.zeros(0), np.zeros(0), constant)
-    features = Features(np.array([r["mean"] for r in moments]), np.array([r["deviation"] for r in moments]))
+    mean, deviation = np.array(m[2:], np.float64).reshape(2, -1)
+    features = Features(mean, deviation)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = np.zeros((COMPONENTS, COMPONENTS)), np.zeros(COMPONENTS)
@@ -137,17 +156,25 @@ def fit(rows: DataFrame) -> Model:
             b += z.T @ batch["label"].to_numpy(np.float64)
         yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
 
-    a, b = np.zeros((COMPONENTS, COMPONENTS)), np.zeros(COMPONENTS)
-    for r in train.select("stats", "label").coalesce(TASKS).mapInPandas(sums, "a binary, b binary").toLocalIterator():
-        a += np.frombuffer(r.a).reshape(a.shape)
-        b += np.frombuffer(r.b)
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = np.zeros((COMPONENTS, COMPONENTS)), np.zeros(COMPONENTS)
+        for batch in batches:
+            for x, y in zip(batch["a"], batch["b"], strict=True):
+                a += np.frombuffer(x).reshape(a.shape)
+                b += np.frombuffer(y)
+        yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+
+    shape = "a binary, b binary"
+    parts = train.select("stats", "label").mapInPandas(sums, shape).repartition(TASKS).mapInPandas(added, shape)
+    total = next(added(iter([parts.toPandas()])))  # TASKS rows of COMPONENTS squared numbers
+    a, b = np.frombuffer(total["a"][0]).reshape(COMPONENTS, COMPONENTS), np.frombuffer(total["b"][0])
     ridge = np.linalg.solve(a / n + RIDGE * np.eye(COMPONENTS), b / n)
     model = Model(features, ridge, np.zeros(0), np.zeros(0), constant)
     binned = rest.select(F.col("label"), F.floor((F.least(F.lit(1.5), F.greatest(F.lit(-0.5), raw_column(model))) + 0.5) / 2 * BINS).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).orderBy("bin").collect()
     if binned:
         weight = np.array([r.n for r in binned], np.float64)
-        shares = isotonic(np.array([r.share for r in binned], np.float64), weight)
-        model.at, model.share = (np.array([r.bin for r in binned]) + 0.5) / BINS * 2 - 0.5, (shares * weight + constant) / (weight + 1) if weight.sum() < 50 else shares
+        model.at = (np.array([r.bin for r in binned]) + 0.5) / BINS * 2 - 0.5
+        model.share = calibrated(np.array([r.share for r in binned], np.float64), weight, constant)
     return model
 
 
@@ -167,13 +194,14 @@ def score_column(model: Model, stats: str = "stats"):
     return score(F.col(stats))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` of docs (with doc_id) and score. The statistics are written once, so texts are read once."""
-    stats = materialise(docs.select(*keep, statistics_column(docs, text).alias("__stats")), "quality")
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """Columns `keep` of docs (with doc_id) and prefix + score. The statistics are written once, so texts are read once."""
+    name = fresh(docs, "__stats")
+    stats = materialise(docs.select(*[F.col(f"`{c}`") for c in keep], statistics_column(docs, text).alias(name)), "quality")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    labelled = stats.select("doc_id", F.col("__stats").alias("stats")).join(marks, "doc_id")
+    labelled = stats.select("doc_id", F.col(name).alias("stats")).join(marks, "doc_id")
     rows = materialise(labelled.select("stats", F.col("label").cast("double").alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 5).alias("part")), "quality-labelled")
-    return stats.withColumn("score", score_column(fit(rows), "__stats")).drop("__stats")
+    return stats.select(*[F.col(f"`{c}`") for c in keep], score_column(fit(rows), name).alias(prefix + "score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

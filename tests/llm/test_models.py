@@ -1,5 +1,6 @@
 """Toxicity and quality: held-out accuracy, kernels, edges."""
 
+import math
 import zlib
 
 import numpy as np
@@ -141,6 +142,50 @@ def test_partition_sums_are_the_whole_fit(spark):
     assert np.allclose(one.ridge, exact)
 
 
+def plain_statistics(text):
+    """The statistics one by one."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * 17
+    share = lambda chars: sum(raw.count(bytes([b])) for b in chars) / len(raw)
+    words, lines = raw.lower().split(), raw.split(b"\n")
+    groups = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~<>{}[]\\_=+", b"!?", b"|", b".,;:", b"\"'()/`-", b" \t", b"\n\r", bytes(range(128, 256))]
+    m = max(1, len(words))
+    top = max((words.count(w) for w in words), default=0)
+    return [math.log1p(len(raw)), math.log1p(len(words)), min(len(raw) / m, 100), *map(share, groups), len(set(words)) / m, len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)), top / m]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.one_of(st.none(), st.text(alphabet="aAbZ9 \n\t|!.,é漢#-'", max_size=60)))
+def test_statistics_one_by_one(text):
+    assert quality.statistics(text) == pytest.approx(plain_statistics(text))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.integers(1, 5)), min_size=1, max_size=12), st.floats(0.01, 0.99))
+def test_calibration_is_one_formula_at_all_sizes(points, prior):
+    v, w = np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
+    got = quality.calibrated(v, w, prior)
+    assert (np.diff(got) >= -1e-12).all() and (got > 0).all() and (got < 1).all()
+    many = quality.calibrated(v, w * 1e9, prior)
+    assert np.allclose(many, quality.isotonic(v, w), atol=1e-6)
+
+
+def test_quality_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "text " * i) for i in range(40)], "doc_id long, text string").withColumns({"score": F.lit("old"), "__stats": F.lit("s")})
+    labels = spark.createDataFrame([(i, int(i > 20)) for i in range(40)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, docs.columns, prefix="q_")
+    assert got.columns == [*docs.columns, "q_score"] and {r.score for r in got.collect()} == {"old"}
+
+
+def test_equal_statistics_score_alike_in_any_batch():
+    rng = np.random.default_rng(1)
+    model = quality.Model(quality.Features(np.zeros(17), np.ones(17)), rng.normal(size=quality.COMPONENTS), np.linspace(0, 1, 9), np.linspace(0, 1, 9), 0.5)
+    row = rng.normal(size=(1, 17))
+    seen = {float(model.scores(np.concatenate([rng.normal(size=(k, 17)), row, rng.normal(size=(n, 17))]))[k]) for k in (0, 1, 7, 300) for n in (0, 3, 500)}
+    assert len(seen) == 1
+
+
 def test_model_edges(spark):
     docs = edge_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
