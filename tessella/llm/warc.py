@@ -1,7 +1,8 @@
 """WARC archives: write captures, read them back, and merge their index into one globally ordered capture history.
 
 Writing is JVM-side: a record is one string (WARC header, HTTP header, payload) and the text writer ends it with the
-blank lines that WARC asks for, so each task writes gzipped archives of at most FILE_RECORDS records to any file system.
+blank lines that WARC asks for, so each task writes gzipped archives to any file system. Records are written by classes of
+size, so that an archive of any class holds about FILE_BYTES at most, or one record that is larger.
 Of captures with equal payloads of at least MIN_BYTES bytes the one with the least id is a response, the others are
 revisit records without payload that refer to it.
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import bounded, bounded_batches, materialise, scratch, table
 
 MIN_BYTES = 0
-FILE_RECORDS, RANGE_ROWS = 2000, 100_000
+FILE_BYTES, RANGE_ROWS = 64 << 20, 100_000
+#: Upper bounds of a record's payload in all classes of size but the last.
+CLASSES = (32 << 10, 1 << 20, 32 << 20)
 #: Captures without a time of their own are dated from here, a second for each id.
 EPOCH = 1_704_067_200
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,7 +54,7 @@ def captures(pages: DataFrame, id: str, url: str, payload: str, ts: str | None =
 
 
 def records(found: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Rows (record): the WARC records without the blank lines at their end."""
+    """Rows (size, record): the payloads' bytes and the WARC records without the blank lines at their end."""
     size = F.octet_length("payload")
     groups = found.where(size >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     firsts = bounded(materialise(groups, "warc-groups"))
@@ -73,12 +76,26 @@ def records(found: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
     )
-    return judged.withColumn("http", http).select(F.concat(head, "http", F.when(F.col("revisit"), "").otherwise(F.col("payload"))).alias("record"))
+    return judged.withColumn("http", http).select(size.alias("size"), F.concat(head, "http", F.when(F.col("revisit"), "").otherwise(F.col("payload"))).alias("record"))
 
 
 def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", ts: str | None = None, min_bytes: int = MIN_BYTES) -> None:
-    out = records(captures(pages, id, url, payload, ts), min_bytes).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
-    out.option("zlib.compress.level", "BEST_SPEED").text(folder)
+    """Archives of all pages in a folder; one of its folders for each class of size that occurs."""
+    found = captures(pages, id, url, payload, ts)
+    size = F.octet_length("payload")
+    most = found.agg(F.max(size)).first()[0]
+    if most is None:
+        records(found, min_bytes).select("record").write.text(folder)
+        return
+    made, low = records(found, min_bytes), 0
+    for high in (*CLASSES, None):
+        own = made.where(F.col("size") >= low) if high is None else made.where((F.col("size") >= low) & (F.col("size") < high))
+        out = own.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+        out = out.option("maxRecordsPerFile", max(1, FILE_BYTES // high) if high else 1).option("zlib.compress.level", "BEST_SPEED")
+        out.text(f"{folder}/size={low}")
+        low = high
+        if high is None or most < high:
+            break
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -201,7 +218,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def index(spark: SparkSession, folder: str) -> DataFrame:
     """The archives' index entries in global order of URL key, timestamp and id."""
     bounded_batches(spark, 1)  # an archive at a time
-    runs = materialise(spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(_read, INDEX), "warc-runs")
+    runs = materialise(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content").mapInPandas(_read, INDEX), "warc-runs")
     bounded_batches(spark)
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(ranges, "urlkey", "ts", F.col("id").asc_nulls_first()).mapInPandas(_merge, INDEX)

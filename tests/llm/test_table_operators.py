@@ -232,6 +232,21 @@ def test_damaged_archives_are_found():
             warc.entries("a", gzip.compress(bad))
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "CLASSES", (200, 2000, 10_000))
+    rng = random.Random(6)
+    pages = [(i, f"http://h/{i}", "".join(rng.choices("abc", k=rng.choice((0, 50, 1500, 9000, 50_000))))) for i in range(120)] + [(500, None, None), (501, "http://h/5", "x" * 3_000_000)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2), f"file://{tmp_path}/b")
+    largest = []
+    for f in (tmp_path / "b").rglob("*.gz"):
+        found = [len(block) for _, _, _, block in warc.parse(f.read_bytes())]
+        largest.append(sum(found))
+        assert len(found) == 1 or sum(found) <= 20_000 + 200 * len(found)
+    got = {r.id: r for r in warc.index(spark, f"file://{tmp_path}/b").collect()}
+    assert len(largest) > 10 and max(largest) > 3_000_000 and {i: got[i].payload_bytes for i in got} == {i: len(h or "") for i, _, h in pages}
+
+
 # -- mixing -----------------------------------------------------------------------------------------------------------
 
 
