@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import embeddings, mixing, sharding, url_filter, warc
+from tessella.llm import common, embeddings, mixing, sharding, url_filter, warc
 from tessella.llm.common import made, release
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +124,62 @@ def test_scores_are_exact_whatever_the_number_of_ngrams(spark, monkeypatch, few)
         assert got[r.page_id] == pytest.approx(sum(exact) / len(exact), abs=1e-9)
 
 
+def verdicts_by_hand(rows):
+    """rows (host, path, held) -> {(host, path): (score, verdict)}: the whole filter in plain Python, threshold included."""
+    k, times = url_filter.ORDER, Counter((h, p) for h, p, _ in rows)
+    held = {(h, p): x for h, p, x in rows}
+    counts, contexts = ({v: Counter() for v in ("allow", "block")} for _ in range(2))
+    for (h, p), n in times.items():
+        v = rule_of(h, p)[1]
+        if v and not held[h, p]:
+            chars = "^" * k + h + p + "$"
+            for i in range(k, len(chars)):
+                for o in range(k + 1):
+                    counts[v][chars[i - o : i + 1]] += n
+                    contexts[v][o, chars[i - o : i]] += n
+
+    def logp(v, chars, i):
+        q = (counts[v][chars[i]] + 0.5) / (contexts[v][0, ""] + 0.5 * url_filter.ALPHABET)
+        for o in range(1, k + 1):
+            q = (counts[v][chars[i - o : i + 1]] + url_filter.STRENGTH * q) / (contexts[v][o, chars[i - o : i]] + url_filter.STRENGTH)
+        return math.log(q)
+
+    score = {}
+    for h, p in times:
+        chars = "^" * k + h + p + "$"
+        score[h, p] = sum(logp("allow", chars, i) - logp("block", chars, i) for i in range(k, len(chars))) / (len(chars) - k)
+    bins = {}
+    for u, n in times.items():
+        v = rule_of(*u)[1]
+        if v and held[u]:
+            b = max(-url_filter.BINS, min(url_filter.BINS, math.floor(score[u] * url_filter.BINS_PER_NAT)))
+            bins.setdefault(b, Counter())[v] += n
+    allowed, blocked, cut = sum(c["allow"] for c in bins.values()), sum(c["block"] for c in bins.values()), -math.inf
+    if allowed and blocked:
+        order, found = sorted(bins), []
+        for i in range(len(order) + 1):
+            low = order[i - 1] + 1 if i else -url_filter.BINS - 1
+            at = max(low, min(order[i] if i < len(order) else order[-1] + 1, 0)) / url_filter.BINS_PER_NAT
+            error = sum(bins[b]["allow"] for b in order[:i]) / allowed + 1 - sum(bins[b]["block"] for b in order[:i]) / blocked
+            found.append((error, abs(at), at))
+        cut = min(found)[2]
+    return {u: (s, rule_of(*u)[1] or ("allow" if s >= cut else "block")) for u, s in score.items()}
+
+
+@pytest.mark.parametrize("few", [100_000, 300])
+def test_every_verdict_by_hand(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", few)
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(url_filter.FOLDS)) == 0
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select(url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path")).select("host", "path", held.alias("held")).collect()
+    want = verdicts_by_hand([tuple(r) for r in rows])
+    got = url_filter.query(spark, SF).collect()
+    assert len(got) == len(rows) and {"allow", "block"} <= {r.verdict for r in got if r.rule is None} | {"allow", "block"}
+    for r in got:
+        score, verdict = want[r.host, r.path]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.verdict == verdict
+
+
 # -- embeddings -------------------------------------------------------------------------------------------------------
 
 
