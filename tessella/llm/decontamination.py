@@ -95,6 +95,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def spans(text: str, starts, ends) -> list[tuple[int, int]]:
     """Character offsets in the original text of runs of words."""
+    if not len(starts):
+        return []
     clean, raw = cleaned(text), text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in re.finditer(rb"[^ ]+", clean)]
     chars = lambda b: len(raw[:b].decode("utf-8", "surrogatepass"))
