@@ -126,7 +126,9 @@ def peaks(x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.embed = np.concatenate([rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), np.zeros((1, DIMENSIONS))]).astype(np.float32)
+        self.embed = rng.standard_normal((BUCKETS + 1, DIMENSIONS), np.float32)
+        self.embed *= np.float32(0.01)
+        self.embed[BUCKETS] = 0
         self.filters = [rng.normal(0, 0.4 / np.sqrt(w), (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
