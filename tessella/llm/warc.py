@@ -195,7 +195,7 @@ def _tuples(frame: pd.DataFrame) -> Iterator[tuple]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive, content in zip(batch["path"], batch["content"], strict=True):
-            yield _frame(entries(archive.rpartition("/")[2], content))
+            yield _frame(entries(archive, content))
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +216,10 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """The archives' index entries in global order of URL key, timestamp and id."""
+    """The archives' index entries in global order of URL key, timestamp and id; `archive` is a path within the folder."""
     bounded_batches(spark, 1)  # an archive at a time
-    runs = materialise(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content").mapInPandas(_read, INDEX), "warc-runs")
+    within = F.substring_index("path", f"/{folder.rstrip('/').rpartition('/')[2]}/", -1)
+    runs = materialise(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(within.alias("path"), "content").mapInPandas(_read, INDEX), "warc-runs")
     bounded_batches(spark)
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(ranges, "urlkey", "ts", F.col("id").asc_nulls_first()).mapInPandas(_merge, INDEX)
