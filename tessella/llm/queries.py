@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, mixing, quality, sharding, simhash, tokens, toxicity, url_filter, warc
+from . import decontamination, embeddings, mixing, packed, quality, sharding, simhash, tokens, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash.query,
     "op9_sharding": sharding.query,
     "op10_token_counts": tokens.query,
+    "op13_packed_ids": packed.query,
 }
 
 SQL = {
