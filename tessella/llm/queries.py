@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, mixing, packed, quality, sharding, simhash, tokens, toxicity, url_filter, vector_codes, warc
+from . import conversations, decontamination, embeddings, mixing, packed, quality, sharding, simhash, tokens, toxicity, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash.query,
     "op9_sharding": sharding.query,
     "op10_token_counts": tokens.query,
+    "op11_conversation_repair": conversations.query,
     "op12_vector_codes": vector_codes.query,
     "op13_packed_ids": packed.query,
 }
@@ -25,5 +26,6 @@ SQL = {
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op9_sharding": sharding.SQL,
+    "op11_conversation_repair": conversations.SQL,
     "op12_vector_codes": vector_codes.SQL,
 }
