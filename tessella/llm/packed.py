@@ -28,7 +28,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,12 @@ from .common import bounded_batches, materialise, scratch, table
 VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK, PERCENTILE = 128, 90
 #: Bytes of unpacked ids of a segment, segments of a file, and bytes of text of a partition.
-SEGMENT_BYTES, FILE_SEGMENTS, PARTITION_BYTES = 16 << 20, 4, 64 << 20
+SEGMENT_BYTES, FILE_SEGMENTS, PARTITION_BYTES = 4 << 20, 8, 64 << 20
 #: Blocks packed or unpacked at once.
 AT_ONCE = 2048
-CACHE_PIECES = 400_000
+CACHE_PIECES = 450_000
+#: Characters of texts that are encoded at once.
+PART_CHARS = 1 << 20
 #: A longer piece is encoded anew each time.
 CACHED_CHARS = 40
 MAGIC, FOOTER = b"PFOR", struct.Struct("<QQQQIII4s")
@@ -169,18 +172,17 @@ class Segment:
         return unpack(self.data, self.starts[first:last])[start - first * BLOCK : max(start, end) - first * BLOCK]
 
 
-def segments(content: bytes) -> list[Segment]:
-    """A file's segments, found from its end: a footer tells where its segment begins."""
-    found, end = [], len(content)
+def segments(content: bytes) -> Iterator[Segment]:
+    """A file's segments, the last one first: a footer tells where its segment begins."""
+    end = len(content)
     while end:
         end -= 1  # the line feed
         at, docs, blocks = struct.unpack_from("<QQQ", content, end - FOOTER.size)
         begin = end - FOOTER.size - 8 * blocks - 17 * docs - at
         if begin < 0 or content[end : end + 1] != b"\n":
             raise ValueError("not a file of packed ids")
-        found.append(Segment(content[begin:end]))
+        yield Segment(content[begin:end])
         end = begin
-    return found[::-1]
 
 
 # -- encoding ---------------------------------------------------------------------------------------------------------
@@ -191,7 +193,7 @@ class Encoder(dict):
 
     #: Lower case goes letter by letter here and nothing composes with its neighbours: ASCII, Latin-1 and Extended-A, but
     #: U+0130, and but the separators that str.split() alone takes as white space.
-    plain = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ]*").fullmatch
+    plain = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f]*").fullmatch
 
     def __init__(self, spec: str):
         super().__init__()
@@ -199,28 +201,79 @@ class Encoder(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.before: dict[str, bytes] = {}  # what the cache held when it was last full
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        stem = piece.rstrip(".,;:!?")
-        if stem and len(stem) < len(piece) and stem[-1].isalnum():  # what the pattern takes apart anyway
-            ids = self[stem] + self[piece[len(stem) :]]
-        else:
-            ids = self.whole(piece)
+    def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            stem = stem_of(piece)
+            ids = self[stem] + self[piece[len(stem) :]] if len(stem) < len(piece) else self.whole(piece)
+        self.keep(piece, ids)
         return ids
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text) or any(m in text for m in self.marks):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+    def learn(self, pieces: set[str]) -> None:
+        """Encode all new words of letters only in one call, of which each is one word of the pattern."""
+        new = {stem_of(p) for p in pieces if p not in self and p not in self.before}
+        words = [w for w in new if len(w) <= CACHED_CHARS and w.isalpha() and w not in self and w not in self.before]
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, at = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        ends = 4 * np.searchsorted(at, np.arange(len(words) + 1))
+        data = ids.tobytes()
+        for k, w in enumerate(words):
+            self.keep(w, data[ends[k] : ends[k + 1]])
+
+    def joined(self, parts: list[str]) -> list[bytes]:
+        """The parts' ids; new words of all of them are learnt first."""
+        plain = [p if self.plain(p) and not any(m in p for m in self.marks) else None for p in parts]
+        pieces = [None if p is None else p.lower().split() for p in plain]
+        self.learn(set().union(*[p for p in pieces if p]))
+        return [self.whole(p) if own is None else b"".join(map(self.__getitem__, own)) for p, own in zip(parts, pieces, strict=True)]
+
+    def batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Each text's ids, worked out for about PART_CHARS characters at once."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > PART_CHARS:
+                yield from self.joined(held)
+                held, size = [], 0
+            if len(text) > PART_CHARS:
+                ends = [0]
+                while ends[-1] < len(text):
+                    ends.append(cut(text, ends[-1]))
+                yield b"".join(self.joined([text[a:b]])[0] for a, b in pairwise(ends))
+            else:
+                held.append(text)
+                size += len(text)
+        yield from self.joined(held)
+
+
+def stem_of(piece: str) -> str:
+    """The piece without the marks at its end that the pattern takes apart anyway."""
+    stem = piece.rstrip(".,;:!?")
+    return stem if stem and stem[-1].isalnum() else piece
+
+
+def cut(text: str, at: int) -> int:
+    """Where a part of about PART_CHARS ends: after a space or a line feed, at which no word spans two parts."""
+    if len(text) - at <= PART_CHARS:
+        return len(text)
+    for space in (" ", "\n"):
+        if (end := text.rfind(space, at, at + PART_CHARS)) > at:
+            return end + 1
+    ends = [e for e in (text.find(space, at + PART_CHARS) for space in (" ", "\n")) if e >= 0]
+    return min(ends) + 1 if ends else len(text)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -259,8 +312,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, doc_id:
             return pa.RecordBatch.from_arrays([pa.array([segment(held, partition, number)], pa.binary())], ["segment"])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(t.as_py()) + mark
+            texts = (t.as_py() for t in batch.column(1))
+            for d, ids in zip(batch.column(0).to_pylist(), encode.batch(texts), strict=True):
+                ids += mark
                 if held and size + len(ids) > limit:
                     yield flush()
                     held, size, number = [], 0, number + 1
