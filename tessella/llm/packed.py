@@ -25,6 +25,7 @@ documents give no files; other columns aren't written.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,6 +34,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,12 +202,24 @@ class Encoder(dict):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        split, _ = json.loads(spec)["pre_tokenizer"]["pretokenizers"]
+        if split["type"] != "Split" or not split["invert"]:
+            raise ValueError("unsupported pre-tokenizer")
+        self.pattern = regex.compile(split["pattern"]["Regex"])
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.before: dict[str, bytes] = {}  # what the cache held when it was last full
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def words(self, piece: str) -> list[str]:
+        """The words that the pattern takes a piece apart into."""
+        if piece.isalpha():
+            return [piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
     def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHE_PIECES:
@@ -216,14 +230,14 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
-            stem = stem_of(piece)
-            ids = self[stem] + self[piece[len(stem) :]] if len(stem) < len(piece) else self.whole(piece)
+            words = self.words(piece)
+            ids = b"".join(map(self.__getitem__, words)) if len(words) > 1 else self.whole(piece)
         self.keep(piece, ids)
         return ids
 
     def learn(self, pieces: set[str]) -> None:
         """Encode all new words of letters only in one call, of which each is one word of the pattern."""
-        new = {stem_of(p) for p in pieces if p not in self and p not in self.before}
+        new = {w for p in pieces if p not in self and p not in self.before for w in self.words(p)}
         words = [w for w in new if len(w) <= CACHED_CHARS and w.isalpha() and w not in self and w not in self.before]
         found = self.library.encode(" ".join(words), add_special_tokens=False)
         ids, at = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
@@ -259,12 +273,6 @@ class Encoder(dict):
         yield from self.joined(held)
 
 
-def stem_of(piece: str) -> str:
-    """The piece without the marks at its end that the pattern takes apart anyway."""
-    stem = piece.rstrip(".,;:!?")
-    return stem if stem and stem[-1].isalnum() else piece
-
-
 def cut(text: str, at: int) -> int:
     """Where a part of about PART_CHARS ends: after a space or a line feed, at which no word spans two parts."""
     if len(text) - at <= PART_CHARS:
