@@ -4,8 +4,9 @@ Words (runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased)
 of 1, 2 and 3 words run over the sequence, each filter's maximum over the text feeds a logistic output. All weights start
 from small random numbers and are learnt by gradients only: Adam on filters and outputs, Adagrad on the embeddings that a
 batch's maxima touch, dropout on the pooled values. RESTARTS nets are trained and the one of least calibration loss stays.
+A text's score is summed in a fixed order, so that it depends neither on the batch nor on the processor's product kernels.
 
-Training runs on the driver on a bounded sample, whose bounds are parameters: the first rows of each class in order of a
+Training takes a bounded sample, each net in a task of its own. The bounds are parameters: the first rows of each class in order of a
 hash of doc_id and text, at most SAMPLE_PER_CLASS of them and SAMPLE_BYTES bytes of whole texts (a text over a quarter of
 SAMPLE_BYTES can't be in the sample). A further sample of CALIBRATION_ROWS, in natural proportion and of as many bytes,
 sets the scale of the score (Platt). Thresholds come from every labelled row of the calibration part, texts of any length
@@ -21,6 +22,7 @@ columns of the same name.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, clear_prefix, materialise, table
+from .common import bounded_batches, clear_prefix, drop_tables, materialise, table
 from .decontamination import cleaned
 
 BUCKETS = 1 << 20
@@ -40,8 +42,6 @@ DROPOUT, EMBED_RATE, EMBED_DECAY, RATE, DECAY = 0.2, 0.02, 1e-3, 0.01, 1e-4
 BINS_PER_LOGIT = 100
 #: Bytes hashed and words pooled at once.
 PIECE_BYTES, PIECE_WORDS = 1 << 20, 1 << 15
-#: Rows of every product: of one shape, so that a row's result doesn't depend on its neighbours.
-PRODUCT_ROWS = 4096
 _P = 0x100000001B3  # FNV-64's prime, odd, so that it has an inverse modulo 2**64
 
 
@@ -123,6 +123,14 @@ def peaks(x: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return peak, at
 
 
+def fixed_product(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights with the sums in one order whatever the processor: a row's result is its own in any batch."""
+    out = x[:, :1] * weights[0]
+    for k in range(1, len(weights)):
+        out += x[:, k : k + 1] * weights[k]
+    return out
+
+
 class Classifier:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -135,22 +143,27 @@ class Classifier:
         self.shift, self.scale = np.float32(0), (1.0, 0.0)
 
     def responses(self, seq: np.ndarray) -> np.ndarray:
-        """(positions, filters) before bias, for every window's first position."""
-        n, reach = len(seq) - max(WIDTHS) + 1, max(WIDTHS) - 1
+        """(positions, filters) before bias, for every window's first position.
+
+        Each bucket is multiplied with each row of the filters once, dimension by dimension, then gathered and added along the
+        windows: sums of fixed order, so that a window's response doesn't depend on what stands around it in the batch.
+        """
+        n = len(seq) - max(WIDTHS) + 1
+        buckets, at = np.unique(seq, return_inverse=True)
+        words = self.embed[buckets]
         out = np.empty((n, FILTERS * len(WIDTHS)), np.float32)
-        block = np.zeros((PRODUCT_ROWS + reach, DIMENSIONS), np.float32)
-        for at in range(0, n, PRODUCT_ROWS):
-            end = min(n, at + PRODUCT_ROWS)
-            block[: end - at + reach] = self.embed[seq[at : end + reach]]
-            for k, w in enumerate(WIDTHS):
-                part = block[:PRODUCT_ROWS] @ self.filters[k][0]
-                for j in range(1, w):
-                    part += block[j : j + PRODUCT_ROWS] @ self.filters[k][j]
-                out[at:end, k * FILTERS : (k + 1) * FILTERS] = part[: end - at]
+        for k, w in enumerate(WIDTHS):
+            part = out[:, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                product = fixed_product(words, self.filters[k][j])[at[j : j + n]]
+                if j:
+                    part += product
+                else:
+                    part[:] = product
         return out
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
-        return (np.maximum(pooled + self.bias, 0) * self.out).sum(axis=1) + self.shift
+        return fixed_product(np.maximum(pooled + self.bias, 0), self.out[:, None])[:, 0] + self.shift
 
     def pooled(self, texts) -> np.ndarray:
         """Largest response of each filter over each whole text."""
@@ -190,7 +203,7 @@ class Classifier:
             return np.zeros(0)
         a, b = self.scale
         z = a * self.logit(self.pooled(texts)).astype(np.float64) + b
-        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)  # the last bits depend on a row's place in its batch
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)  # six digits, which bound the bins of the log-odds
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> None:
         """Gradient steps on weighted log-loss, both classes weighing the same; rates fall to zero over the epochs."""
@@ -338,10 +351,31 @@ def histogram(docs: DataFrame, labels: DataFrame, label: str, score, calibration
     return bins.join(enough, "lang").select(*shape).unionByName(every.withColumn("lang", F.lit(None).cast("string")).select(*shape)).collect()
 
 
+def trained(spark: SparkSession, docs: list[np.ndarray], y: np.ndarray, texts: list, z: np.ndarray) -> Classifier:
+    """The net of least calibration loss of RESTARTS, each of which is fitted in a task of its own."""
+    shared = spark.sparkContext.broadcast((docs, y, texts, z))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, y, texts, z = shared.value
+        for k in [int(k) for batch in batches for k in batch["id"]]:
+            net = Classifier(seed=7 + k)
+            net.fit(docs, y, seed=11 + k)
+            logits = net.logit(net.pooled(texts)).astype(np.float64)
+            net.calibrate(logits, z)
+            yield pd.DataFrame({"k": [k], "loss": [net.loss(logits, z)], "net": [pickle.dumps(net)]})
+
+    nets = materialise(spark.range(0, RESTARTS, 1, RESTARTS).mapInPandas(fit, "k long, loss double, net binary"), "toxicity-nets")
+    best = nets.select("k", "loss").orderBy("loss", "k").first()  # RESTARTS rows
+    net = pickle.loads(nets.where(F.col("k") == best.k).select("net").first().net)
+    drop_tables(nets)
+    shared.destroy()
+    return net
+
+
 class Model:
     """Classifier or constant, and a threshold for each language."""
 
-    def __init__(self, rows: list):
+    def __init__(self, spark: SparkSession, rows: list):
         train, rest = [r for r in rows if r.part != 1], [r for r in rows if r.part == 1]
         y = np.array([r.label for r in train], np.float64)
         self.prior = float((sum(r.label for r in rows) + 1) / (len(rows) + 2))
@@ -351,14 +385,7 @@ class Model:
         self.default = 0.5
         rest = rest or train
         z = np.array([r.label for r in rest], np.float64)
-        docs, texts, least = [np.concatenate(word_buckets(r.text)) for r in train], [r.text for r in rest], np.inf
-        for k in range(RESTARTS):
-            net = Classifier(seed=7 + k)
-            net.fit(docs, y, seed=11 + k)
-            logits = net.logit(net.pooled(texts)).astype(np.float64)
-            net.calibrate(logits, z)
-            if (loss := net.loss(logits, z)) < least:
-                self.net, least = net, loss
+        self.net = trained(spark, [np.concatenate(word_buckets(r.text)) for r in train], y, [r.text for r in rest], z)
 
     def set_thresholds(self, bins: list) -> None:
         own: dict[str | None, list] = {}
@@ -391,7 +418,7 @@ def score_column(spark: SparkSession, model: Model, text: str = "text"):
 
 def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """docs with score, threshold (its language's) and rejected."""
-    model = Model(sample(docs, labels, "toxic"))
+    model = Model(docs.sparkSession, sample(docs, labels, "toxic"))
     score = score_column(docs.sparkSession, model)
     if model.net is not None:
         model.set_thresholds(histogram(docs, labels, "toxic", score) or histogram(docs, labels, "toxic", score, calibration=False))

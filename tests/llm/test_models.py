@@ -1,6 +1,10 @@
 """Toxicity and quality: held-out accuracy, kernels, edges."""
 
+import copy
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -72,13 +76,76 @@ def test_sample_is_bounded_and_takes_repeated_ids(spark, monkeypatch):
     assert got == toxicity.sample(docs.repartition(5), labels, "toxic")
 
 
-def test_equal_texts_score_alike_in_any_batch():
+def equal_texts_score_alike():
     net, rng = toxicity.Classifier(), np.random.default_rng(2)
     net.embed[:-1] += rng.normal(0, 1, net.embed[:-1].shape).astype(np.float32)
     text = " ".join("w%d" % w for w in rng.integers(0, 999, 700))
     others = [" ".join("w%d" % w for w in rng.integers(0, 999, n)) for n in rng.integers(1, 9000, 40)]
     seen = {net.logit(net.pooled([*others[:k], text, *others[k:]]))[k] for k in range(0, 40, 3)} | {net.logit(net.pooled([text]))[0]}
     assert len(seen) == 1
+    assert len(set(net.logit(net.pooled([text] * 40)))) == 1
+
+
+def equal_statistics_score_alike():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        model = quality.Model(quality.Features(np.zeros(17), np.ones(17)), rng.normal(size=quality.COMPONENTS), np.linspace(0, 1, 9), np.linspace(0, 1, 9), 0.5)
+        row = rng.normal(size=(1, 17))
+        seen = {float(model.raw(np.concatenate([rng.normal(size=(k, 17)), row, rng.normal(size=(n, 17))]))[k]) for k in (0, 1, 2, 3, 7, 300, 1023, 1024) for n in (0, 1, 3, 500)}
+        assert len(seen) == 1
+
+
+@pytest.mark.parametrize("kernels", ["Haswell", "Zen", "SkylakeX"])
+def test_equal_rows_score_alike_in_any_batch_with_any_kernels(kernels):
+    code = "from tests.llm import test_models as t; t.equal_texts_score_alike(); t.equal_statistics_score_alike()"
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"OPENBLAS_CORETYPE": kernels}, cwd=os.path.dirname(toxicity.__file__) + "/../..")
+
+
+def test_steps_follow_the_gradient(monkeypatch):
+    """One step from the start: Adam's is against the sign of a finite difference, Adagrad's is proportional to it."""
+    monkeypatch.setattr(toxicity, "DROPOUT", 0.0)
+    monkeypatch.setattr(toxicity, "EMBED_DECAY", 0.0)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, n).astype(np.int32) for n in (9, 0, 3, 14)]
+    y = np.array([1.0, 0.0, 0.0, 1.0])
+    start, net = toxicity.Classifier(), toxicity.Classifier()
+    for one in (start, net):
+        one.embed *= 100
+    net.fit(docs, y, epochs=1)
+
+    def loss(change):
+        one = copy.deepcopy(start)
+        change(one)
+        seq, at = toxicity.laid_out(docs)
+        peak, _ = toxicity.peaks(one.responses(seq), at)
+        z = one.logit(peak).astype(np.float64)
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - y * z)))
+
+    def slope(array, at):
+        def by(h):
+            def change(one):
+                array(one)[at] += h
+            return loss(change)
+        return (by(1e-3) - by(-1e-3)) / 2e-3
+
+    arrays = [lambda m: m.filters[0], lambda m: m.filters[1], lambda m: m.filters[2], lambda m: m.bias, lambda m: m.out]
+    tried = 0
+    for array in arrays:
+        for at in list(np.ndindex(array(start).shape))[::7]:
+            g = slope(array, at)
+            if abs(g) > 2e-3:
+                tried += 1
+                assert np.sign(array(net)[at] - array(start)[at]) == -np.sign(g)
+    ratios = []
+    words = np.unique(np.concatenate(docs))
+    for w in words[::4]:
+        moved = net.embed[w] - start.embed[w]
+        g = np.array([slope(lambda m: m.embed, (w, d)) for d in range(toxicity.DIMENSIONS)])
+        if np.abs(g).max() > 2e-3:
+            tried += 1
+            ratios.append(-(moved @ g) / np.sqrt((moved @ moved) * (g @ g)))
+    assert tried > 30 and ratios and min(ratios) > 0.98
 
 
 def test_quality_on_held_out_rows(spark, labels):
@@ -178,14 +245,6 @@ def test_quality_keeps_clashing_columns(spark):
     assert got.columns == [*docs.columns, "q_score"] and {r.score for r in got.collect()} == {"old"}
 
 
-def test_equal_statistics_score_alike_in_any_batch():
-    rng = np.random.default_rng(1)
-    model = quality.Model(quality.Features(np.zeros(17), np.ones(17)), rng.normal(size=quality.COMPONENTS), np.linspace(0, 1, 9), np.linspace(0, 1, 9), 0.5)
-    row = rng.normal(size=(1, 17))
-    seen = {float(model.scores(np.concatenate([rng.normal(size=(k, 17)), row, rng.normal(size=(n, 17))]))[k]) for k in (0, 1, 7, 300) for n in (0, 3, 500)}
-    assert len(seen) == 1
-
-
 def test_model_edges(spark):
     docs = edge_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
