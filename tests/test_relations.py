@@ -61,35 +61,15 @@ def test_joined_names_are_distinct_and_keep_what_they_can(left, right, suffixes)
     assert set(names_l.values()) | set(names_r.values()) == set(fields)
 
 
-def test_as_of_join(spark):
-    rng = random.Random(3)
-    left = [(rng.choice((None, 1, 2)), rng.choice((None, *range(12))), i) for i in range(60)] * 2
-    right = [(rng.choice((None, 1, 2, 3)), rng.choice((None, *range(12))), i) for i in range(25)]
-    l, r = spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, t int, i int")
-    got = joins.as_of(Relation(l), Relation(r), ["k"], ["k"], "t", "t").df
-    assert got.columns == ["k", "t", "i", "t_right", "i_right"]
-
-    def best(k, t):
-        fits = [(b, j) for a, b, j in right if None not in (k, t, a, b) and a == k and b <= t]
-        return max(fits, default=(None, None))
-
-    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(str((k, t, i, *best(k, t))) for k, t, i in left)
-
-
-def test_range_join(spark):
-    left, right = [(x / 2,) for x in range(-10, 40)] + [(None,)], [(0.0, 3.0), (2.5, 2.5), (5.0, 1.0), (-4.0, 19.0), (None, 3.0)]
-    got = joins.within(Relation(spark.createDataFrame(left, "x double")), Relation(spark.createDataFrame(right, "low double, high double")), "x", "low", "high", 2.0)
-    pairs = [(x, a, b) for (x,) in left for a, b in right if None not in (x, a, b) and a <= x <= b]
-    assert sorted(tuple(r) for r in got.df.collect()) == sorted(pairs)
-
-
-def test_cross_joins_need_a_short_side(spark, monkeypatch):
-    monkeypatch.setattr(joins, "CROSS_ROWS", 5)
+def test_cross_joins_are_lazy_and_limited_by_the_caller(spark):
     data = {"long": spark.range(9).toDF("a"), "short": spark.range(3).toDF("b"), "other": spark.range(8).toDF("c")}
-    cross = lambda *x: run({"steps": [{"operator": "Integrate", "inputs": list(x), "join_type": "cross"}]}, data).count()
-    assert cross("long", "short") == cross("short", "long") == 27
-    with pytest.raises(PlanError, match="at most 5 rows"):
-        cross("long", "other")
+    cross = lambda *x, **more: run({"steps": [{"operator": "Integrate", "inputs": list(x), "join_type": "cross", **more}]}, data)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    made = cross("long", "other")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(jobs)  # nothing runs while the plan is built
+    assert made.count() == 72 and cross("short", "long", max_output_rows=27).count() == 27
+    with pytest.raises(PlanError, match="27 rows; at most 26"):
+        cross("short", "long", max_output_rows=26)
 
 
 def test_cardinality_guard_moves_keys_only(spark):
