@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import temporal
+from . import sketches, temporal
 from .conditions import pattern
 from .values import BOOLEAN, INTEGER, NULL, NUMBER, TEXT, TIME, PlanError, Value, boolean, common, finite, literal, number, pandas_round, quoted, text, time
 
@@ -453,6 +453,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list[Value]], Value]]] = {
     "dateadd": (3, 3, _add),
     "date_add": (3, 3, _add),
     "date_trunc": (2, 2, lambda a: Value(temporal.truncate(_unit(a[0]), time(a[1])), TIME)),
+    **sketches.FUNCTIONS,
 }
 
 #: Fixed values of the plan language: two-column formulas by name, over the fields L and R.

@@ -9,13 +9,14 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions import sketches
 from tessella.functions.conditions import predicate
 from tessella.functions.values import NUMBER, PlanError, Value, number, quoted
 
 from .relation import Relation
 
 _NAMES = {"nunique": "count_distinct", "average": "avg", "mean": "avg", "percentile": "percentile_cont", "quantile": "percentile_cont", "count(*)": "count_rows"}
-OPERATIONS = {"count", "count_rows", "count_distinct", "sum", "avg", "min", "max", "median", "percentile_cont"}
+OPERATIONS = {"count", "count_rows", "count_distinct", "sum", "avg", "min", "max", "median", "percentile_cont", *sketches.OPERATIONS}
 
 
 def operation(name: Any, quantile: Any = None) -> tuple[str, float | None]:
@@ -62,6 +63,8 @@ def _column(m: Measure, r: Relation, keep: Column | None) -> Column:
     source = Value(quoted(m.target), r.kinds[m.target])
     if m.operation in ("count", "count_distinct"):
         return (F.count_distinct if m.distinct or m.operation == "count_distinct" else F.count)(only(source.column))
+    if m.operation in sketches.OPERATIONS:
+        return sketches.aggregate(m.operation, source, only)
     if m.operation in ("min", "max"):
         return getattr(F, m.operation)(only(source.column))
     x = number(source, m.operation)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import compare, joins
+from tessella.operators import compare, joins, ordered_joins
 from tessella.operators.relation import Relation
 from tessella.sources import catalog, graph, retrieval
 
@@ -289,7 +289,7 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last view at or before each purchase of the same user."""
     events = read(spark, sf_dir, "events")
     of = lambda kind, name: events.where(F.col("event_type") == kind).groupBy("user_id", "ts").agg(F.max("event_id").alias(name))
-    found = joins.as_of(Relation(of("purchase", "event_id")), Relation(of("view", "view_id")), ["user_id"], ["user_id"], "ts", "ts")
+    found = ordered_joins.as_of(Relation(of("purchase", "event_id")), Relation(of("view", "view_id")), ["user_id"], ["user_id"], "ts", "ts")
     return found.df.select("event_id", "view_id")
 
 
@@ -297,7 +297,7 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = read(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 20000).alias("low"), (F.col("n_nationkey") * 20000 + 25000).alias("high"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return joins.within(Relation(orders), Relation(bands), "o_totalprice", "low", "high", 20000).df.select("o_orderkey", "n_nationkey")
+    return ordered_joins.theta(Relation(orders), Relation(bands), [("o_totalprice", ">=", "low"), ("o_totalprice", "<=", "high")]).df.select("o_orderkey", "n_nationkey")
 
 
 @query("""with a as (select o_orderkey as k, row_number() over (order by o_orderdate, o_orderkey) as place from orders), b as (select o_orderkey as k, row_number() over (order by o_orderdate, o_orderkey desc) as place from orders)
