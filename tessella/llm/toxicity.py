@@ -309,8 +309,8 @@ def with_lang(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text"), lang.cast("string").alias("lang"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str) -> list:
-    """Bounded rows (doc_id, text, label, part) for the fit: the first rows of each class and of the calibration part.
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Bounded rows (doc_id, t, text, label, part) for the fit: the first rows of each class and of the calibration part.
 
     Order is by a hash of doc_id and text. Lengths and hashes are joined first, and only the chosen rows' texts travel:
     at most 2 * SAMPLE_PER_CLASS + CALIBRATION_ROWS rows of 3 * SAMPLE_BYTES bytes. Equal rows count once.
@@ -329,7 +329,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> list:
     picked.append(first(rows.where(F.col("part") == 1), CALIBRATION_ROWS))
     ids = picked[0].unionByName(picked[1]).unionByName(picked[2]).select("doc_id", "t", "label", "part")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(ids), ["doc_id", "t"])
-    return texts.groupBy("doc_id", "t").agg(F.any_value("text").alias("text"), F.max("label").alias("label"), F.max("part").alias("part")).orderBy("doc_id", "t").collect()
+    return texts.groupBy("doc_id", "t").agg(F.any_value("text").alias("text"), F.max("label").alias("label"), F.max("part").alias("part"))
 
 
 def histogram(docs: DataFrame, labels: DataFrame, label: str, score, calibration: bool = True) -> list:
@@ -351,41 +351,41 @@ def histogram(docs: DataFrame, labels: DataFrame, label: str, score, calibration
     return bins.join(enough, "lang").select(*shape).unionByName(every.withColumn("lang", F.lit(None).cast("string")).select(*shape)).collect()
 
 
-def trained(spark: SparkSession, docs: list[np.ndarray], y: np.ndarray, texts: list, z: np.ndarray) -> Classifier:
-    """The net of least calibration loss of RESTARTS, each of which is fitted in a task of its own."""
-    shared = spark.sparkContext.broadcast((docs, y, texts, z))
+def trained(rows: DataFrame) -> Classifier:
+    """The net of least calibration loss of RESTARTS, each of which is fitted on the whole sample in a task of its own.
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, y, texts, z = shared.value
-        for k in [int(k) for batch in batches for k in batch["id"]]:
-            net = Classifier(seed=7 + k)
-            net.fit(docs, y, seed=11 + k)
-            logits = net.logit(net.pooled(texts)).astype(np.float64)
-            net.calibrate(logits, z)
-            yield pd.DataFrame({"k": [k], "loss": [net.loss(logits, z)], "net": [pickle.dumps(net)]})
+    The driver gets the losses and the best net only.
+    """
 
-    nets = materialise(spark.range(0, RESTARTS, 1, RESTARTS).mapInPandas(fit, "k long, loss double, net binary"), "toxicity-nets")
+    def fit(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        k, own = int(key[0]), own.sort_values(["doc_id", "t"])
+        train, rest = own[own["part"] != 1], own[own["part"] == 1]
+        rest = rest if len(rest) else train
+        z, texts = rest["label"].to_numpy(np.float64), list(rest["text"])
+        net = Classifier(seed=7 + k)
+        net.fit([np.concatenate(word_buckets(t)) for t in train["text"]], train["label"].to_numpy(np.float64), seed=11 + k)
+        logits = net.logit(net.pooled(texts)).astype(np.float64)
+        net.calibrate(logits, z)
+        return pd.DataFrame({"k": [k], "loss": [net.loss(logits, z)], "net": [pickle.dumps(net)]})
+
+    copies = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(RESTARTS)])))
+    nets = materialise(copies.groupBy("k").applyInPandas(fit, "k int, loss double, net binary"), "toxicity-nets")
     best = nets.select("k", "loss").orderBy("loss", "k").first()  # RESTARTS rows
     net = pickle.loads(nets.where(F.col("k") == best.k).select("net").first().net)
     drop_tables(nets)
-    shared.destroy()
     return net
 
 
 class Model:
-    """Classifier or constant, and a threshold for each language."""
+    """Classifier or constant, and a threshold for each language; fitted on a sample."""
 
-    def __init__(self, spark: SparkSession, rows: list):
-        train, rest = [r for r in rows if r.part != 1], [r for r in rows if r.part == 1]
-        y = np.array([r.label for r in train], np.float64)
-        self.prior = float((sum(r.label for r in rows) + 1) / (len(rows) + 2))
+    def __init__(self, rows: DataFrame):
+        seen = {(r.train, r.label): r.n for r in rows.groupBy((F.col("part") != 1).alias("train"), "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.prior = float((sum(n for (_, label), n in seen.items() if label) + 1) / (sum(seen.values()) + 2))
         self.net, self.thresholds, self.default = None, {}, float("inf")
-        if not len(y) or y.min() == y.max():
-            return
-        self.default = 0.5
-        rest = rest or train
-        z = np.array([r.label for r in rest], np.float64)
-        self.net = trained(spark, [np.concatenate(word_buckets(r.text)) for r in train], y, [r.text for r in rest], z)
+        if (True, 0) in seen and (True, 1) in seen:
+            self.default = 0.5
+            self.net = trained(rows)
 
     def set_thresholds(self, bins: list) -> None:
         own: dict[str | None, list] = {}
@@ -418,7 +418,9 @@ def score_column(spark: SparkSession, model: Model, text: str = "text"):
 
 def classify(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
     """docs with score, threshold (its language's) and rejected."""
-    model = Model(docs.sparkSession, sample(docs, labels, "toxic"))
+    rows = materialise(sample(docs, labels, "toxic"), "toxicity-sample")
+    model = Model(rows)
+    drop_tables(rows)
     score = score_column(docs.sparkSession, model)
     if model.net is not None:
         model.set_thresholds(histogram(docs, labels, "toxic", score) or histogram(docs, labels, "toxic", score, calibration=False))

@@ -68,12 +68,12 @@ def test_sample_is_bounded_and_takes_repeated_ids(spark, monkeypatch):
     rows = [(7, "same text")] * 300 + [(7, f"another text {i}") for i in range(300)] + [(i, "x" * i) for i in range(1, 2000, 7)] + [(None, "no id"), (8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
-    got = toxicity.sample(docs, labels, "toxic")
+    got = toxicity.sample(docs, labels, "toxic").orderBy("doc_id", "t").collect()
     assert len({(r.doc_id, r.text) for r in got}) == len(got) and len(set(got)) == len(got)
     for part, label in ((False, 0), (False, 1), (True, None)):
         own = [r for r in got if (r.part == 1) == part and label in (None, r.label)]
         assert 0 < len(own) <= (30 if part else 50) and sum(len(r.text or "") for r in own) <= 4000
-    assert got == toxicity.sample(docs.repartition(5), labels, "toxic")
+    assert got == toxicity.sample(docs.repartition(5), labels, "toxic").orderBy("doc_id", "t").collect()
 
 
 def equal_texts_score_alike():
