@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ from tessella.functions import sketches
 from tessella.functions.conditions import predicate
 from tessella.functions.values import NUMBER, PlanError, Value, number, quoted
 
+from . import selection
 from .relation import Relation
 
 _NAMES = {"nunique": "count_distinct", "average": "avg", "mean": "avg", "percentile": "percentile_cont", "quantile": "percentile_cont", "count(*)": "count_rows"}
@@ -50,6 +52,8 @@ class Measure:
     distinct: bool = False
     quantile: float | None = None
     filters: tuple = field(default=())
+    #: "selection": a percentile that no task holds a group's values for.
+    method: str | None = None
 
 
 def _column(m: Measure, r: Relation, keep: Column | None) -> Column:
@@ -103,6 +107,9 @@ def aggregate(r: Relation, groups: list[str], measures: list[Measure], sets: lis
     """With grouping sets a field that a set leaves out is null there; `marker` names a column of the sets' bits, the last
     field's lowest, 1 where left out. Null keys are a group. A measure with filters of its own sees only the rows that pass; a group without such rows has
     null there, and one that no measure sees is absent. Without groups there is one row, with counts of zero."""
+    apart = [m for m in measures if m.method == "selection"]
+    if apart:
+        return _joined(r, groups, measures, apart, sets)
     columns, seen = [], []
     for i, m in enumerate(measures):
         keep = predicate({"all": list(m.filters)}, r.kinds) if m.filters else None
@@ -124,3 +131,23 @@ def aggregate(r: Relation, groups: list[str], measures: list[Measure], sets: lis
         c = quoted(m.output)
         out.append(F.when(F.col(f"__seen{i}") > 0, c).alias(m.output) if f"__seen{i}" in seen else c)
     return Relation(df.select(*keys, *([quoted(marker)] if marker else []), *out))
+
+
+def _joined(r: Relation, groups: list[str], measures: list[Measure], apart: list[Measure], sets: list[list[str]] | None) -> Relation:
+    """The measures of one groupBy, and those by selection joined to them group by group."""
+    if sets is not None:
+        raise PlanError("selection takes plain groups")
+    rest = [m for m in measures if m not in apart]
+    filtered = all(m.filters for m in measures)
+    base = aggregate(r, groups, rest).df if rest and not filtered else r.df.groupBy(*[quoted(g) for g in groups]).agg(*[_column(m, r, predicate({"all": list(m.filters)}, r.kinds)).alias(m.output) for m in rest] or [F.count(F.lit(1)).alias("__rows")])
+    for m in apart:
+        if not m.target or m.target == "*":
+            raise PlanError(f"{m.operation} requires a target column")
+        value = number(Value(quoted(m.target), r.kinds[m.target]), m.operation).column
+        rows = r.df.where(predicate({"all": list(m.filters)}, r.kinds)) if m.filters else r.df
+        rows = rows.select(*[quoted(g) for g in groups], value.alias("__value"))
+        found = selection.percentile(rows, groups, "__value", m.quantile if m.operation == "percentile_cont" else 0.5, "__found", m.distinct)
+        found = found.select(*[quoted(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__found").alias(m.output))
+        same = reduce(Column.__and__, [quoted(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)], F.lit(True))
+        base = base.join(found, same, "left").drop(*[f"__g{i}" for i in range(len(groups))])
+    return Relation(base.select(*[quoted(f) for f in (*groups, *[m.output for m in measures])]))

@@ -12,18 +12,27 @@ from tessella.operators.relation import Relation
 from tessella.sources import catalog, graph, retrieval, sinks
 from tessella.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+Function = Callable[[SparkSession, str], DataFrame]
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registry() -> tuple[dict[str, Function], dict[str, str], Callable]:
+    """Queries by name, their SQL, and the decorator that registers both."""
+    queries: dict[str, Function] = {}
+    statements: dict[str, str] = {}
 
-    return register
+    def query(sql: str | None = None):
+        def register(f: Function):
+            queries[f.__name__] = f
+            if sql:
+                statements[f.__name__] = sql
+            return f
+
+        return register
+
+    return queries, statements, query
+
+
+QUERIES, SQL, query = registry()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from tessella.plans import extras, library, recipes
+from tessella.plans import advanced, extras, library, recipes
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ALL = {**library.QUERIES, **recipes.PLANS, **extras.QUERIES}
-SQL = {name: q.sql for name, q in (library.QUERIES | recipes.PLANS).items()} | extras.SQL
+ALL = {**library.QUERIES, **recipes.PLANS, **extras.QUERIES, **advanced.QUERIES}
+SQL = {name: q.sql for name, q in (library.QUERIES | recipes.PLANS).items()} | extras.SQL | advanced.SQL
 
 
 @pytest.fixture(scope="module")
