@@ -140,7 +140,18 @@ class Classifier:
         self.filters = [rng.normal(0, 0.4 / np.sqrt(w), (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
-        self.shift, self.scale = np.float32(0), (1.0, 0.0)
+        self.shift, self.scale, self.seed = np.float32(0), (1.0, 0.0), seed
+
+    def __getstate__(self) -> dict:
+        """What training has changed: the other embeddings come from the seed again, so a net travels as a few megabytes."""
+        moved = np.flatnonzero((self.embed != Classifier(self.seed).embed).any(axis=1))
+        return self.__dict__ | {"embed": (moved, self.embed[moved])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["seed"])
+        at, rows = state.pop("embed")
+        self.__dict__.update(state)
+        self.embed[at] = rows
 
     def responses(self, seq: np.ndarray) -> np.ndarray:
         """(positions, filters) before bias, for every window's first position.
@@ -371,9 +382,9 @@ def trained(rows: DataFrame) -> Classifier:
     copies = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(RESTARTS)])))
     nets = materialise(copies.groupBy("k").applyInPandas(fit, "k int, loss double, net binary"), "toxicity-nets")
     best = nets.select("k", "loss").orderBy("loss", "k").first()  # RESTARTS rows
-    net = pickle.loads(nets.where(F.col("k") == best.k).select("net").first().net)
+    net = nets.where(F.col("k") == best.k).select("net").first().net
     drop_tables(nets)
-    return net
+    return pickle.loads(net)
 
 
 class Model:

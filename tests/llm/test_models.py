@@ -3,6 +3,7 @@
 import copy
 import math
 import os
+import pickle
 import subprocess
 import sys
 import zlib
@@ -163,6 +164,17 @@ def test_word_hashes_depend_on_the_word_only(parts):
     assert np.concatenate(toxicity.word_buckets(text)).tolist() == [int(toxicity.hashed(w)[0]) for w in words]
 
 
+def test_nets_travel_as_what_training_has_changed():
+    net = toxicity.Classifier(seed=3)
+    net.fit([np.arange(k, k + 9, dtype=np.int32) for k in range(40)], np.array([0.0, 1.0] * 20), epochs=2)
+    net.calibrate(np.array([0.5, -1.0, 2.0]), np.array([1.0, 0.0, 1.0]))
+    data = pickle.dumps(net)
+    again = pickle.loads(data)
+    assert len(data) < 20_000 and (again.embed == net.embed).all() and again.scale == net.scale
+    texts = ["a b c", "", None, "d " * 500]
+    assert again.scores(texts).tolist() == net.scores(texts).tolist()
+
+
 def test_pieces_of_long_texts(monkeypatch):
     text = "idiot " + "word another " * 400
     whole = np.concatenate(toxicity.word_buckets(text))
