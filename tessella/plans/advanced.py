@@ -112,3 +112,29 @@ def agg_percentile_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = {"method": "selection"}
     measures = [agg("median", "l_extendedprice", "median", **by), agg("p90", "l_extendedprice", "p90", **by), agg("count", None, "n"), agg("p30", "l_quantity", "quantities", distinct=True, **by)]
     return run({"steps": [group(["l_returnflag"], *measures, inputs=["lineitem"])], "rounding": {"median": 4, "p90": 4, "quantities": 4}}, {"lineitem": read(spark, sf_dir, "lineitem")})
+
+
+# -- frames -----------------------------------------------------------------------------------------------------------
+
+
+def _range(output: str, operation: str, source: str, order: str, before: float, after: float, **more) -> dict:
+    return {"operator": "Range_Window", "operation": operation, "input_column": source, "order_column": order, "before": before, "after": after, "output_column": output, **more}
+
+
+@query("""select o_orderkey, cast(sum(o_orderkey % 5) over w as bigint) as week, count(*) over (partition by o_custkey order by o_orderdate range between interval 30 days preceding and interval 0 days following exclude current row) as earlier, max(o_totalprice) over w as most
+from orders window w as (partition by o_custkey order by o_orderdate range between interval 30 days preceding and interval 7 days following)""")
+def frame_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders within days of each order."""
+    by = {"window_partition_by": ["o_custkey"]}
+    steps = [math("one", "o_orderkey % 5", inputs=["orders"]), _range("week", "sum", "one", "o_orderdate", 30, 7, **by), _range("earlier", "count", "one", "o_orderdate", 30, 0, exclude="current", **by), _range("most", "max", "o_totalprice", "o_orderdate", 30, 7, **by)]
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return run({"steps": steps, "projection": ["o_orderkey", "week", "earlier", "most"]}, {"orders": orders})
+
+
+@query("""select c_custkey, count(*) over w as near, cast(sum(c_nationkey) over (order by c_acctbal range between 5 preceding and 5 following exclude group) as bigint) as others, min(c_custkey) over w as first
+from customer window w as (order by c_acctbal range between 5 preceding and 5 following)""")
+def frame_over_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose balances are within 5 of one's own."""
+    steps = [_range("near", "count", "c_custkey", "c_acctbal", 5, 5, inputs=["customer"]), _range("others", "sum", "c_nationkey", "c_acctbal", 5, 5, exclude="group"), _range("first", "min", "c_custkey", "c_acctbal", 5, 5)]
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return run({"steps": steps, "projection": ["c_custkey", "near", "others", "first"]}, {"customer": customer})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tessella.operators import aggregates, joins, rows
+from tessella.operators import aggregates, frames, joins, rows
 from tessella.operators.relation import Relation
 
 from .compiler import CompiledPlan, Node, compile_plan
@@ -23,6 +23,8 @@ def lower(node: Node, inputs: list[Relation]) -> Relation:
         return rows.bucket(r, p["source"], p["output"], p["rules"], p["default"])
     if node.operator == "Order_By":
         return rows.order_by(r, p["keys"], p["limit"], p["offset"])
+    if node.operator == "Range_Window":
+        return frames.range_frame(r, **p)
     if node.operator == "Distinct":
         return rows.distinct(r, p["keys"])
     if node.operator == "Integrate":
