@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from tessella.operators import aggregates, frames, joins, rows
 from tessella.operators.relation import Relation
 
 from .compiler import CompiledPlan, Node, compile_plan
+from .shapes import TOGETHER
 
 
 def lower(node: Node, inputs: list[Relation]) -> Relation:
@@ -33,6 +36,9 @@ def lower(node: Node, inputs: list[Relation]) -> Relation:
         return r
     if node.operator == "Set_Intersect":
         return joins.intersect(inputs, **p)
+    if node.operator == TOGETHER and p["keys"]:
+        on = p["keys"]
+        return reduce(lambda a, b: joins.integrate(a, b, "outer", on, on, nulls_equal=True, validate="1:1"), inputs)
     if node.operator in ("Set_Difference", "Difference"):
         return joins.difference(inputs, **p)
     if node.operator in ("Set_Union", "Union"):
