@@ -95,37 +95,74 @@ def breaches(condition: Any, fields: list[str], context: str, scan: bool = False
     return found
 
 
+def _parts(condition: Any, key: str) -> list:
+    """The conjuncts (or disjuncts) of a tree, those of nested ones of the same kind among them."""
+    if isinstance(condition, dict) and isinstance(condition.get(key), list):
+        return [p for c in condition[key] for p in _parts(c, key)]
+    return [condition]
+
+
+def _plain(value: Any) -> Any:
+    """Numbers of one value alike, whichever way they are written; truth values are no numbers."""
+    if isinstance(value, bool):
+        return ("truth", value)
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _may_be_equal(a: dict, b: dict) -> bool:
+    """Whether one value can equal both literals: text that says a number is that number for some columns."""
+    x, y = a.get("value"), b.get("value")
+    if any(isinstance(v, bool) for v in (x, y)):
+        return str(x).lower() == str(y).lower() or (x, y) in ((True, 1), (1, True), (False, 0), (0, False))
+    try:
+        return float(x) == float(y)
+    except (TypeError, ValueError):
+        pass
+    if a.get("case_sensitive") is False or b.get("case_sensitive") is False:
+        return str(x).lower() == str(y).lower()
+    return x == y
+
+
 def contradictions(condition: Any) -> list[str]:
-    """Fields that a conjunction both compares and requires to be null, or equates with two values."""
-    found = []
-    if isinstance(condition, dict) and isinstance(condition.get("all"), list):
-        null, equal, other = set(), {}, set()
-        for c in condition["all"]:
+    """Fields that a conjunction, however nested, both compares and requires to be null, or equates with two values."""
+    found: list[str] = []
+    if not isinstance(condition, dict):
+        return found
+    for branch in condition.get("any") or []:
+        found += contradictions(branch)
+    leaves = [c for c in _parts(condition, "all") if isinstance(c, dict)] if "all" in condition else []
+    null: set[str] = set()
+    compared: set[str] = set()
+    equal: dict[str, list[dict]] = {}
+    for c in leaves:
+        if "operator" not in c:
             found += contradictions(c)
-            if not isinstance(c, dict) or "operator" not in c:
-                continue
-            f = field_of(c)
-            if c["operator"] == "is_null":
-                null.add(f)
-            else:
-                other.add(f)
-            if c["operator"] == "=" and equal.setdefault(f, c.get("value")) != c.get("value"):
+            continue
+        f = field_of(c)
+        (null if c["operator"] == "is_null" else compared).add(f)
+        if c["operator"] == "=":
+            if any(not _may_be_equal(c, other) for other in equal.get(f, [])):
                 found.append(f"{f} equals two values")
-        found += [f"{f} is null and compared" for f in sorted(null & other)]
-    return found
+            equal.setdefault(f, []).append(c)
+    return found + [f"{f} is null and compared" for f in sorted(null & compared)]
 
 
 def canonical(condition: Any) -> Any:
-    """The tree without regard to the order of its conjuncts and disjuncts, for comparison."""
-    if isinstance(condition, dict):
-        for key in ("all", "any"):
-            if key in condition:
-                parts = sorted({repr(canonical(c)) for c in condition[key]})
-                return parts[0] if len(parts) == 1 else (key, tuple(parts))
-        if "not" in condition:
-            return ("not", canonical(condition["not"]))
-        return (field_of(condition), condition.get("operator", "="), repr(condition.get("value")))
-    return condition
+    """The tree without regard to the order and nesting of its conjuncts and disjuncts or the spelling of numbers, for comparison."""
+    if not isinstance(condition, dict):
+        return condition
+    for key in ("all", "any"):
+        if key in condition:
+            parts = {repr(c): c for c in (canonical(p) for p in _parts(condition, key))}
+            return next(iter(parts.values())) if len(parts) == 1 else (key, tuple(parts[k] for k in sorted(parts)))
+    if "not" in condition:
+        return ("not", canonical(condition["not"]))
+    operator, value = condition.get("operator", "="), _plain(condition.get("value"))
+    if operator in ("in", "not_in") and isinstance(value, list):
+        value = sorted({repr(v): v for v in value}.values(), key=repr)
+    return (field_of(condition), operator, repr(value), condition.get("case_sensitive", True))
 
 
 def pattern(like: str) -> str:

@@ -8,11 +8,13 @@ the neighbouring blocks is copied to them, and running values start from the blo
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,28 +93,50 @@ def partitioned(r: Relation, partition: list[str]) -> Callable[[str, list[Value]
     return over
 
 
+#: Folders that `checkpointed` has written in this process and `release` hasn't deleted.
+_WRITTEN: list[str] = []
+
+
+def _root(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; only in local mode a temporary one serves where it names none."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tessella-rows")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the folder that the session names for checkpoints, and read back.
+    """df written once as Parquet in the session's folder for checkpoints, and read back; `release` deletes it.
 
-    Off local mode such a folder must be named. Types that Parquet lacks are checkpointed by Spark itself.
+    Types that Parquet lacks are checkpointed by Spark itself.
     """
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not root:
-            import tempfile
-
-            root = tempfile.mkdtemp()
-        context.setCheckpointDir(root)
+    spark = df.sparkSession
     if any(isinstance(f.dataType, (T.NullType, T.VariantType, T.CalendarIntervalType)) for f in df.schema):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(_root(spark))
         return df.checkpoint()
-    path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark: how many folders have been written so far."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders written after a mark, once the results that read them are stored elsewhere."""
+    for path in _WRITTEN[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with each row's number from 0 in the given order, a column of this name. No task holds all rows."""
     parts = checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))

@@ -67,3 +67,19 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = run(plan, {"orders": orders})._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(o_orderdate" in text and "In(o_orderstatus" in text
     assert "o_custkey" not in text.split("ReadSchema")[-1] and "BatchEvalPython" not in text
+
+
+def test_nested_conjunctions_and_spellings_of_numbers():
+    eq = lambda v, **more: {"field": "x", "operator": "=", "value": v, **more}
+    null = {"field": "x", "operator": "is_null"}
+    assert contradictions({"all": [null, {"all": [eq(1)]}]}) == ["x is null and compared"]
+    assert contradictions({"any": [eq(0), {"all": [eq(1), {"all": [{"any": [eq(2), eq(3)]}, eq(2)]}]}]}) == ["x equals two values"]
+    for a, b in ((1, 1.0), (1, "1"), ("1.0", 1), (True, "true"), ("a", "a")):
+        assert contradictions({"all": [eq(a), eq(b)]}) == []
+    assert contradictions({"all": [eq("A"), eq("a", case_sensitive=False)]}) == [] and contradictions({"all": [eq("A"), eq("a")]}) and contradictions({"all": [eq(True), eq("no")]})
+    assert contradictions({"any": [eq(1), eq(2)]}) == contradictions({"not": {"all": [eq(1), null]}}) == []
+    flat = {"all": [eq(1), null, eq("y")]}
+    assert canonical(flat) == canonical({"all": [{"all": [eq("y"), {"all": [eq(1.0)]}]}, null, eq(1)]}) and canonical({"all": [eq(2)]}) == canonical(eq(2.0))
+    assert canonical(eq(1)) != canonical(eq(True)) and canonical(eq("1")) != canonical(eq(1)) and canonical({"any": [eq(1), eq(2)]}) != canonical({"all": [eq(1), eq(2)]})
+    listed = lambda v: {"field": "x", "operator": "in", "value": v}
+    assert canonical(listed([2, 1.0, 1])) == canonical(listed([1, 2]))

@@ -183,3 +183,13 @@ def test_interpretations_and_connection_keys(spark):
     for join in ({"left": "c", "left_on": "nope", "right": "o", "right_on": "o_custkey"}, {"left": "c", "left_on": "c_name", "right": "o", "right_on": "o_custkey"}, {"left": "c", "left_on": ["c_custkey", "c_name"], "right": "o", "right_on": "o_custkey"}, {"left": "z", "left_on": "a", "right": "o", "right_on": "o_custkey"}):
         with pytest.raises(PlanError):
             question.with_connection_keys(asked, [join], known)
+
+
+def test_intermediate_rows_can_be_released(spark):
+    mark, before = windows.written(), spark.sparkContext.getCheckpointDir()
+    kept = windows.checkpointed(spark.range(5))
+    paths = windows._WRITTEN[mark:]
+    assert kept.count() == 5 and len(paths) == 1 and spark.sparkContext.getCheckpointDir() == before
+    windows.release(spark, mark)
+    at = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert windows.written() == mark and not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
