@@ -81,7 +81,7 @@ def test_scores_are_the_smoothed_model(spark):
     for page in (900, 901):
         chars = ["^"] * k + list(got[page].host + got[page].path) + ["$"]
         exact = [logp("allow", chars, i) - logp("block", chars, i) for i in range(k, len(chars))]
-        assert got[page].score == pytest.approx(sum(exact) / len(exact), abs=0.02)  # slots may collide
+        assert got[page].score == pytest.approx(sum(exact) / len(exact), abs=1e-9)
 
 
 def test_url_query_decides_every_page(spark):
@@ -174,7 +174,7 @@ def test_every_verdict_by_hand(spark, monkeypatch, few):
     rows = spark.read.parquet(f"{SF}/pages.parquet").select(url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path")).select("host", "path", held.alias("held")).collect()
     want = verdicts_by_hand([tuple(r) for r in rows])
     got = url_filter.query(spark, SF).collect()
-    assert len(got) == len(rows) and {"allow", "block"} <= {r.verdict for r in got if r.rule is None} | {"allow", "block"}
+    assert len(got) == len(rows) and {r.verdict for r in got} == {"allow", "block"}
     for r in got:
         score, verdict = want[r.host, r.path]
         assert r.score == pytest.approx(score, abs=1e-9) and r.verdict == verdict
