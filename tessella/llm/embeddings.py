@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, bounded_batches, components, drop_tables, materialise, table
+from .common import BROADCAST_ROWS, bounded, bounded_batches, components, drop_tables, materialise, table
 
 THRESHOLD = 0.95
 #: Classes of a chunk, and numbers that it holds at most: a chunk of long vectors has fewer of them.
@@ -39,6 +39,10 @@ CHUNK, CHUNK_NUMBERS = 4096, 1 << 19
 FANOUT, LEVELS, PASS_NUMBERS = 64, 12, 1 << 21
 #: Chunks of a block at most; there are about BLOCKS blocks where so few hold all chunks.
 BLOCK, BLOCKS = 16, 4
+#: Tasks that meet groups of chunks, at most: a task takes its groups one after the other.
+MEETING_TASKS = 1000
+#: Bytes of a table of vectors that the driver may hold to broadcast it; a larger one is joined by shuffle.
+SENT_BYTES = 16 << 20
 #: Node pairs whose children are more than LARGE_BLOCK pairs are multiplied as matrices, smaller ones gathered, BLOCK_PAIRS at once.
 LARGE_BLOCK, BLOCK_PAIRS = 256, 20_000
 #: Candidate centres compared with a node's members at once.
@@ -239,6 +243,12 @@ def apart(a: str, b: str) -> Column:
     return measured(a, b)
 
 
+def _lookup(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df as a side to join with: broadcast if it is small in rows and bytes, else by shuffle, whatever its files' compressed size."""
+    most = min(BROADCAST_ROWS, SENT_BYTES // row_bytes)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def _dealt(shared):
     """A function over batches of classes: rows of a split cell go to the nearest of its centres."""
 
@@ -264,6 +274,7 @@ def cells(classes: DataFrame, size: int, length: int, reach: float) -> tuple[Dat
     spark = classes.sparkSession
     kind = dict(classes.dtypes)["vector"]
     placed = classes.select("cid", "n", "vector", F.lit("").alias("cell"), F.lit(2.0).alias("far"))
+    row_bytes = 8 * length + 100
     pairs = spark.createDataFrame([("", "")], "a string, b string")
     known = spark.createDataFrame([], f"cell string, vector {kind}")  # each cell's centre
     for _ in range(LEVELS):
@@ -286,12 +297,12 @@ def cells(classes: DataFrame, size: int, length: int, reach: float) -> tuple[Dat
         before, placed = placed, materialise(dealt, "cover-cells")
         drop_tables(before)
         known = materialise(known.unionByName(picked.select(F.col("child").alias("cell"), "vector")), "cover-known")
-        nodes = placed.groupBy("cell").agg(F.max("far").alias("radius")).join(bounded(known), "cell")
+        nodes = placed.groupBy("cell").agg(F.max("far").alias("radius")).join(_lookup(known, row_bytes), "cell")
         split = F.substring("cell", 1, F.length("cell") - 2)
         above = nodes.join(bounded(big.select(F.col("cell").alias("parent"))), split == F.col("parent"), "left").select("cell", F.coalesce("parent", "cell").alias("parent"), "vector", "radius")
         nodes = materialise(above, "cover-nodes")
         side = lambda s: nodes.select(F.col("parent").alias(s), F.col("cell").alias(f"{s}_cell"), F.col("vector").alias(f"{s}_vector"), F.col("radius").alias(f"{s}_radius"))
-        both = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b").where("a_cell <= b_cell")
+        both = pairs.join(_lookup(side("a"), row_bytes), "a").join(_lookup(side("b"), row_bytes), "b").where("a_cell <= b_cell")
         near = both.where(apart("a_vector", "b_vector") <= F.col("a_radius") + F.col("b_radius") + reach + SLACK)
         pairs = materialise(near.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")), "cover-pairs")
     return placed, pairs
@@ -320,19 +331,13 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     x, y = (one.select(F.col("cell").alias(c), F.col("chunk").alias(k)) for c, k in (("a", "x"), ("b", "y")))
     met = near.join(bounded(x), "a").join(bounded(y), "b").where("a < b or x <= y").select("x", "y", F.floor(F.col("x") / width).cast("int").alias("bx"), F.floor(F.col("y") / width).cast("int").alias("by"))
     met = materialise(met, "cover-meetings")
-    groups = met.groupBy("bx", "by").agg(F.collect_list(F.struct("x", "y")).alias("todo"))  # at most BLOCK squared chunk pairs
-    groups = materialise(groups.withColumn("number", F.row_number().over(Window.orderBy("bx", "by")) - 1), "cover-groups")  # a row for each two blocks
-    sent = groups.withColumn("chunk", F.explode(F.array_distinct(F.flatten(F.transform("todo", lambda p: F.array(p["x"], p["y"]))))))
+    groups = met.select("bx", "by").distinct().withColumn("number", F.row_number().over(Window.orderBy("bx", "by")) - 1)  # a row for each two blocks
+    groups = materialise(groups, "cover-groups")
+    todo = met.join(_lookup(groups, 50), ["bx", "by"]).select("number", "x", "y")  # at most BLOCK squared rows a group
+    sent = materialise(todo.select("number", F.explode(F.array("x", "y")).alias("chunk")).distinct(), "cover-sent")
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The meetings of two blocks' near chunks; a partition holds one such group's trees."""
-        trees: dict[int, Tree] = {}
-        todo: dict[tuple, None] = {}
-        for batch in batches:
-            for chunk, blob, own in zip(batch["chunk"], batch["tree"], batch["todo"], strict=True):
-                if int(chunk) not in trees:
-                    trees[int(chunk)] = pickle.loads(blob)
-                todo.update({(int(p["x"]), int(p["y"])): None for p in own})
+    def finished(todo: list[tuple[int, int]], trees: dict[int, Tree]) -> Iterator[pd.DataFrame]:
+        """The meetings of two blocks' near chunks."""
         totals = {k: np.zeros(len(t.ids), np.int64) for k, t in trees.items()}
         for a, b in sorted(todo):
             links_a, links_b, edges = meet(trees[a], trees[b], threshold, a == b)
@@ -344,8 +349,25 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
             if n.any():
                 yield pd.DataFrame({"cid": trees[k].ids[n > 0], "links": n[n > 0], "other": pd.array([None] * int((n > 0).sum()), "Int64")})
 
-    together = sent.select("number", "chunk", "todo").join(trees, "chunk").repartitionById(max(1, groups.count()), F.col("number"))
-    out = materialise(together.select("chunk", "tree", "todo").mapInPandas(gather, "cid long, links long, other long"), "cover-links")
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Group after group, first its pairs of chunks and then its trees; no more than one group's trees are held."""
+        now, todo, trees = None, [], {}
+        for batch in batches:
+            for number, x, y, blob in zip(batch["number"], batch["x"], batch["y"], batch["tree"], strict=True):
+                if number != now:
+                    yield from finished(todo, trees)
+                    now, todo, trees = number, [], {}
+                if y >= 0:
+                    todo.append((int(x), int(y)))
+                else:
+                    trees[int(x)] = pickle.loads(blob)
+        yield from finished(todo, trees)
+
+    told = todo.select("number", "x", "y", F.lit(None).cast("binary").alias("tree"))
+    carried = _lookup(sent, 50).join(trees, "chunk").select("number", F.col("chunk").alias("x"), F.lit(-1).alias("y"), "tree")
+    tasks = max(1, min(MEETING_TASKS, groups.count()))
+    together = told.unionByName(carried).repartitionById(tasks, F.pmod("number", F.lit(tasks)).cast("int")).sortWithinPartitions("number", F.desc("y"))
+    out = materialise(together.mapInPandas(gather, "cid long, links long, other long"), "cover-links")
     drop_tables(placed, trees)
     return out
 

@@ -230,6 +230,22 @@ def test_links_against_brute_force(spark, monkeypatch, chunk, fanout, block, num
         assert embeddings.dedup(df.where("vec_id in (900, 904)")).count() == 2
 
 
+def test_groups_of_chunks_share_tasks_and_large_lookups_are_shuffled(spark, monkeypatch):
+    """More groups than tasks, and no table of vectors or of groups small enough to broadcast: the same links."""
+    monkeypatch.setattr(embeddings, "CHUNK", 8)
+    monkeypatch.setattr(embeddings, "BLOCK", 2)
+    monkeypatch.setattr(embeddings, "MEETING_TASKS", 3)
+    monkeypatch.setattr(embeddings, "SENT_BYTES", 0)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 6))
+    rows = [(i, [float(x) for x in c + rng.normal(size=6) * 0.15]) for i, c in enumerate(np.repeat(centres, 4, axis=0))]
+    written, kept = embeddings.materialise, {}
+    monkeypatch.setattr(embeddings, "materialise", lambda df, name: kept.setdefault(name, written(df, name)) if name in ("cover-groups", "cover-links") else written(df, name))
+    got = sorted((tuple(r) for r in embeddings.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == brute_links(rows)
+    assert kept["cover-groups"].count() > 3 and len(kept["cover-links"].inputFiles()) <= 3
+
+
 # -- warc -------------------------------------------------------------------------------------------------------------
 
 runs = st.lists(st.lists(st.tuples(st.sampled_from(["a", "b", "é", "z"]), st.sampled_from(["1", "2"]), st.none() | st.integers(0, 5)), max_size=8), max_size=9)
