@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import sketches
@@ -52,7 +52,7 @@ class Measure:
     distinct: bool = False
     quantile: float | None = None
     filters: tuple = field(default=())
-    #: "selection": a percentile that no task holds a group's values for.
+    #: "selection": a percentile that no task holds a group's values for; "in_order": a sum of doubles in the relation's order.
     method: str | None = None
 
 
@@ -110,10 +110,11 @@ def aggregate(r: Relation, groups: list[str], measures: list[Measure], sets: lis
     apart = [m for m in measures if m.method == "selection"]
     if apart:
         return _joined(r, groups, measures, apart, sets)
+    r, last = _running(r, groups, measures, sets)
     columns, seen = [], []
     for i, m in enumerate(measures):
         keep = predicate({"all": list(m.filters)}, r.kinds) if m.filters else None
-        c = _column(m, r, keep)
+        c = F.max_by(last[i], "__place") if i in last else _column(m, r, keep)
         if keep is not None and groups:
             name = f"__seen{i}"
             columns.append(F.count(F.when(keep, 1)).alias(name))
@@ -133,12 +134,35 @@ def aggregate(r: Relation, groups: list[str], measures: list[Measure], sets: lis
     return Relation(df.select(*keys, *([quoted(marker)] if marker else []), *out))
 
 
+def _running(r: Relation, groups: list[str], measures: list[Measure], sets: list[list[str]] | None) -> tuple[Relation, dict[int, str]]:
+    """r with a running sum, by group and in r's order, for each measure that asks for it; its last value is the group's sum.
+
+    Doubles added in another order have another sum, so a plain sum differs in its last digits from run to run. The window is the
+    groups' own exchange, and it takes a row at a time.
+    """
+    found = {i: f"__running{i}" for i, m in enumerate(measures) if m.method == "in_order"}
+    if not found:
+        return r, found
+    if sets is not None or not groups or not r.order or any(measures[i].distinct for i in found):
+        raise PlanError("a sum in order takes groups, sorted rows and no grouping sets or distinct values")
+    w = Window.partitionBy(*[quoted(g) for g in groups]).orderBy(*r.total_order())
+    columns = {"__place": F.row_number().over(w)}
+    for i, name in found.items():
+        m = measures[i]
+        x = number(Value(quoted(m.target), r.kinds[m.target]), m.operation).column
+        x = F.when(predicate({"all": list(m.filters)}, r.kinds), x) if m.filters else x
+        columns[name] = F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return Relation(r.df.withColumns(columns), r.order), found
+
+
 def _joined(r: Relation, groups: list[str], measures: list[Measure], apart: list[Measure], sets: list[list[str]] | None) -> Relation:
     """The measures of one groupBy, and those by selection joined to them group by group."""
     if sets is not None:
         raise PlanError("selection takes plain groups")
     rest = [m for m in measures if m not in apart]
     filtered = all(m.filters for m in measures)
+    if filtered and any(m.method == "in_order" for m in rest):
+        raise PlanError("a sum in order next to selection takes a measure without filters")
     base = aggregate(r, groups, rest).df if rest and not filtered else r.df.groupBy(*[quoted(g) for g in groups]).agg(*[_column(m, r, predicate({"all": list(m.filters)}, r.kinds)).alias(m.output) for m in rest] or [F.count(F.lit(1)).alias("__rows")])
     for m in apart:
         if not m.target or m.target == "*":

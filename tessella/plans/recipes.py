@@ -106,7 +106,7 @@ PLANS: dict[str, Query] = {
     "drawdown_plan": Query(
         ("events",),
         {
-            "pre_steps": [math("d", "date_trunc('day', ts)"), group(["user_id", "d"], agg("sum", "value", "v"))],
+            "pre_steps": [sort("event_id"), math("d", "date_trunc('day', ts)"), group(["user_id", "d"], agg("sum", "value", "v", method="in_order"))],
             "final_steps": [
                 sort("d"),
                 math("peak", "cummax(v)", window_partition_by=["user_id"]),

@@ -2,6 +2,7 @@
 
 import random
 import sqlite3
+from functools import reduce
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions.values import PlanError
-from tessella.operators import joins, windows
-from tessella.operators.relation import Relation
+from tessella.operators import aggregates, joins, windows
+from tessella.operators.relation import Relation, SortKey
 from tessella.plans import question
 from tessella.plans.compiler import compile_plan
 from tessella.plans.execute import run
@@ -193,3 +194,16 @@ def test_intermediate_rows_can_be_released(spark):
     windows.release(spark, mark)
     at = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
     assert windows.written() == mark and not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_sum_in_order_is_the_same_on_any_partitioning(spark):
+    """One addition after the other by id; nulls don't count, and a group of nulls has no sum."""
+    rows = [(i, i % 3, None if i % 7 == 0 or i % 3 == 2 else i / 10) for i in range(300)]
+    want = {g: None if g == 2 else reduce(lambda a, b: a + b, (x for _, h, x in rows if h == g and x is not None)) for g in range(3)}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "i int, g int, x double").repartition(parts)
+        made = [aggregates.Measure("sum", "total", "x", method="in_order"), aggregates.Measure("count", "n", "x")]
+        got = aggregates.aggregate(Relation(df, (SortKey("i"),)), ["g"], made).df
+        assert got.columns == ["g", "total", "n"] and {r.g: r.total for r in got.collect()} == want
+    with pytest.raises(PlanError):
+        aggregates.aggregate(Relation(df), ["g"], made)
