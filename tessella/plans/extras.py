@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import compare, joins
-from tessella.operators.relation import Relation
+from tessella.operators import aggregates, compare, joins
+from tessella.operators.relation import Relation, SortKey
 from tessella.sources import catalog, graph, retrieval, sinks
 from tessella.streaming import events as streams
 
@@ -167,10 +167,11 @@ def text_similarity(spark, sf_dir):
 
 @query("with m as (select user_id, date_trunc('day', ts) as d, sum(value) as v from events group by 1, 2) select user_id, cast(d as timestamp) as d, round(v / nullif(max(v) over (partition by user_id order by d), 0) - 1, 6) as drawdown, coalesce(v > max(v) over (partition by user_id order by d rows between unbounded preceding and 1 preceding), false) as new_high from m")
 def drawdown_new_high(spark, sf_dir):
-    day = read(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d")).agg(F.sum("value").alias("v"))
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d"), "value")
+    day = aggregates.aggregate(Relation(events, (SortKey("event_id"),)), ["user_id", "d"], [aggregates.Measure("sum", "v", "value", method="in_order")]).df
     w = Window.partitionBy("user_id").orderBy("d")
     peak, before = F.max("v").over(w), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return day.select("user_id", "d", F.round(F.col("v") / F.nullif(peak, F.lit(0.0)) - 1, 6).alias("drawdown"), F.coalesce(F.col("v") > before, F.lit(False)).alias("new_high"))
+    return day.select("user_id", "d", (F.round((F.col("v") / F.nullif(peak, F.lit(0.0)) - 1) * 1e6) / 1e6).alias("drawdown"), F.coalesce(F.col("v") > before, F.lit(False)).alias("new_high"))
 
 
 @query("select regexp_replace(p_type, ' [A-Z]+$', '') as kind, count(*) as n from part group by 1")
