@@ -21,6 +21,9 @@ OPERATIONS = ("sum", "avg", "count", "min", "max")
 #: What SQL calls EXCLUDE NO OTHERS, CURRENT ROW and GROUP.
 EXCLUDES = ("none", "current", "group")
 
+#: A bound of doubles lies within this share of its terms of the exact one; a row too many in a block is left out by its frames.
+ROUNDING = 2.0**-50
+
 
 def _key(df: DataFrame, order: str) -> tuple[Column, int]:
     """The order value as a number, and its units: microseconds in a second of a timestamp, days of a date, else 1."""
@@ -81,7 +84,9 @@ def _over_all(rows: DataFrame, frame: str, far: list, operation: str, exclude: s
     columns = [c for c in rows.columns if c not in ("key", "x")]
     placed = checkpointed(_in_blocks(rows.where("key is not null"), ["key"]))
     blocks = checkpointed(_blocks(placed, [], "key"))
-    reach = placed.withColumnRenamed("block", "home").withColumns({"from": F.col("key") - F.lit(far[1]), "to": F.col("key") + F.lit(far[0])})
+    # whose frames a row stands in is told from their side (key + after), which may round otherwise than key - after does
+    slack = F.lit(0) if isinstance(far[0], int) else F.when(F.abs("key") < float("inf"), (F.abs("key") + max(far)) * ROUNDING).otherwise(0.0)
+    reach = placed.withColumnRenamed("block", "home").withColumns({"from": F.col("key") - F.lit(far[1]) - slack, "to": F.col("key") + F.lit(far[0]) + slack})
     spread = _ranges(reach, [], blocks, "from", "to")
     done = spread.withColumn("out", _aggregates(operation, f"partition by block {frame}", exclude)).where("block = home").select(*columns, "out")
     null = rows.where("key is null")

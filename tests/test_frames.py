@@ -43,6 +43,18 @@ def test_range_frames(spark, monkeypatch, kind):
             assert found[i] == (pytest.approx(want[i]) if want[i] is not None else None), (operation, exclude, partition, i)
 
 
+def test_frames_of_doubles_over_the_ends_of_blocks(spark, monkeypatch):
+    """Balances in cents, of which many are just 5 apart and stand at the ends of their blocks."""
+    monkeypatch.setattr(ordered_joins, "BLOCK", 1)
+    keys = [k / 100 + d for k in range(7, 1000, 31) for d in (0, 5)]
+    keys = [round(k, 2) for k in keys]
+    df = spark.createDataFrame(list(enumerate(keys)), "i int, k double")
+    got = {r.i: r.out for r in frames.range_frame(Relation(df), "count", "i", "k", 5, 5, "out", []).df.collect()}
+    assert got == {i: sum(k - 5 <= m <= k + 5 for m in keys) for i, k in enumerate(keys)}
+    far = spark.createDataFrame([(0, float("-inf")), (1, 0.0), (2, float("inf"))], "i int, k double")
+    assert {r.i: r.out for r in frames.range_frame(Relation(far), "count", "i", "k", 5, 5, "out", []).df.collect()} == {0: 1, 1: 1, 2: 1}
+
+
 def test_breaches(spark):
     r = Relation(spark.range(3).toDF("x"))
     for more in (("min", "x", "x", 1, 1, "o", [], "group"), ("mode", "x", "x", 1, 1, "o", []), ("sum", "x", "x", -1, 1, "o", [])):
