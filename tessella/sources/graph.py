@@ -128,13 +128,22 @@ def retrieve_class(triples: DataFrame, contract: dict[str, Any], classes: dict[s
     return retrieve({**contract, "optional_fields": None}, df)
 
 
+#: Triples of a task of property_profile on average.
+ROWS_PER_TASK = 200_000
+
+
 def property_profile(triples: DataFrame) -> DataFrame:
     """Per class and property: instances that have it, values, distinct values, datatypes, most subjects that share a value."""
-    types = triples.where(F.col("p") == TYPE).select("s", F.col("o").alias("class"))
-    facts = types.join(triples.where(F.col("p") != TYPE), "s")
-    by_value = facts.groupBy("class", "p", "o").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
+    # dealt by subject to a number of tasks that grows with the triples; all but the last counts stay within these tasks
+    tasks = max(1, -(-triples.count() // ROWS_PER_TASK))
+    types = triples.where(F.col("p") == TYPE).select("s", F.col("o").alias("class")).repartition(tasks, "s")
+    facts = types.join(triples.where(F.col("p") != TYPE).repartition(tasks, "s"), "s")
+    by_subject = facts.groupBy("class", "p", "o", "s").agg(F.count(F.lit(1)).alias("n"))
+    by_value = by_subject.groupBy("class", "p", "o").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("subjects"))
     values = by_value.groupBy("class", "p").agg(F.sum("n").alias("values"), F.count(F.lit(1)).alias("distinct"), F.max("subjects").alias("most_subjects"))
-    owners = facts.groupBy("class", "p").agg(F.count_distinct("s").alias("instances"), F.array_sort(F.collect_set("datatype")).alias("datatypes"))
+    instances = facts.groupBy("class", "p", "s").agg(F.lit(1)).groupBy("class", "p").agg(F.count(F.lit(1)).alias("instances"))
+    datatypes = facts.groupBy("class", "p", "datatype").agg(F.lit(1)).groupBy("class", "p").agg(F.array_sort(F.collect_set("datatype")).alias("datatypes"))
+    owners = instances.join(datatypes, ["class", "p"])
     sizes = types.groupBy("class").agg(F.count_distinct("s").alias("members"))
     return values.join(owners, ["class", "p"]).join(sizes, "class").withColumns({"coverage": F.col("instances") / F.col("members"), "distinct_ratio": F.col("distinct") / F.col("values")})
 

@@ -207,3 +207,10 @@ def test_sum_in_order_is_the_same_on_any_partitioning(spark):
         assert got.columns == ["g", "total", "n"] and {r.g: r.total for r in got.collect()} == want
     with pytest.raises(PlanError):
         aggregates.aggregate(Relation(df), ["g"], made)
+
+
+def test_property_profile_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_PER_TASK", 5)
+    rows = [(f"s{i}", graph.TYPE, "C", None) for i in range(20)] + [(f"s{i % 10}", "p", f"v{i % 3}", ["int", None][i % 2]) for i in range(30)]
+    r = graph.property_profile(spark.createDataFrame(rows, "s string, p string, o string, datatype string")).first()
+    assert (r["values"], r.distinct, r.most_subjects, r.instances, r.members, r.datatypes) == (30, 3, 10, 10, 20, ["int"])
