@@ -5,7 +5,8 @@ itself; other values take equal trimmed text. Equality within decimals isn't tra
 
 A field whose expected numbers all have the same number of decimals is an exact field: both sides are rounded to it. Equal
 rows are one with a count. Exact fields make blocks, and in a block each mixed field cuts the rows into islands, runs of values
-that no interval spans a gap of. What is left is matched by island: with one mixed field by a sweep that gives each actual value
+that no interval spans a gap of. What is left is matched by island: with one mixed field islands of one
+interval and one value are pairs and one-sided islands have none, natively, and the others are matched by a sweep that gives each actual value
 to the open interval that ends first, which is optimal on a line and holds one interval for each number of decimals at most;
 with several by augmenting paths over the island's distinct rows, which one task holds.
 """
@@ -212,8 +213,16 @@ def matching(expected: DataFrame, actual: DataFrame) -> DataFrame:
     cut = _islands(rows, len(mixed))
     shape = T.StructType([*[f for f in cut.schema if f.name in ("row", "expected", "n")], T.StructField("matched", T.LongType())])
     if len(mixed) == 1:
-        flat = cut.select("row", "expected", "n", *keys, "low0", "high0").repartition(*keys).sortWithinPartitions(*keys, "low0", F.desc("expected"), "high0")
-        return flat.mapInPandas(_swept, shape)
+        flat = cut.select("row", "expected", "n", *keys, "low0", "high0").repartition(*keys)
+        island = Window.partitionBy(*keys)
+        of = lambda side: F.count(F.when(F.col("expected") == side, 1)).over(island)
+        told = flat.withColumns({"__expected": of(True), "__actual": of(False), "__all": F.sum("n").over(island)})
+        lone, pair = F.least("__expected", "__actual") == 0, (F.col("__expected") == 1) & (F.col("__actual") == 1)
+        # an island of one interval and one value is a pair; both branches take the same columns, so that the exchange is shared
+        met = F.when(lone | (F.col("low0") > F.col("high0")), 0).otherwise(F.least(F.col("n"), F.col("__all") - F.col("n"))).cast("long")
+        plain = told.where(lone | pair).select("row", "expected", "n", met.alias("matched"))
+        swept = told.where(~(lone | pair)).select("row", "expected", "n", *keys, "low0", "high0").sortWithinPartitions(*keys, "low0", F.desc("expected"), "high0")
+        return plain.unionByName(swept.mapInPandas(_swept, shape))
     return cut.groupBy(*keys).applyInPandas(_flowed(len(mixed)), shape)
 
 

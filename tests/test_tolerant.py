@@ -93,3 +93,10 @@ def test_sweep_holds_one_interval_for_each_number_of_decimals():
             yield k, k, False, 1
 
     assert sum(n for _, n in tolerant.sweep(rows())) == 2 * 3000
+
+
+def test_pairs_and_one_sided_islands_need_no_sweep(spark, monkeypatch):
+    monkeypatch.setattr(tolerant, "_swept", lambda batches: (1 / 0 for _ in batches))
+    expected = spark.createDataFrame([("a", "1.5"), ("a", "7.25"), ("b", "3.0"), ("b", "x"), ("c", "9.00"), ("c", "9.00")], "k string, v string")
+    actual = spark.createDataFrame([("a", "1.46"), ("a", "7.251"), ("a", "8"), ("b", "x"), ("c", "9.001")], "k string, v string")
+    assert tuple(tolerant.counts(expected, actual).first()) == (4, 2, 1)
