@@ -15,8 +15,9 @@ A block holds BLOCK consecutive ids, across documents; the last of a segment may
 the PERCENTILE-th; greater ones are exceptions. All numbers are little-endian. By the block index any range of ids is read
 without those before it (`Segment.ids`).
 
-Words are encoded by the tokenizers library, once each: a text is cut at white space, which no word of this vocabulary's
-pattern spans, and a bounded cache keeps the ids of its pieces.
+Words are encoded by the tokenizers library, once each: texts are cut where two words of this vocabulary's pattern surely meet,
+the distinct pieces of some MB of text are looked up in a bounded cache, and the words that it lacks go to the file's model in one
+call. A text in which lower case, composition or white space are less simple, or with a special token's string, goes to the library whole.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first; rows of one doc_id follow one another in the
 order of a hash of the text, equal rows in any; long texts are encoded whole and a segment holds at least one document; no
@@ -29,16 +30,18 @@ import json
 import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from .common import bounded_batches, materialise, scratch, table
 
@@ -48,9 +51,9 @@ BLOCK, PERCENTILE = 128, 90
 SEGMENT_BYTES, FILE_SEGMENTS, PARTITION_BYTES = 4 << 20, 8, 64 << 20
 #: Blocks packed or unpacked at once.
 AT_ONCE = 2048
-CACHE_PIECES = 450_000
+CACHE_PIECES = 300_000
 #: Characters of texts that are encoded at once.
-PART_CHARS = 1 << 20
+PART_CHARS = 2 << 20
 #: A longer piece is encoded anew each time.
 CACHED_CHARS = 40
 MAGIC, FOOTER = b"PFOR", struct.Struct("<QQQQIII4s")
@@ -80,36 +83,75 @@ def pack(values: np.ndarray) -> list[bytes]:
 def _packed(rows: np.ndarray) -> list[bytes]:
     n = rows.shape[1]
     base = rows.min(axis=1)
-    above = np.ascontiguousarray(rows - base[:, None], "<u4")
+    above = rows - base[:, None]
     place = -(-n * PERCENTILE // 100) - 1
     width = bit_length(np.partition(above, place, axis=1)[:, place])
     out: list[bytes] = [b""] * len(rows)
     for w in map(int, np.unique(width)):
         own = np.flatnonzero(width == w)
-        d = above[own]
-        bits = np.unpackbits(d.view(np.uint8).reshape(len(own), n, 4), axis=2, count=w, bitorder="little") if w else np.zeros((len(own), 0), np.uint8)
-        low = np.packbits(bits.reshape(len(own), n * w), axis=1, bitorder="little")
+        d, held = above[own], (n * w + 7) // 8
+        low = _joined_bits(d, w)
         high = d >> np.uint32(w) if w < 32 else np.zeros_like(d)
         block, spot = np.nonzero(high)
-        much = high[block, spot].astype("<u4")
+        much = high[block, spot].astype("<u4").tobytes()
         ends = np.searchsorted(block, np.arange(len(own) + 1))
         head = np.zeros(len(own), _HEAD)
         head["base"], head["width"], head["last"], head["exceptions"] = base[own], w, n - 1, np.diff(ends)
-        spots = spot.astype(np.uint8)
-        for i, k in enumerate(own):
-            a, b = ends[i], ends[i + 1]
-            out[k] = head[i].tobytes() + low[i].tobytes() + spots[a:b].tobytes() + much[a:b].tobytes()
+        heads, spots = head.tobytes(), spot.astype(np.uint8).tobytes()
+        for i, (k, a, b) in enumerate(zip(own.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            out[k] = heads[8 * i : 8 * i + 8] + low[held * i : held * i + held] + spots[a:b] + much[4 * a : 4 * b]
     return out
 
 
+def _spans(w: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Of eight values of w bits, which are w bytes: each one's number, 64-bit word, shift in it, whether it goes on in the next."""
+    for j in range(8):
+        yield j, j * w // 64, j * w % 64, j * w % 64 + w > 64
+
+
+def _joined_bits(values: np.ndarray, w: int) -> bytes:
+    """The low w bits of each row's values, in whole bytes a row."""
+    rows, n = values.shape
+    eights = -(-n // 8)
+    low = np.zeros((rows, eights * 8), np.uint64)
+    low[:, :n] = values & np.uint32((1 << w) - 1)
+    low = np.ascontiguousarray(low.reshape(-1, 8).T)
+    words = np.zeros((-(-w // 8), rows * eights), "<u8")
+    for j, k, shift, more in _spans(w) if w else ():
+        words[k] |= low[j] << np.uint64(shift)
+        if more:
+            words[k + 1] |= low[j] >> np.uint64(64 - shift)
+    raw = np.ascontiguousarray(words.T).view(np.uint8).reshape(rows * eights, -1)[:, :w] if w else np.zeros((rows * eights, 0), np.uint8)
+    return raw.reshape(rows, eights * w)[:, : (n * w + 7) // 8].tobytes()
+
+
+def _taken_bits(data: bytes, rows: int, n: int, w: int) -> np.ndarray:
+    """The values that _joined_bits has joined, as uint32."""
+    if not w:
+        return np.zeros((rows, n), np.uint32)
+    eights = -(-n // 8)
+    raw = np.zeros((rows, eights * w), np.uint8)
+    raw[:, : (n * w + 7) // 8] = np.frombuffer(data, np.uint8).reshape(rows, -1)
+    wide = np.zeros((rows * eights, -(-w // 8) * 8), np.uint8)
+    wide[:, :w] = raw.reshape(-1, w)
+    words = np.ascontiguousarray(wide.view("<u8").T)
+    out = np.empty((rows * eights, 8), np.uint32)
+    for j, k, shift, more in _spans(w):
+        value = words[k] >> np.uint64(shift)
+        if more:
+            value |= words[k + 1] << np.uint64(64 - shift)
+        out[:, j] = value & np.uint64((1 << w) - 1)
+    return out.reshape(rows, eights * 8)[:, :n]
+
+
 def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     """The values of the blocks that begin at these places, in order."""
     raw = np.frombuffer(data, np.uint8)
-    parts = [_unpacked(raw, starts[at : at + AT_ONCE]) for at in range(0, len(starts), AT_ONCE)]
+    parts = [_unpacked(data, raw, starts[at : at + AT_ONCE]) for at in range(0, len(starts), AT_ONCE)]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _unpacked(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _unpacked(data: bytes, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     starts = starts.astype(np.int64)
     head = raw[starts[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
     size = head["last"].astype(np.int64) + 1
@@ -119,11 +161,7 @@ def _unpacked(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for s in np.unique(shape):
         own, w, n = np.flatnonzero(shape == s), int(s) // 256, int(s) % 256 + 1
         begin, held = starts[own] + _HEAD.itemsize, (n * w + 7) // 8
-        bits = np.unpackbits(raw[begin[:, None] + np.arange(held)], axis=1, count=n * w, bitorder="little")
-        low = np.zeros((len(own), n, 4), np.uint8)
-        if w:
-            low[:, :, : (w + 7) // 8] = np.packbits(bits.reshape(len(own), n, w), axis=2, bitorder="little")
-        values = low.view("<u4")[:, :, 0]
+        values = _taken_bits(b"".join([data[b : b + held] for b in begin.tolist()]), len(own), n, w)
         more = head["exceptions"][own].astype(np.int64)
         if more.any():
             block = np.repeat(np.arange(len(own)), more)
@@ -190,68 +228,133 @@ def segments(content: bytes) -> Iterator[Segment]:
 # -- encoding ---------------------------------------------------------------------------------------------------------
 
 
-class Encoder(dict):
-    """Piece of text without white space -> its ids as little-endian uint32."""
+#: Kinds of a plain text's bytes; what begins with C2, and the signs of multiplication and division, may be of several.
+WHITE, LETTER, DIGIT, SIGN, APOSTROPHE, MIXED = range(6)
+
+
+def byte_kinds() -> np.ndarray:
+    kind = np.full(256, SIGN, np.uint8)
+    kind[[*b" \t\n\v\f\r"]], kind[[*b"0123456789"]], kind[ord("'")] = WHITE, DIGIT, APOSTROPHE
+    kind[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), 0xC3, 0xC4, 0xC5]] = LETTER
+    kind[0xC2] = MIXED
+    return kind
+
+
+def kind_borders() -> np.ndarray:
+    """Whether two words, or a word and white space, surely meet between bytes of two kinds."""
+    cut = ~np.eye(6, dtype=bool)
+    cut[DIGIT, DIGIT] = True
+    cut[APOSTROPHE, LETTER] = cut[APOSTROPHE, SIGN] = cut[SIGN, APOSTROPHE] = False
+    cut[MIXED, 1:] = cut[1:, MIXED] = False
+    return cut.ravel()
+
+
+KINDS, BORDERS = byte_kinds(), kind_borders()
+
+
+def pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Plain texts in lower case, cut between the pattern's words as far as bytes tell; the number of pieces before each text and of all."""
+    lower = pc.utf8_lower(pa.array(texts, pa.string()))
+    ends = np.frombuffer(lower.buffers()[1], np.int32, len(texts) + 1) if texts else np.zeros(1, np.int32)
+    if not ends[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(lower.buffers()[2], np.uint8, ends[-1])
+    kind = KINDS[data]
+    if len(more := np.flatnonzero((data & 0xC0) == 0x80)):  # second bytes
+        kind[more] = kind[more - 1]
+        sign = more[(data[more - 1] == 0xC3) & ((data[more] == 0x97) | (data[more] == 0xB7))]
+        kind[sign] = kind[sign - 1] = MIXED
+    cut = np.ones(len(data) + 1, bool)
+    np.take(BORDERS, kind[:-1] * np.uint8(6) + kind[1:], out=cut[1:-1])
+    cut[ends] = True
+    begin = np.flatnonzero(cut).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), lower.buffers()[2]), np.searchsorted(begin, ends)
+
+
+class Encoder:
+    """Texts -> their ids as little-endian uint32, with a bounded cache of pieces."""
 
     #: Lower case goes letter by letter here and nothing composes with its neighbours: ASCII, Latin-1 and Extended-A, but
-    #: U+0130, and but the separators that str.split() alone takes as white space.
+    #: U+0130, and but the separators that not all take as white space.
     plain = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f]*").fullmatch
 
     def __init__(self, spec: str):
-        super().__init__()
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        split, _ = json.loads(spec)["pre_tokenizer"]["pretokenizers"]
-        if split["type"] != "Split" or not split["invert"]:
+        parts = json.loads(spec)
+        split, letters = parts["pre_tokenizer"]["pretokenizers"]
+        if split["type"] != "Split" or not split["invert"] or letters["type"] != "ByteLevel" or letters["add_prefix_space"] or letters["use_regex"]:
             raise ValueError("unsupported pre-tokenizer")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = model_alone(parts["model"])
+        vocabulary, suffix = parts["model"]["vocab"], parts["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what the cache held when it was last full
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, piece: str) -> list[str]:
-        """The words that the pattern takes a piece apart into."""
-        if piece.isalpha():
-            return [piece]
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            return [piece[:-1], piece[-1]]
-        return self.pattern.findall(piece)
-
-    def keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = ids
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            words = self.words(piece)
-            ids = b"".join(map(self.__getitem__, words)) if len(words) > 1 else self.whole(piece)
-        self.keep(piece, ids)
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode all new words of letters only in one call, of which each is one word of the pattern."""
-        new = {w for p in pieces if p not in self and p not in self.before for w in self.words(p)}
-        words = [w for w in new if len(w) <= CACHED_CHARS and w.isalpha() and w not in self and w not in self.before]
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids, at = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        ends = 4 * np.searchsorted(at, np.arange(len(words) + 1))
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of the pattern, in one call of the library: the last id of each word, and no other, ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([spelt(" ".join(words))], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):
+            return list(map(self.whole, words))  # a vocabulary that lacks some bytes
         data = ids.tobytes()
-        for k, w in enumerate(words):
-            self.keep(w, data[ends[k] : ends[k + 1]])
+        return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        found = {p: ids for p, ids in islice(found.items(), CACHE_PIECES) if len(p) <= CACHED_CHARS}
+        if len(self.cache) + len(found) > CACHE_PIECES:
+            self.before, self.cache = self.cache, {}
+        self.cache.update(found)
+
+    def found(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; new words of all of them are encoded at once."""
+        out = list(map(self.cache.get, distinct))
+        again: dict[str, bytes] = {}
+        words: list[str] = []
+        others: list[str] = []
+        for piece in [p for p, ids in zip(distinct, out, strict=True) if ids is None]:
+            if (ids := self.before.get(piece)) is not None:
+                again[piece] = ids
+            elif piece.isalpha():
+                words.append(piece)
+            else:
+                others.append(piece)
+        new = dict(zip(words, self.words(words), strict=True))
+        if others:
+            apart = [self.pattern.findall(p) for p in others]
+            more = list({w for ws in apart for w in ws} - new.keys())
+            known = new | dict(zip(more, self.words(more), strict=True))
+            new |= {p: b"".join([known[w] for w in ws]) for p, ws in zip(others, apart, strict=True)}
+        if again or new:
+            new |= again
+            out = [new[p] if ids is None else ids for p, ids in zip(distinct, out, strict=True)]
+            self.keep(new)
+        return out
 
     def joined(self, parts: list[str]) -> list[bytes]:
-        """The parts' ids; new words of all of them are learnt first."""
-        plain = [p if self.plain(p) and not any(m in p for m in self.marks) else None for p in parts]
-        pieces = [None if p is None else p.lower().split() for p in plain]
-        self.learn(set().union(*[p for p in pieces if p]))
-        return [self.whole(p) if own is None else b"".join(map(self.__getitem__, own)) for p, own in zip(parts, pieces, strict=True)]
+        """The parts' ids, each distinct piece of all of them looked up once."""
+        plain = [self.plain(p) is not None and not any(m in p for m in self.marks) for p in parts]
+        cut, upto = pieces([p for p, own in zip(parts, plain, strict=True) if own])
+        coded = cut.dictionary_encode()
+        found = self.found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = coded.indices.to_numpy()
+        sizes = size[index]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat((np.cumsum(size) - size)[index] - ends[:-1], sizes)
+        place += np.arange(len(place))
+        data = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        spans = pairwise((4 * ends[upto]).tolist())
+        return [data[slice(*next(spans))] if own else self.whole(p) for p, own in zip(parts, plain, strict=True)]
 
     def batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids, worked out for about PART_CHARS characters at once."""
@@ -273,6 +376,36 @@ class Encoder(dict):
         yield from self.joined(held)
 
 
+def byte_alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """The library's spelling of each byte in UTF-8, and how much of it counts: printable Latin-1 bytes are themselves, others U+0100 on; a space stays."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    letters = [chr(b if b in own else next(rest)) for b in range(256)]
+    letters[0x20] = " "
+    spelling = np.array([[*c.encode("utf-8").ljust(2)] for c in letters], np.uint8)
+    return spelling, np.array([[True, len(c.encode("utf-8")) == 2] for c in letters])
+
+
+SPELLING, COUNTS = byte_alphabet()
+
+
+def spelt(words: str) -> str:
+    """Words in the byte alphabet; spaces stay."""
+    raw = np.frombuffer(words.encode("utf-8"), np.uint8)
+    return SPELLING[raw][COUNTS[raw]].tobytes().decode("utf-8")
+
+
+def model_alone(spec: dict) -> Tokenizer:
+    """The file's model for words that are normalised, cut and spelt in the byte alphabet, without the library's own cache: no word comes twice."""
+    if spec["type"] != "BPE" or spec.get("dropout") or not spec.get("end_of_word_suffix"):
+        raise ValueError("unsupported model")
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+    options = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if spec.get(k)}
+    out = Tokenizer(models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **options))
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
+
+
 def cut(text: str, at: int) -> int:
     """Where a part of about PART_CHARS ends: after a space or a line feed, at which no word spans two parts."""
     if len(text) - at <= PART_CHARS:
@@ -319,15 +452,21 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, doc_id:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([segment(held, partition, number)], pa.binary())], ["segment"])
 
-        for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
-            for d, ids in zip(batch.column(0).to_pylist(), encode.batch(texts), strict=True):
-                ids += mark
-                if held and size + len(ids) > limit:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
-                held.append((d, ids))
-                size += len(ids)
+        doc_ids: deque[int | None] = deque()  # of the texts that are read but not encoded
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    doc_ids.append(d)
+                    yield t.as_py()
+
+        for ids in encode.batch(texts()):
+            ids += mark
+            if held and size + len(ids) > limit:
+                yield flush()
+                held, size, number = [], 0, number + 1
+            held.append((doc_ids.popleft(), ids))
+            size += len(ids)
         if held:
             yield flush()
 
@@ -339,6 +478,7 @@ FOUND = "partition long, number long, place long, doc_id long, begin long, n_tok
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _ENCODERS.clear()  # the worker may have written before
     for batch in batches:
         for content in batch.column(0):
             for s in segments(content.as_py()):

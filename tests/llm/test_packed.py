@@ -1,11 +1,13 @@
 """Token-id files: blocks and segments round trip, ids equal the library's, documents in order."""
 
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from tessella.llm import common, packed
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(packed.VOCABULARY)
+with open(PATH, encoding="utf-8") as f:
+    PATTERN = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +75,51 @@ def test_ids_equal_the_library_s(library, monkeypatch):
         assert ids == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+class Counted:
+    """A tokenizer that notes how many times it is called."""
+
+    def __init__(self, of, calls):
+        self.of, self.calls = of, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.of, name)
+
+
+def test_new_words_of_many_texts_take_one_call_or_two(library):
+    encode, calls = packed.Encoder(library.to_str()), []
+    for name, held in list(vars(encode).items()):
+        if isinstance(held, Tokenizer):
+            setattr(encode, name, Counted(held, calls))
+    texts = [f"Word{'abcdefgh'[k % 8] * 3}, it's 4{k % 7}.{k % 10} x{'!?;-+'[k % 5] * (k % 4)} ({k % 3}) déjà" for k in range(400)]
+    got = list(encode.batch(texts))
+    assert len(calls) <= 2  # a call for each sign, digit and contraction before
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encode.batch(texts)) == got and len(calls) <= 2
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZsé×÷ªµ²½©\xa0ŉſÿ '.,!_7\n\t\x0b\x00\x7f"), max_size=24), max_size=5))
+def test_pieces_are_cut_where_words_meet(texts):
+    cut, upto = packed.pieces(texts)
+    assert len(upto) == len(texts) + 1
+    for k, t in enumerate(texts):
+        own = cut.slice(upto[k], upto[k + 1] - upto[k]).to_pylist()
+        assert "".join(own) == t.lower()
+        assert [w for p in own for w in PATTERN.findall(p)] == PATTERN.findall(t.lower())
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 100, 128])
+def test_bits_of_any_width(n):
+    rng = np.random.default_rng(n)
+    for w in range(33):
+        x = rng.integers(0, 1 << 32, (3, n), np.uint32)
+        data = packed._joined_bits(x, w)
+        low = x & np.uint32((1 << w) - 1)
+        assert data == b"".join(sum(int(v) << (w * i) for i, v in enumerate(row)).to_bytes((n * w + 7) // 8, "little") for row in low)
+        assert packed._taken_bits(data, 3, n, w).tolist() == low.tolist()
+
+
 def expected(library, rows):
     out, start = [], 0
     for d, t in rows:
